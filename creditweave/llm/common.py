@@ -15,6 +15,7 @@ from ..session import ship
 
 #: Text bytes that one vectorised step looks at; bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +40,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """df written as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # nothing reads this job's shuffle files once its result is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
 

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, substrings
+from . import fingerprints, jaccard, langid, licenses, mixing, mtree, packing, quality, substrings, warc
 from .common import crc_mod, table
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify_language(docs, langid.train(docs), ["doc_id"])
@@ -20,6 +30,24 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs, 20, ["doc_id"]).drop("kept")
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs, licenses.train(docs))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(*warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, mixing.tempered(docs)).select("doc_id", "source", F.length("text").cast("bigint").alias("n_chars"), "block", "slot", "block_offset")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -27,5 +55,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_substrings": op3_substrings, "op8_quality": op8_quality}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_substrings, op4_top_k, op5_licenses, op6_warc, op7_mixing, op8_quality, op9_packing, op10_jaccard)}
 ORACLE_SQL: dict[str, str] = {}
