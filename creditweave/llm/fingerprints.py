@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import durable
+
 PIECE_WORDS, SEEDS, LANE_BITS = 8, (0, 1), 21
 _LANE = (1 << LANE_BITS) - 1
 _BITS = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
@@ -134,7 +136,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     The edited text has its last third replaced by as much of the next document's start (descending doc_id; after the
     last the first). Null texts count as empty; other columns of docs play no part."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = add_fingerprint(base, "text", "f")
+    base = durable(add_fingerprint(base, "text", "f"), "fingerprints")  # read twice below, worked out once
     both = with_next(base, "doc_id", ["text", "f"])
     both = both.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("_k", F.expr("n_chars div 3"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - _k as int)), substring(next_text, 1, cast(_k as int)))"))

@@ -2,8 +2,9 @@
 
 A document's shingles are dealt by a hash to the parts of its size band, and each flips one bit of its part's 64-bit
 word. Two sketches of a band differ in at most as many bits, so in at most as many parts, as the sets differ in shingles.
-A band has more parts than a linked pair may differ in, so by the pigeonhole principle a linked pair agrees in a whole
-part; equal parts meet in a join and are verified by the sets themselves.
+A band has more parts than a linked pair may differ in, so by the pigeonhole principle a linked pair agrees in whole
+parts: in `need` of them at least. Equal parts meet in a join; documents that meet others in fewer parts than they need
+are out; pairs that are left are held against their sketches' Hamming distance and then verified by the sets themselves.
 
 Three kinds of part keep that exact and selective. `rare` parts leave out the shingles that a sample finds common (any
 set may be left out: what is left differs no more). A document with too few non-zero rare parts for the principle also
@@ -25,7 +26,9 @@ from .common import bounded, drop, durable, lists, slices, utf8
 from .components import connected_components
 
 SHORT, RATIO = 48, 1.5
+BROADCAST_IDS = 200_000
 _RARE, _FULL, _PREFIX = 1, 2, 3
+_NULL = -(2**63)
 
 
 def band_edges(most: int) -> list[int]:
@@ -44,43 +47,53 @@ def _word(tokens: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def _keys(sketch: np.ndarray, kind: int, band: int) -> np.ndarray:
+def _name(u: np.ndarray) -> int:
+    """A hash of the whole set, in any order."""
+    return int(words.mix(np.array([words.mix(u).sum(dtype=np.uint64) + np.uint64(len(u))])).view(np.int64)[0])
+
+
+def _keys(sketch: np.ndarray, tag: int) -> np.ndarray:
+    """A key for each non-zero part; the low byte is the tag."""
     part = np.flatnonzero(sketch)
-    tag = words.mix(part.astype(np.uint64) + np.uint64((kind << 56) + (band << 40)))
-    return words.mix(sketch[part] ^ tag)
+    return (words.mix(sketch[part] ^ words.mix(part.astype(np.uint64) + np.uint64(tag << 40))) & ~np.uint64(255)) | np.uint64(tag)
 
 
-def part_keys(u: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Join keys of a set of shingle hashes: sets with num/den of their union in common share one at least."""
+def part_keys(u: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """Join keys of a set of shingle hashes, and by tag (band and kind) in how many of them a linked set agrees at least."""
     n = len(u)
     if n == 0:
-        return u
+        return u, [], []
     often = common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u if len(common) else np.zeros(n, bool)
+    out, tags, needs = [], [], []
 
-    def prefix() -> np.ndarray:
+    def prefix() -> None:
         order = np.lexsort((u, often))
-        return words.mix(u[order[: n - -(-num * n // den) + 1]] + np.uint64(_PREFIX))
+        out.append((words.mix(u[order[: n - -(-num * n // den) + 1]]) & ~np.uint64(255)) | np.uint64(_PREFIX))
+        tags.append(_PREFIX)
+        needs.append(1)
 
-    out = [prefix()] if num * n <= den * (SHORT - 1) or n < SHORT else []
+    if num * n <= den * (SHORT - 1) or n < SHORT:
+        prefix()
     if n >= SHORT:
         edges = band_edges(n)
-        rare, band, fell = u[~often], len(edges) - 2, bool(out)
+        rare, band = u[~often], len(edges) - 2
         while True:
             limit = (edges[band + 1] - 1) * (den - num) // num  # a pair of this band differs in no more shingles
-            parts = limit + 5 + limit // 32
             for kind, tokens in ((_RARE, rare), (_FULL, u)):
-                sketch = _word(tokens, parts)
-                out.append(_keys(sketch, kind, band))
-                if np.count_nonzero(sketch) > limit:
+                sketch = _word(tokens, limit + limit // 4 + 8)
+                more = np.count_nonzero(sketch) - limit
+                out.append(_keys(sketch, 4 * band + kind))
+                tags.append(4 * band + kind)
+                needs.append(max(1, int(more)))
+                if more > 0:
                     break
             else:
-                if not fell:
-                    out.append(prefix())
-                    fell = True
+                if _PREFIX not in tags:
+                    prefix()
             band -= 1
             if band < 0 or num * n > den * (edges[band + 1] - 1):
                 break
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), tags, needs
 
 
 def _texts(batch: pa.RecordBatch, size: int):
@@ -115,82 +128,90 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     Words are runs other than white space of ASCII, A-Z lower-cased; a set has the distinct `size`-word shingles, or the
     whole sequence as one where there are fewer words. Two documents link when den * |both| >= num * |either|; a component
     has the smallest doc_id reachable. Documents without words (null or empty texts too) are linked with nothing: their
-    component is their own. Rows that repeat a doc_id are judged by their own texts; null ids stay null. No rows give none."""
-    base = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    component is their own. Rows that repeat a doc_id are judged by their own texts. A null id is the smallest and stays null.
+    No rows give none."""
+    base = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("_id"), F.col("text").alias("_text"))
     common = base.sparkSession.sparkContext.broadcast(_common(base, size))  # at most 200,000 hashes
 
     def sketch(batches):
         done: set[int] = set()  # sets that this task has given keys for
         for batch in batches:
             for a, b, sets in _texts(batch, size):
-                key, n, keys, wide = [], [], [], np.zeros((4, b - a), np.uint64)
-                for i, u in enumerate(sets):
-                    n.append(len(u))
-                    key.append(int(words.mix(np.array([words.mix(u).sum(dtype=np.uint64) + np.uint64(len(u))]))[0]))
-                    wide[:, i] = _word(u, 4)
-                    new = len(u) and key[-1] not in done
-                    keys.append(part_keys(u, common.value, num, den) if new else u[:0])
+                key, cols = [], ([], [], [], [])
+                for u in sets:
+                    key.append(_name(u))
+                    new = len(u) > 0 and key[-1] not in done
+                    keys, tags, needs = part_keys(u if new else u[:0], common.value, num, den)
+                    whole = _word(u, 1 << max(0, (len(u) - 1).bit_length() - 6)) if new else u[:0]
+                    for c, v in zip(cols, (keys, np.array(tags, np.int64), np.array(needs, np.int64), whole), strict=True):
+                        c.append(v)
                     done.add(key[-1])
+                n = np.array([len(u) for u in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.array(n, np.int64)), pa.array(np.array(key, np.uint64).view(np.int64)), *(pa.array(w.view(np.int64)) for w in wide), lists(np.concatenate(keys), np.cumsum([0, *map(len, keys)]))],
-                    names=["_id", "n", "s", "q0", "q1", "q2", "q3", "keys"],
+                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(np.array(key, np.int64)), *(lists(np.concatenate(c), np.cumsum([0, *map(len, c)])) for c in cols)],
+                    names=["_id", "n", "s", "keys", "tags", "needs", "whole"],
                 )
 
-    sets = durable(base.mapInArrow(sketch, "_id long, n long, s long, q0 long, q1 long, q2 long, q3 long, keys array<long>"), "sets")
-    nodes = durable(sets.where("n > 0").groupBy("s").agg(F.min("_id").alias("id"), *(F.min(c).alias(c) for c in ("n", "q0", "q1", "q2", "q3"))), "nodes")
-    keys = sets.select("s", F.explode("keys").alias("k"))
-    leaders = durable(keys.groupBy("k").agg(F.min("s").alias("lead"), F.count("*").alias("m")).where("m > 1").select("k", "lead"), "leaders")
-    met = durable(keys.join(leaders, "k").where("s <> lead").select("k", "s", "lead").distinct(), "met")
+    kind = base.schema["_id"].dataType.simpleString()
+    sets = durable(base.mapInArrow(sketch, f"_id {kind}, n long, s long, keys array<long>, tags array<long>, needs array<long>, whole array<long>"), "sets")
+    nodes = durable(sets.where("n > 0").groupBy("s").agg(F.min("_id").alias("id"), F.min("n").alias("n")), "nodes")
+    found = sets.select("s", F.explode("keys").alias("k"))
+    leaders = durable(found.groupBy("k").agg(F.min("s").alias("lead"), F.count("*").alias("m")).where("m > 1").select("k"), "leaders")
+    met = durable(found.join(leaders, "k").distinct(), "met")
     drop(leaders)
+    need = sets.select("s", F.explode(F.arrays_zip("tags", "needs")).alias("t")).select("s", F.col("t.tags").alias("tag"), F.col("t.needs").alias("need")).distinct()
+    enough = met.groupBy("s", F.expr("k & 255").alias("tag")).agg(F.count("*").alias("m")).join(need, ["s", "tag"]).where("m >= need").select("s", "tag")
+    met = durable(met.withColumn("tag", F.expr("k & 255")).join(durable(enough, "enough"), ["s", "tag"]).select("k", "s"), "met")
+    first = met.groupBy("k").agg(F.min("s").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    met = durable(met.join(durable(first, "leaders"), "k"), "met")
 
-    sides = [nodes.select(F.col("s").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "q0", "q1", "q2", "q3"))) for x in "ab"]
+    sketches = sets.where("size(whole) > 0").select("s", "n", "whole")
+    shrunk = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / 2 - 1).cast("int")), lambda i: F.get(x, (i * 2).cast("int")).bitwiseXOR(F.get(x, (i * 2 + 1).cast("int"))))
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose sizes and sketches allow a link."""
-        apart = sum((F.bit_count(F.col(f"q{i}_a").bitwiseXOR(F.col(f"q{i}_b"))) for i in range(4)), F.lit(0))
-        fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-        return pairs.join(sides[0], "a").join(sides[1], "b").where(fits).select(*pairs.columns, "n_a", "n_b")
-
-    tied = met.groupBy(F.col("s").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("m"))
-    tied = durable(possible(tied), "tied")
-    touched = met.select("s").unionByName(met.select(F.col("lead").alias("s"))).distinct().join(nodes, "s").select("id", "s")
+        """Of distinct pairs (a, b), those whose sizes and sketches allow a link, with both sizes."""
+        touched = durable(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "touched")
+        own = durable(sketches.join(touched, "s", "left_semi").dropDuplicates(["s"]), "sketches")
+        both = pairs.join(own.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("whole").alias("w_a")), "a")
+        both = both.join(own.select(F.col("s").alias("b"), F.col("n").alias("n_b"), F.col("whole").alias("w_b")), "b")
+        both = both.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+        both = both.withColumns({"x": F.when(F.size("w_a") > F.size("w_b"), shrunk("w_a")).otherwise(F.col("w_a")), "y": F.when(F.size("w_b") > F.size("w_a"), shrunk("w_b")).otherwise(F.col("w_b"))})
+        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, c: t + c)
+        return both.where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b", "n_a", "n_b")
 
     def read(batches):
         for batch in batches:
-            for a, b, sets in _texts(batch, size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))], names=["s", "u"])
-
-    text = base.join(touched, base["_id"] == touched["id"]).select("s", "_text")
-    whole = durable(text.mapInArrow(read, "s long, u array<long>").dropDuplicates(["s"]), "shingles")
+            want = batch.column(0).to_numpy()
+            for a, b, own in _texts(batch, size):
+                own = [(s, u) for s, u in zip(want[a:b].tolist(), own, strict=True) if _name(u) == s]  # another row may repeat the id
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in own], pa.int64()), lists(np.concatenate([u for _, u in own]), np.cumsum([0, *(len(u) for _, u in own)]))], names=["s", "u"])
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, n_a, n_b), those whose sets link."""
-        both = pairs.join(whole.select(F.col("s").alias("a"), F.col("u").alias("ua")), "a").join(whole.select(F.col("s").alias("b"), F.col("u").alias("ub")), "b")
+        """Of distinct pairs (a, b), those whose sets link."""
+        pairs = durable(possible(pairs), "possible")
+        ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(nodes, "s").select("s", F.col("id").alias("_id")), "ids")
+        few = ids.count() <= BROADCAST_IDS  # 16 bytes each; beyond, the join moves the texts
+        text = base.join(F.broadcast(ids) if few else ids, "_id").select("s", "_text")
+        own = durable(text.mapInArrow(read, "s long, u array<long>").dropDuplicates(["s"]), "shingles")
+        both = pairs.join(own.select(F.col("s").alias("a"), F.col("u").alias("ua")), "a").join(own.select(F.col("s").alias("b"), F.col("u").alias("ub")), "b")
         both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("ua", "ub")).cast("long").alias("x"))
-        return both.where(F.col("x") * den >= (F.col("n_a") + F.col("n_b") - F.col("x")) * num).select("a", "b")
-
-    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
-        return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+        out = durable(both.where(F.col("x") * den >= (F.col("n_a") + F.col("n_b") - F.col("x")) * num).select("a", "b"), "links")
+        drop(own)
+        return out
 
-    best = tied.groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("m", "b")).alias("t")).select("a", "t.b", "t.n_a", "t.n_b")
-    links = durable(linked(best), "links")
-    parts = durable(connected_components(links), "parts")
-    more = durable(linked(apart(tied, parts)), "links")
-    links = links.unionByName(more)
+    links = linked(met.where("s <> lead").select(F.col("s").alias("a"), F.col("lead").alias("b")).distinct())
     parts = durable(connected_components(links), "parts")
 
-    # Groups that share a part and are not of one component yet: all their pairs that could link.
-    group = met.select("k", "s").unionByName(met.select("k", F.col("lead").alias("s")).distinct())
+    # Groups that share a part and are not of one component yet: their pairs that no leader has tied.
+    group = met.where("m > 2 and s <> lead").select("k", "s").join(nodes.select("s", "n"), "s")
     group = group.join(parts.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    open_ = group.groupBy("k").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("m > 2 and lo < hi").select("k")
-    group = durable(group.join(open_, "k").join(nodes.drop("id"), "s"), "open")
-    a, b = (group.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "component", "n", "q0", "q1", "q2", "q3"))) for x in "ab")
-    far = sum((F.bit_count(F.col(f"q{i}_a").bitwiseXOR(F.col(f"q{i}_b"))) for i in range(4)), F.lit(0))
-    fits = (F.col("s_a") < F.col("s_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (far * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-    rest = a.join(b, (a["k"] == b["k"]) & fits).select(F.col("s_a").alias("a"), F.col("s_b").alias("b"), "n_a", "n_b").distinct()
-    rest = durable(linked(rest), "links")
+    open_ = group.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
+    group = durable(group.join(durable(open_, "open"), "k"), "open")
+    a, b = (group.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "component", "n"))) for x in "ab")
+    fits = (F.col("s_a") < F.col("s_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    rest = a.join(b, (a["k"] == b["k"]) & fits).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
+    rest = linked(durable(rest, "rest"))
     if rest.limit(1).count():
         parts = durable(connected_components(links.unionByName(rest)), "parts")
 
@@ -199,4 +220,5 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     label = nodes.select("s", "id").join(named.join(least, "component").select(F.col("node").alias("s"), "least"), "s", "left")
     label = durable(label.select("s", F.coalesce("least", "id").alias("component_id")), "label")
     out = sets.select("_id", "n", "s").join(label, "s", "left")
-    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    bare = lambda c: F.nullif(c, F.lit(_NULL))
+    return out.select(bare(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), bare(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))).alias("component_id"))
