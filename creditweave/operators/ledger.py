@@ -12,7 +12,7 @@ ENGINE_VERSION = "creditweave@1"
 
 def decisions(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(result rows, allocation rows) of scored outcomes. A candidate below the floor keeps its allocations."""
-    first = F.col("candidates")[0]["allocations"]
+    first = F.get("candidates", F.lit(0))["allocations"]
     matched = F.aggregate(first, F.lit(0).cast("bigint"), lambda t, a: t + a["allocated"])
     results = scored.select(
         "statement_ref", "decision", F.round("confidence", 4).cast("decimal(5,4)").alias("confidence"), "strategy", F.coalesce(matched, F.lit(0).cast("bigint")).alias("matched_amount_paise"),

@@ -30,7 +30,7 @@ def proximity(days: Column, cfg: Scoring) -> Column:
 
 def add_values(outcomes: DataFrame, cfg: Scoring) -> DataFrame:
     """outcomes with v_<signal> (null where the signal doesn't apply) and max_days_from_due."""
-    top = F.col("candidates")[0]
+    top = F.get("candidates", F.lit(0))
     shape, due = top["shape"], F.transform(top["allocations"], lambda a: F.abs(F.datediff(F.col("value_date"), a["due_date"])))
     amount = _lookup("strategy", AMOUNT_VALUE)
     amount = F.when(shape == "partial", amount * PARTIAL).when((shape == "short_pay") & (F.col("strategy") != "short_pay"), amount * SHORT_BY_NAME).otherwise(amount)
@@ -57,7 +57,7 @@ def base_score(weights: Weights) -> Column:
 
 def penalties(cfg: Scoring) -> list[tuple[str, float, Column]]:
     """(name, multiplier, condition), in the order that they are applied."""
-    allocations = F.col("candidates")[0]["allocations"]
+    allocations = F.get("candidates", F.lit(0))["allocations"]
     return [
         ("ambiguous", cfg.ambiguous, F.size("candidates") > 1),
         ("unreconciled_advice", cfg.unreconciled_advice, (F.col("strategy") == "remittance_guided") & ~F.col("advice_reconciled")),
@@ -92,13 +92,13 @@ def score(outcomes: DataFrame, cfg: Scoring) -> DataFrame:
         v, w = F.col(f"v_{n}"), getattr(cfg.weights, n)
         rows.append(F.struct(F.lit(n).alias("name"), F.coalesce(v > 0, F.lit(False)).alias("fired"), F.coalesce(v, F.lit(0.0)).alias("value"), F.lit(w).alias("weight"), v.isNotNull().alias("applicable")))
     out = out.withColumn("signals", F.when(F.size("candidates") > 0, F.array(*rows)).otherwise(F.slice(F.array(*rows), 1, 0)))
-    first = F.col("candidates")[0]["allocations"]
+    first = F.get("candidates", F.lit(0))["allocations"]
     numbers = F.array_join(F.transform(first, lambda a: a["invoice_number"]), ", ")
     claim = F.aggregate(first, F.lit(0).cast("bigint"), lambda t, a: t + a["deduction"])
     lead = F.when(F.col("decision") == "auto_applied", "Applied automatically").when(F.col("decision") == "needs_review", "Sent for review").otherwise("Left unapplied")
     text = F.concat(lead, F.lit(" at "), F.round(F.col("confidence") * 100, 0).cast("int").cast("string"), F.lit("% confidence: "), numbers, F.lit(", by "), F.col("strategy"), F.lit("."), F.when(claim > 0, F.concat(F.lit(" Deduction: "), claim.cast("string"), F.lit(" paise."))).otherwise(""), F.when(F.size("penalties") > 0, F.concat(F.lit(" Penalties: "), F.array_join(F.transform("penalties", lambda p: p["name"]), ", "), F.lit("."))).otherwise(""))
     missed = F.filter("trail", lambda s: ~s["fired"])
-    nothing = F.concat(F.lit("No credible allocation: "), F.coalesce(F.when(F.size(missed) > 0, F.element_at(missed, -1)["detail"]), F.lit("no signal fired")), F.lit("."))
+    nothing = F.concat(F.lit("No credible allocation: "), F.coalesce(F.when(F.size(missed) > 0, F.try_element_at(missed, F.lit(-1))["detail"]), F.lit("no signal fired")), F.lit("."))
     out = out.withColumn("reason_text", F.left(F.when(F.size("candidates") > 0, text).otherwise(nothing), F.lit(500)))
     return out.withColumn("explanation", F.to_json(F.struct("decision", F.round("confidence", 4).alias("confidence"), F.round("base_score", 4).alias("base_score"), "signals", "penalties", F.col("reason_text").alias("reason"), F.struct("strategy", "method", "references", "trail", "pool_size").alias("matching"))))
 

@@ -19,7 +19,7 @@ def smallest(items: Column, above: Column | None = None) -> Column:
     """The smallest item (ties: invoice number), of those that are open for more than `above`; null if there is none."""
     fits = items if above is None else F.filter(items, lambda i: i["open_amount_paise"] > above)
     ranked = F.array_sort(F.transform(fits, lambda i: F.struct(i["open_amount_paise"].alias("o"), i["invoice_number"].alias("n"), i["invoice_id"].alias("id"))))
-    return F.when(F.size(ranked) > 0, F.element_at(ranked, 1))
+    return F.when(F.size(ranked) > 0, F.try_element_at(ranked, F.lit(1)))
 
 
 def plausible_deduction(gap: Column, bearer_open: Column, cfg: Matching) -> Column:

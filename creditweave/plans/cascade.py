@@ -1,7 +1,8 @@
 """Payment to candidate allocations: advice, then references, then amounts; each tier sees what the ones before left.
 
 All payments are matched against one snapshot of the book. Tiers are joins on keys (statement_ref, normalised number,
-customer_id); the bounded search runs on one array a payment, and only for payments that nothing cheaper settled."""
+customer_id); the bounded search runs on one array a payment, and only for payments that nothing cheaper settled. Each
+tier is written to the shared folder before the next reads it: a tier's filters test what is stored, not its formulas."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from ..functions import text as T
 from ..operators import book, resolve, settle
 from ..operators.identity import identify
 from ..operators.search import search
+from ..session import settled
 
 SIGNAL = "struct<name: string, fired: boolean, detail: string, raw: string>"
 CANDIDATES = f"array<{settle.SETTLEMENT}>"
@@ -33,19 +35,19 @@ def _advice_tier(base: DataFrame, items: DataFrame, advice: DataFrame, cfg: Matc
     advice: remittance_id, statement_ref, method, reconciled, references, lines, claimed_reason. Documents are taken by id:
     the first that names one owner makes it the customer of an unknown payer, also if it settles nothing, and documents
     of other owners are then passed over."""
-    docs = advice.join(base.select("statement_ref", F.col("identity.customer_id").alias("known"), "amount_paise"), "statement_ref")
+    docs = settled(advice, "advice").join(base.select("statement_ref", F.col("identity.customer_id").alias("known"), "amount_paise"), "statement_ref")
     usable = docs.where((F.size("references") > 0) & (F.col("reconciled") | F.lit(not cfg.require_reconciled)))
     tokens = usable.select("statement_ref", "remittance_id", "known", F.posexplode("references").alias("pos", "normalized")).withColumn("digits", F.regexp_replace("normalized", "[^0-9]", ""))
     keys = ["statement_ref", "remittance_id"]
-    first = resolve.resolve(tokens, items, keys, "known").withColumn("owners", resolve.owners(F.col("resolved")))
+    first = settled(resolve.resolve(tokens, items, keys, "known").withColumn("owners", resolve.owners(F.col("resolved"))), "advice-read")
     named = first.join(usable.select(*keys, "known"), keys).where("known is null and size(owners) = 1")
-    named = named.groupBy("statement_ref").agg(F.min_by(F.element_at("owners", 1), "remittance_id").alias("named"), F.min("remittance_id").alias("named_by"))
+    named = settled(named.groupBy("statement_ref").agg(F.min_by(F.try_element_at(F.col("owners"), F.lit(1)), "remittance_id").alias("named"), F.min("remittance_id").alias("named_by")), "advice-named")
     later = tokens.join(named, "statement_ref").where("remittance_id > named_by").select(*keys, F.col("named").alias("known"), "pos", "normalized", "digits")
     again = resolve.resolve(later, items, keys, "known").withColumn("owners", resolve.owners(F.col("resolved")))
     either = first.select(*keys, F.struct("resolved", "unresolved", "owners").alias("x")).join(again.select(*keys, F.struct("resolved", "unresolved", "owners").alias("y")), keys, "left")
-    either = either.select(*keys, F.coalesce("y", "x").alias("z")).select(*keys, "z.*").join(usable, keys).join(named, "statement_ref", "left")
+    either = settled(either.select(*keys, F.coalesce("y", "x").alias("z")).select(*keys, "z.*").join(usable, keys).join(named, "statement_ref", "left"), "advice-owners")
     mine = F.coalesce("known", "named")
-    either = either.withColumn("settlement", F.when((F.size("owners") == 1) & (F.element_at("owners", 1) == mine), settle.settle(F.col("resolved"), F.col("amount_paise"), cfg)))
+    either = either.withColumn("settlement", F.when((F.size("owners") == 1) & (F.try_element_at(F.col("owners"), F.lit(1)) == mine), settle.settle(F.col("resolved"), F.col("amount_paise"), cfg)))
     doc = F.struct("remittance_id", "method", "reconciled", "references", "unresolved", "lines", "claimed_reason", "settlement")
     won = either.where("settlement is not null").groupBy("statement_ref").agg(F.min_by(doc, "remittance_id").alias("advice"))
     seen = docs.groupBy("statement_ref").agg(F.count("*").alias("n_documents"))
@@ -56,7 +58,7 @@ def apply_advice_reasons(settlement: Column, lines: Column, claimed: Column) ->
     """The advice's reason on what is deducted; the bearer is asserted where its own line states a claim."""
 
     def one(a: Column) -> Column:
-        line = F.element_at(F.filter(lines, lambda x: x["normalized_reference"] == a["normalized_number"]), -1)
+        line = F.try_element_at(F.filter(lines, lambda x: x["normalized_reference"] == a["normalized_number"]), F.lit(-1))
         own = F.when(F.size(F.filter(lines, lambda x: x["normalized_reference"] == a["normalized_number"])) > 0, line["deduction_reason"])
         stated = F.exists(lines, lambda x: (x["normalized_reference"] == a["normalized_number"]) & (x["deduction_amount_paise"] > 0))
         reason = F.when(own.isNull() | (own == "unknown"), claimed).otherwise(own)
@@ -72,7 +74,7 @@ def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: Data
     Payments need a unique statement_ref. Amounts of 0 or less, unknown payers and customers without open items end with
     strategy `none` and a trail that says why."""
     base = identify(payments.select("statement_ref", "amount_paise", "value_date", "payer_name_normalized", "normalized_narration"), names, aliases, cfg.identification, fuzzy)
-    base = base.withColumn("references", T.all_references(F.col("normalized_narration"), cfg.reference))
+    base = settled(base.withColumn("references", T.all_references(F.col("normalized_narration"), cfg.reference)), "identified")
 
     if advice is not None and cfg.remittance_enabled:
         base = base.join(_advice_tier(base, items, advice, cfg), "statement_ref", "left")
@@ -80,20 +82,19 @@ def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: Data
         kind = "struct<remittance_id: bigint, method: string, reconciled: boolean, references: array<string>, unresolved: array<string>>"
         base = base.withColumns({"n_documents": F.lit(None).cast("bigint"), "advice": F.lit(None).cast(kind), "named": F.lit(None).cast("bigint")})
     guided = F.when(F.col("advice").isNotNull(), apply_advice_reasons(F.col("advice.settlement"), F.col("advice.lines"), F.col("advice.claimed_reason"))) if advice is not None and cfg.remittance_enabled else F.lit(None).cast(settle.SETTLEMENT)
-    base = base.withColumns({"guided": guided, "customer_id": F.coalesce("identity.customer_id", "named")})
+    base = settled(base.withColumns({"guided": guided, "customer_id": F.coalesce("identity.customer_id", "named")}), "guided")
 
     asked = base.where("guided is null")
     tokens = asked.select("statement_ref", "customer_id", F.posexplode("references").alias("pos", "t")).select("statement_ref", "customer_id", "pos", "t.normalized", "t.digits")
     read = resolve.resolve(tokens, items, ["statement_ref"]).withColumn("owners", resolve.owners(F.col("resolved")))
-    base = base.join(read, "statement_ref", "left")
-    base = base.withColumn("owner", F.when(F.size("owners") == 1, F.element_at("owners", 1)))
+    base = settled(base.join(read, "statement_ref", "left").withColumn("owner", F.when(F.size("owners") == 1, F.try_element_at(F.col("owners"), F.lit(1)))), "read")
     agrees = F.col("owner").isNotNull() & (F.col("customer_id").isNull() | (F.col("customer_id") == F.col("owner")))
     base = base.withColumns({
         "by_reference": F.when(F.col("guided").isNull() & agrees, settle.settle(F.col("resolved"), F.col("amount_paise"), cfg)).cast(settle.SETTLEMENT),
         "recovered": F.col("customer_id").isNull() & F.col("owner").isNotNull(),
         "conflict": F.coalesce(F.col("customer_id") != F.col("owner"), F.lit(False)),
     })
-    base = base.withColumn("customer_id", F.coalesce("customer_id", "owner"))
+    base = settled(base.withColumn("customer_id", F.coalesce("customer_id", "owner")), "referred")
 
     left = base.where("guided is null and by_reference is null and customer_id is not null").select("statement_ref", "value_date", "customer_id", "amount_paise")
     pool = book.candidate_pool(left, items, cfg).groupBy("statement_ref").agg(F.collect_list(F.struct((-F.col("open_amount_paise")).alias("o"), "invoice_number", F.struct(*book.ITEM).alias("item"))).alias("p"))
@@ -106,10 +107,11 @@ def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: Data
     base = base.withColumn("subset", search(F.when(F.size("hits") == 0, amounts), F.col("amount_paise") - cfg.tolerance_paise, F.col("amount_paise") + cfg.tolerance_paise, cfg.subset_sum))
     low, high = settle.deduction_band(F.col("amount_paise"), cfg)
     base = base.withColumn("short", search(F.when((F.size("hits") == 0) & (F.size("subset.solutions") == 0), amounts), low, high, cfg.short_pay.search))
+    base = settled(base, "searched")
 
     def sets(found: str, partial: bool = False) -> Column:
         """Settled sets of a search, in the order of (total, invoice numbers) for short payments, else as found."""
-        chosen = F.transform(F.col(f"{found}.solutions"), lambda s: F.transform(F.array_sort(F.transform(s, lambda i: F.struct(F.element_at("pool", i + 1)["invoice_number"].alias("n"), F.element_at("pool", i + 1).alias("item")))), lambda x: x["item"]))
+        chosen = F.transform(F.col(f"{found}.solutions"), lambda s: F.transform(F.array_sort(F.transform(s, lambda i: F.struct(F.try_element_at(F.col("pool"), i + 1)["invoice_number"].alias("n"), F.try_element_at(F.col("pool"), i + 1).alias("item")))), lambda x: x["item"]))
         if found == "short":
             key = F.transform(chosen, lambda s: F.struct(settle.total_open(s).alias("t"), F.transform(s, lambda i: i["invoice_number"]).alias("n"), s.alias("s")))
             chosen = F.transform(F.array_sort(key), lambda x: x["s"])
@@ -128,14 +130,15 @@ def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: Data
     )
     method = F.when(F.col("identity.customer_id").isNull() & F.col("customer_id").isNotNull(), "reference").otherwise(F.col("identity.method"))
     base = base.withColumns({"strategy": strategy, "candidates": chosen, "method": method, "identity_score": F.when(method == "reference", 1.0).otherwise(F.col("identity.score"))})
-    first = F.col("candidates")[0]["allocations"]
+    first = F.get("candidates", F.lit(0))["allocations"]
     placed = F.aggregate(F.coalesce(first, F.array().cast(f"array<{settle.ALLOCATION}>")), F.lit(0).cast("bigint"), lambda t, a: t + a["allocated"])
     base = base.withColumn("residual_paise", F.when(F.size("candidates") > 0, F.col("amount_paise") - placed).otherwise(F.lit(0).cast("bigint")))
-    return base.withColumn("trail", _trail(cfg)).withColumn("pool_size", F.coalesce(F.size("pool"), F.lit(0))).select(
+    out = base.withColumn("trail", _trail(cfg)).withColumn("pool_size", F.coalesce(F.size("pool"), F.lit(0))).select(
         "statement_ref", "amount_paise", "value_date", "customer_id", "method", "identity_score", F.col("identity.matched_on").alias("matched_on"), "references", "strategy", "candidates", "residual_paise", "trail",
         "pool_size", F.col("subset.nodes").alias("subset_nodes"), F.col("subset.exhausted").alias("subset_exhausted"), F.col("short.nodes").alias("short_nodes"), F.col("short.exhausted").alias("short_exhausted"),
         F.col("advice.reconciled").alias("advice_reconciled"), F.col("n_documents"),
     )
+    return settled(out, "outcomes")
 
 
 def _trail(cfg: Matching) -> Column:

@@ -18,7 +18,7 @@ def compare(scored: DataFrame, truth: DataFrame, tolerance: int = 100) -> DataFr
 
     verdict: correct, wrong, missed or correctly_unapplied; an unapplied decision proposes nothing. A decision without
     truth raises when the result is computed."""
-    first = F.col("candidates")[0]["allocations"]
+    first = F.get("candidates", F.lit(0))["allocations"]
     kept = F.coalesce(F.when(F.col("decision") != "unapplied", first), F.slice(first, 1, 0))
     proposed = F.coalesce(F.array_sort(F.transform(kept, lambda a: F.struct(a["invoice_number"].alias("n"), a["allocated"].alias("v"), a["deduction"].alias("d"), a["reason"].alias("r")))), F.array().cast("array<struct<n: string, v: bigint, d: bigint, r: string>>"))
     known = truth.select("statement_ref", "scenario", F.array_sort(F.transform("expected", lambda a: F.struct(a["invoice_number"].alias("n"), a["allocated"].alias("v"), a["deduction"].alias("d"), a["reason"].alias("r")))).alias("wanted"))

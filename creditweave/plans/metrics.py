@@ -32,7 +32,7 @@ def dashboard(customers: DataFrame, invoices: DataFrame, payments: DataFrame, re
 
 def decision_summary(scored: DataFrame) -> DataFrame:
     """Counts and value of each bucket, deductions found, and the three rates, in one pass."""
-    first = F.col("candidates")[0]["allocations"]
+    first = F.get("candidates", F.lit(0))["allocations"]
     claim = F.coalesce(F.exists(first, lambda a: a["deduction"] > 0), F.lit(False)) & (F.col("decision") != "unapplied")
     cols = [F.count("*").alias("total")]
     for d in ("auto_applied", "needs_review", "unapplied"):

@@ -286,8 +286,8 @@ def _sets(spark, d, low, high, cfg: Search) -> DataFrame:
     pool = _pool(spark, d).groupBy("statement_ref", "amount_paise").agg(F.array_sort(F.collect_list(F.struct((-F.col("open_amount_paise")).alias("o"), "invoice_number", "open_amount_paise"))).alias("p"))
     found = pool.withColumn("f", search.search(F.transform("p", lambda i: i["open_amount_paise"]), low, high, cfg))
     rows = found.select("statement_ref", "p", F.explode("f.solutions").alias("s"))
-    numbers = F.array_sort(F.transform("s", lambda i: F.element_at("p", i + 1)["invoice_number"]))
-    total = F.aggregate("s", F.lit(0).cast("bigint"), lambda t, i: t + F.element_at("p", i + 1)["open_amount_paise"])
+    numbers = F.array_sort(F.transform("s", lambda i: F.try_element_at(F.col("p"), i + 1)["invoice_number"]))
+    total = F.aggregate("s", F.lit(0).cast("bigint"), lambda t, i: t + F.try_element_at(F.col("p"), i + 1)["open_amount_paise"])
     return rows.select("statement_ref", F.array_join(numbers, " ").alias("numbers"), total.alias("total_paise"))
 
 
@@ -317,7 +317,7 @@ def subset_sum_full(spark, d):
 def short_pay_single(spark, d):
     item = F.struct(*book.ITEM)
     s = _pool(spark, d).select("statement_ref", "invoice_number", settle.settle(F.array(item), F.col("amount_paise"), DEFAULT, allow_partial=False).alias("s"))
-    return s.where("s.shape = 'short_pay'").select("statement_ref", "invoice_number", F.col("s.allocations")[0]["deduction"].alias("claim_paise"))
+    return s.where("s.shape = 'short_pay'").select("statement_ref", "invoice_number", F.get("s.allocations", F.lit(0))["deduction"].alias("claim_paise"))
 
 
 # --- settlement, scoring, ledger
@@ -325,7 +325,7 @@ def short_pay_single(spark, d):
 
 @query(RESOLVED + " SELECT statement_ref, shape, CAST(greatest(CASE WHEN shape = 'partial' THEN 0 ELSE gap END, 0) AS BIGINT) AS deduction_paise, CAST(CASE WHEN shape = 'partial' THEN amount_paise ELSE least(total, amount_paise) END AS BIGINT) AS allocated_paise FROM scored")
 def settle_shapes(spark, d):
-    first = F.col("candidates")[0]
+    first = F.get("candidates", F.lit(0))
     add = lambda k: F.aggregate(first["allocations"], F.lit(0).cast("bigint"), lambda t, a: t + a[k])
     return _by_reference(spark, d).select("statement_ref", first["shape"].alias("shape"), add("deduction").alias("deduction_paise"), add("allocated").alias("allocated_paise"))
 

@@ -1,12 +1,13 @@
-"""Getting this package to the executors."""
+"""What an application needs besides its queries: the package on the executors, and a shared folder for settled steps."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,22 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(to))
         _shipped.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read again.
+
+    Plans of many steps stay small, later filters are not worked into earlier expressions, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settled
 
 SYLLABLES = ["ka", "ri", "mo", "tu", "ben", "sha", "dev", "lal", "gor", "nim", "pat", "sur", "vij", "hem", "raj", "yel"]
 TRADES = ["Traders", "Stores", "Agencies", "Enterprises", "Distributors", "Marketing", "Foods", "Pharma"]
@@ -17,6 +18,19 @@ FORMS = [" Pvt. Ltd.", " Private Limited", " & Co.", " LLP"]
 SCENARIOS = [("exact_single", 34), ("bundled_multi", 52), ("short_pay_deduction", 66), ("partial_payment", 76), ("missing_reference", 86), ("typo_reference", 94), ("payer_name_variant", 98), ("no_matching_invoice", 100)]
 
 
+_derived: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, d: str | dict[str, DataFrame], name: str, df: DataFrame) -> DataFrame:
+    """A derived table, written to the shared folder once for each application and source folder."""
+    if isinstance(d, dict):
+        return df
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _derived:
+        _derived[key] = settled(df, name)
+    return _derived[key]
+
+
 def _read(spark: SparkSession, d: str | dict[str, DataFrame], name: str) -> DataFrame:
     """A table of a folder, or of a dict of tables."""
     if isinstance(d, dict):
@@ -34,13 +48,15 @@ def customers(spark: SparkSession, d: str) -> DataFrame:
     word = F.concat(*(_pick(SYLLABLES, f"{k} div {16**i}") for i in range(5)))
     legal = F.concat(F.when(F.expr(f"{k} % 7 = 0"), "M/s. ").otherwise(""), F.initcap(word), F.lit(" "), _pick(TRADES, k), _pick(FORMS, k))
     out = _read(spark, d, "customer").join(_read(spark, d, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return out.select(F.col(k).alias("customer_id"), F.concat(F.lit("CUST-"), F.col(k).cast("string")).alias("code"), legal.alias("legal_name"), T.normalize_party_name(legal).alias("normalized_name"), F.col("n_name").alias("city"), F.expr(f"cast(15 * (1 + {k} % 4) as int)").alias("payment_terms_days"))
+    out = out.select(F.col(k).alias("customer_id"), F.concat(F.lit("CUST-"), F.col(k).cast("string")).alias("code"), legal.alias("legal_name"), T.normalize_party_name(legal).alias("normalized_name"), F.col("n_name").alias("city"), F.expr(f"cast(15 * (1 + {k} % 4) as int)").alias("payment_terms_days"))
+    return _once(spark, d, "customers", out)
 
 
 def aliases(spark: SparkSession, d: str) -> DataFrame:
     """alias_id, customer_id, alias, normalized_alias: two of three customers have one."""
     alias = F.concat(F.upper(F.regexp_replace("legal_name", "(M/s\\. | Pvt\\. Ltd\\.| Private Limited| & Co\\.| LLP)", "")), F.lit("-"), F.upper("city"))
-    return customers(spark, d).where("customer_id % 3 < 2").select(F.col("customer_id").alias("alias_id"), "customer_id", alias.alias("alias"), T.normalize_party_name(alias).alias("normalized_alias"))
+    out = customers(spark, d).where("customer_id % 3 < 2").select(F.col("customer_id").alias("alias_id"), "customer_id", alias.alias("alias"), T.normalize_party_name(alias).alias("normalized_alias"))
+    return _once(spark, d, "aliases", out)
 
 
 def invoices(spark: SparkSession, d: str) -> DataFrame:
@@ -50,10 +66,11 @@ def invoices(spark: SparkSession, d: str) -> DataFrame:
     o = o.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("day"), F.expr("cast(round(o_totalprice * 100) as bigint)").alias("amount"), number.alias("number"))
     open_ = F.expr("case o_orderstatus when 'F' then 0 when 'P' then amount - amount * (10 + o_orderkey % 50) div 100 else amount end")
     status = F.expr("case o_orderstatus when 'F' then 'paid' when 'P' then 'partially_paid' else 'open' end")
-    return o.select(
+    out = o.select(
         F.col("o_orderkey").alias("invoice_id"), F.col("number").alias("invoice_number"), T.normalize_reference(F.col("number")).alias("normalized_number"), F.col("o_custkey").alias("customer_id"),
         F.col("day").alias("invoice_date"), F.expr("date_add(day, cast(15 * (1 + o_custkey % 4) as int))").alias("due_date"), F.col("amount").alias("amount_paise"), open_.cast("bigint").alias("open_amount_paise"), status.alias("status"),
     )
+    return _once(spark, d, "invoices", out)
 
 
 def _paid(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +109,8 @@ def payments(spark: SparkSession, d: str) -> DataFrame:
         F.expr("concat('UTR', lpad(cast(invoice_id as string), 12, '0'))").alias("statement_ref"), F.expr("greatest(date_add(due_date, cast(invoice_id % 52 as int) - 6), date_add(invoice_date, 1))").alias("value_date"),
         "amount_paise", payer.alias("payer_name_raw"), narration.alias("narration"), F.lit("ACC-1").alias("bank_account"), F.lit("unmatched").alias("status"),
     )
-    return p.withColumns({"payer_name_normalized": T.normalize_party_name(F.col("payer_name_raw")), "normalized_narration": T.normalize_narration(F.col("narration"))})
+    p = p.withColumns({"payer_name_normalized": T.normalize_party_name(F.col("payer_name_raw")), "normalized_narration": T.normalize_narration(F.col("narration"))})
+    return _once(spark, d, "payments", p)
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +132,8 @@ def remittances(spark: SparkSession, d: str) -> DataFrame:
         when 1 then concat(invoice_number, ' | ', {money('open_amount_paise')}, '/-', case when claim_paise > 0 then concat(' | less ', {money('claim_paise')}, ' damage') else '' end, {second})
         when 2 then concat('Dear Sir,\\n> ', invoice_number, ' ', {money('open_amount_paise')}, case when claim_paise > 0 then concat(' ', {money('claim_paise')}, ' ', {money('open_amount_paise - claim_paise')}) else '' end, {second}, '\\nRegards, 21 Jan 2026')
         else concat('payment of ', {money('amount_paise')}, ' against ', invoice_number, {second}, '\\nUTR', lpad(cast(invoice_id as string), 12, '0')) end""".replace("""{"'"}""", "'")
-    return p.select(
+    out = p.select(
         F.col("invoice_id").alias("remittance_id"), F.expr("case when invoice_id % 7 = 0 then null else concat('UTR', lpad(cast(invoice_id as string), 12, '0')) end").alias("statement_ref"),
         F.expr(body).alias("raw_text"), F.col("amount_paise").alias("credit_paise"), F.lit("email").alias("source_type"), F.expr("concat('advice-', cast(invoice_id as string), '.txt')").alias("source_filename"),
     )
+    return _once(spark, d, "remittances", out)
