@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-PIECE_WORDS, SEEDS, LANE_BITS = 8, (0, 1), 21
+SEEDS, LANE_BITS = (0, 1), 21
+#: Up to 8 words of one paragraph; possessive, so that it takes time in proportion to the text.
+_PIECE = r"[^ \t\n\x0B\f\r]++(?:[ \t\x0B\f\r]++[^ \t\n\x0B\f\r]++){0,7}+"
 _LANE = (1 << LANE_BITS) - 1
 _BITS = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
 FINGERPRINT = "struct<wide: array<bigint>, narrow: array<bigint>, pieces: bigint>"
@@ -23,15 +25,6 @@ def _paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda p: p != "")
 
 
-def _pieces(paragraphs: Column, seed: int) -> Column:
-    def of(p: Column) -> Column:
-        words = F.split(p, "[ \\t\\x0B\\f\\r]+")
-        at = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / PIECE_WORDS).cast("int"))
-        return F.transform(at, lambda i: F.xxhash64(F.lit(seed), F.slice(words, i * PIECE_WORDS + 1, F.lit(PIECE_WORDS))))
-
-    return F.flatten(F.transform(paragraphs, of))
-
-
 def _sum(values: Column, part) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda total, x: total + part(x))
 
@@ -41,9 +34,10 @@ def add_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
 
     Each step is a projection of its own, so that a hash is computed once for all lanes."""
     names = [c for c in df.columns if c != to]
-    df = df.withColumn("_p", _paragraphs(F.coalesce(text, F.lit(""))))
+    whole = F.coalesce(text, F.lit(""))
+    df = df.withColumns({"_p": _paragraphs(whole), "_q": F.regexp_extract_all(whole, F.lit(_PIECE), 0)})
     hashes = [F.transform("_p", lambda p, s=s: F.xxhash64(F.lit(s), p)).alias(f"_w{s}") for s in range(4)]
-    pieces = [_pieces(F.col("_p"), s).alias(f"_h{s}") for s in SEEDS]
+    pieces = [F.transform("_q", lambda q, s=s: F.xxhash64(F.lit(s), q)).alias(f"_h{s}") for s in SEEDS]
     df = df.select(*names, *hashes, *pieces)
     low = (1 << 32) - 1
     wide = []
@@ -94,17 +88,17 @@ def add_likeness(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
     return df.withColumn(to, F.when(F.col(a) == F.col(b), 1.0).when(F.col("_size") == 0, 0.0).otherwise(near)).drop("_a", "_b", "_apart", "_size")
 
 
-def with_next(df: DataFrame, key: str, carry: list[str], rows_a_bucket: int = 500) -> DataFrame:
+def with_next(df: DataFrame, key: str, tie: str, carry: list[str], rows_a_bucket: int = 500) -> DataFrame:
     """df with next_<c> for each c of carry: the row of the next smaller key, and after the smallest the largest.
 
     Keys are cut at up to 1,000 quantiles, and each of those ranges evenly into buckets, so no task sorts the table: a
     window leads inside a bucket, and each bucket's last row takes the first one of the next bucket that has rows.
-    Null keys count as smallest; equal keys follow one another by a hash of carry's columns."""
+    Null keys count as smallest; equal keys follow one another by the column `tie`, a long."""
     total = df.count()
     ids = df.select(F.coalesce(key, F.lit(-(2**63))).alias("k"))
     cells = min(1000, max(1, total // (4 * rows_a_bucket)))
     cuts = sorted({int(x) for x in ids.approxQuantile("k", [i / cells for i in range(1, cells)], 0.0005)}) if total and cells > 1 else []
-    df = df.withColumn("_k", F.coalesce(key, F.lit(-(2**63)))).withColumn("_tie", F.xxhash64(*carry))
+    df = df.withColumn("_k", F.coalesce(key, F.lit(-(2**63))))
     cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_k"))) if cuts else F.lit(0)
     df = df.withColumn("_cell", cell)
     wide = [max(1, (b - a) * rows_a_bucket * (len(cuts) + 1) // max(1, total)) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -115,7 +109,7 @@ def with_next(df: DataFrame, key: str, carry: list[str], rows_a_bucket: int = 50
     else:
         sub = F.lit(0).cast("bigint")
     df = df.withColumn("_sub", sub)
-    inside = Window.partitionBy("_cell", "_sub").orderBy(F.desc("_k"), F.desc("_tie"))
+    inside = Window.partitionBy("_cell", "_sub").orderBy(F.desc("_k"), F.desc(tie))
     led = df.withColumns({f"_n_{c}": F.lead(F.struct(c)).over(inside) for c in carry} | {"_rn": F.row_number().over(inside)})
     heads = led.where("_rn = 1").select("_cell", "_sub", *(F.struct(c).alias(f"_h_{c}") for c in carry))
     across = Window.partitionBy("_cell").orderBy(F.desc("_sub"))
@@ -126,7 +120,7 @@ def with_next(df: DataFrame, key: str, carry: list[str], rows_a_bucket: int = 50
     tops = tops.select("_cell", *(F.coalesce(F.lead(f"_t_{c}").over(every), F.first(f"_t_{c}").over(whole)).alias(f"_y_{c}") for c in carry))
     after = heads.join(tops, "_cell").select("_cell", "_sub", *(F.coalesce(f"_x_{c}", f"_y_{c}").alias(f"_z_{c}") for c in carry))
     out = led.join(after, ["_cell", "_sub"], "left")
-    kept = [c for c in df.columns if c not in ("_k", "_tie", "_cell", "_sub")]
+    kept = [c for c in df.columns if c not in ("_k", "_cell", "_sub")]
     return out.select(*kept, *(F.coalesce(f"_n_{c}", f"_z_{c}")[c].alias(f"next_{c}") for c in carry))
 
 
@@ -135,12 +129,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third replaced by as much of the next document's start (descending doc_id; after the
     last the first). Null texts count as empty; other columns of docs play no part."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = durable(add_fingerprint(base, "text", "f"), "fingerprints")  # read twice below, worked out once
-    both = with_next(base, "doc_id", ["text", "f"])
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_order", F.xxhash64("text"))
+    both = with_next(base, "doc_id", "_order", ["text"])
     both = both.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("_k", F.expr("n_chars div 3"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - _k as int)), substring(next_text, 1, cast(_k as int)))"))
-    both = both.select("doc_id", "n_chars", "f", "next_f", "edited", F.sha2("edited", 256).alias("edited_sha256"))
-    both = add_fingerprint(both, "edited", "e")
-    both = add_likeness(add_likeness(both, "f", "e", "near_edited"), "f", "next_f", "near_next")
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next")
+    both = add_fingerprint(both.select("doc_id", "_order", "n_chars", "text", "edited"), "text", "f")
+    both = add_fingerprint(both.select("doc_id", "_order", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), "f"), "edited", "e")
+    both = add_likeness(both.drop("edited"), "f", "e", "near_edited")
+    both = both.withColumn("edited_fingerprint", as_text(F.col("e"))).drop("e")
+    both = durable(both, "fingerprints")  # from here on without texts
+    both = add_likeness(with_next(both, "doc_id", "_order", ["f"]), "f", "next_f", "near_next")
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next")
