@@ -25,6 +25,10 @@ def _paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda p: p != "")
 
 
+def _hashes(parts: str, seed: int) -> Column:
+    return F.transform(parts, lambda part: F.xxhash64(F.lit(seed), part))
+
+
 def _sum(values: Column, part) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda total, x: total + part(x))
 
@@ -36,8 +40,8 @@ def add_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     names = [c for c in df.columns if c != to]
     whole = F.coalesce(text, F.lit(""))
     df = df.withColumns({"_p": _paragraphs(whole), "_q": F.regexp_extract_all(whole, F.lit(_PIECE), 0)})
-    hashes = [F.transform("_p", lambda p, s=s: F.xxhash64(F.lit(s), p)).alias(f"_w{s}") for s in range(4)]
-    pieces = [F.transform("_q", lambda q, s=s: F.xxhash64(F.lit(s), q)).alias(f"_h{s}") for s in SEEDS]
+    hashes = [_hashes("_p", s).alias(f"_w{s}") for s in range(4)]
+    pieces = [_hashes("_q", s).alias(f"_h{s}") for s in SEEDS]
     df = df.select(*names, *hashes, *pieces)
     low = (1 << 32) - 1
     wide = []
