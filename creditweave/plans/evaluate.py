@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Scoring
 from ..operators import score as S
+from ..session import settled
 
 
 def rate(part: Column, whole: Column, empty: float = 0.0) -> Column:
@@ -92,7 +93,7 @@ def recommend(rows: DataFrame, least_precision: float = 0.99) -> DataFrame:
 
 def ablation(outcomes: DataFrame, truth: DataFrame, cfg: Scoring) -> DataFrame:
     """For each signal left out (and none), the headline counts; the search isn't run again, only the scoring."""
-    valued = S.add_values(outcomes, cfg)
+    valued, truth = settled(S.add_values(outcomes, cfg), "valued"), settled(truth, "truth")
     out = None
     for left_out in ["none", *S.NAMES]:
         weights = cfg.weights if left_out == "none" else cfg.weights.without(left_out)

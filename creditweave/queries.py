@@ -40,7 +40,7 @@ def sql_narration(x: str) -> str:
     return rf"trim(regexp_replace(upper(coalesce({x}, '')), '\s+', ' ', 'g'))"
 
 
-_BARE = r"regexp_replace(legal_name, '(M/s\. | Pvt\. Ltd\.| Private Limited| & Co\.| LLP)', '')"
+_BARE = r"regexp_replace(legal_name, '(M/s\. | Pvt\. Ltd\.| Private Limited| & Co\.| LLP)', '', 'g')"
 _WORD = " || ".join(f"[{_list(star.SYLLABLES)}][(c_custkey // {16**i}) % 16 + 1]" for i in range(5))
 _SCENARIO = "CASE " + " ".join(f"WHEN (invoice_id // 3) % 100 < {b} THEN '{n}'" for n, b in star.SCENARIOS) + " END"
 DOMAIN = f"""WITH named AS (
