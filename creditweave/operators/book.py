@@ -37,9 +37,15 @@ def by_number(items: DataFrame) -> DataFrame:
 
 def candidate_pool(payments: DataFrame, items: DataFrame, cfg: Matching) -> DataFrame:
     """For each payment (statement_ref, value_date, customer_id) its customer's items in the date window: the `max_pool`
-    nearest by due date (ties: invoice_number), as rows. The cap is a window limit, so Spark prunes before the shuffle."""
-    inside = F.col("invoice_date").between(F.date_sub("value_date", cfg.days_before_payment), F.date_add("value_date", cfg.days_after_payment))
+    nearest by due date (ties: invoice_number), as rows. The cap is a window limit, so Spark prunes before the shuffle.
+
+    The join is on customer and span of days, as long as the window: a payment meets one or two spans of its customer, so
+    the years of a large customer's book spread over tasks and never meet all of its payments."""
+    first, last = F.date_sub("value_date", cfg.days_before_payment), F.date_add("value_date", cfg.days_after_payment)
+    width = cfg.days_before_payment + cfg.days_after_payment + 1
+    span = lambda day: F.floor(F.unix_date(day) / width)
     near = F.abs(F.datediff("due_date", "value_date"))
     rank = F.row_number().over(Window.partitionBy("statement_ref").orderBy(near, "invoice_number", "invoice_id"))
-    joined = payments.join(items, "customer_id").where(inside)
+    joined = payments.withColumn("_span", F.explode(F.sequence(span(first), span(last)))).join(items.withColumn("_span", span(F.col("invoice_date"))), ["customer_id", "_span"])
+    joined = joined.where(F.col("invoice_date").between(first, last)).drop("_span")
     return joined.withColumn("pool_rank", rank).where(F.col("pool_rank") <= cfg.max_pool)

@@ -19,6 +19,8 @@ HEADERS = {
 }
 REQUIRED = ["statement_ref", "value_date", "amount", "payer_name"]
 MAX_BYTES = 16 << 20
+#: Where Windows-1252 differs from Latin-1 (five of its bytes have no character and stay as they are).
+_WINDOWS = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("windows-1252", "ignore"))}
 
 
 def map_headers(columns: list[str]) -> dict[str, str]:
@@ -33,14 +35,16 @@ def map_headers(columns: list[str]) -> dict[str, str]:
 def decode(content: Column) -> Column:
     """Text of bytes: UTF-8 (with or without a mark) where it is valid, else Windows-1252."""
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "windows-1252")), "^\ufeff", "")
+    windows = F.translate(F.decode(content, "iso-8859-1"), "".join(_WINDOWS), "".join(_WINDOWS.values()))
+    return F.regexp_replace(F.coalesce(utf8, windows), "^\ufeff", "")
 
 
 def check_statement(raw: DataFrame) -> DataFrame:
-    """Rows of a statement (all strings) with typed columns and `error`: null, or why the row can't be loaded."""
+    """Rows of a statement (all strings) with typed columns, `error` (null, or why the row can't be loaded) and `row`, which
+    rises through a file that was just read."""
     at = map_headers(raw.columns)
     get = lambda k: F.trim(F.col(f"`{at[k]}`")) if k in at else F.lit(None).cast("string")
-    out = raw.select(*(get(k).alias(k) for k in HEADERS))
+    out = raw.select(*(get(k).alias(k) for k in HEADERS), F.monotonically_increasing_id().alias("row"))
     day, paise = T.parse_date(F.col("value_date")), parse_credit(F.col("amount"))
     error = (
         F.when(F.coalesce("statement_ref", F.lit("")) == "", "no statement reference").when(day.isNull(), "the date can't be read")
@@ -49,16 +53,16 @@ def check_statement(raw: DataFrame) -> DataFrame:
     narration = F.coalesce("narration", F.lit(""))
     return out.select(
         F.left("statement_ref", F.lit(64)).alias("statement_ref"), day.alias("value_date"), paise.alias("amount_paise"), F.left("payer_name", F.lit(255)).alias("payer_name_raw"), T.normalize_party_name(F.col("payer_name")).alias("payer_name_normalized"),
-        narration.alias("narration"), T.normalize_narration(narration).alias("normalized_narration"), F.coalesce("bank_account", F.lit("")).alias("bank_account"), F.lit("unmatched").alias("status"), error.alias("error"),
+        narration.alias("narration"), T.normalize_narration(narration).alias("normalized_narration"), F.coalesce("bank_account", F.lit("")).alias("bank_account"), F.lit("unmatched").alias("status"), error.alias("error"), "row",
     )
 
 
 def load_statement(raw: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new payments, bad rows, one-row summary). References that exist already, or come again in the file, are skipped."""
+    """(new payments, bad rows, one-row summary). References that exist already, or came earlier in the file, are skipped."""
     checked = check_statement(raw)
-    good, bad = checked.where("error is null").drop("error"), checked.where("error is not null")
-    rn = F.row_number().over(Window.partitionBy("statement_ref").orderBy("value_date", "amount_paise", "payer_name_raw", "narration"))
-    new = good.withColumn("_rn", rn).where("_rn = 1").drop("_rn").join(existing.select("statement_ref"), "statement_ref", "left_anti")
+    good, bad = checked.where("error is null").drop("error"), checked.where("error is not null").drop("row")
+    rn = F.row_number().over(Window.partitionBy("statement_ref").orderBy("row"))
+    new = good.withColumn("_rn", rn).where("_rn = 1").drop("_rn", "row").join(existing.select("statement_ref"), "statement_ref", "left_anti")
     counts = checked.agg(F.count("*").alias("rows_read"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.slice(F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.concat(F.coalesce("statement_ref", F.lit("?")), F.lit(": "), F.col("error"))))), 1, 25).alias("errors"))
     summary = counts.crossJoin(new.agg(F.count("*").alias("created"))).withColumn("skipped", F.col("rows_read") - F.col("failed") - F.col("created"))
     return new, bad, summary
