@@ -3,8 +3,9 @@
 A document's shingles are dealt by a hash to the parts of its size band, and each flips one bit of its part's 64-bit
 word. Two sketches of a band differ in at most as many bits, so in at most as many parts, as the sets differ in shingles.
 A band has more parts than a linked pair may differ in, so by the pigeonhole principle a linked pair agrees in whole
-parts: in `need` of them at least. Equal parts meet in a join; documents that meet others in fewer parts than they need
-are out; pairs that are left are held against their sketches' Hamming distance and then verified by the sets themselves.
+parts: in `need` of them at least. Parts that no other document has are out; of the rest each document keeps all but
+the need - 1 commonest (none, if it shares fewer than it needs), and these meet in a join. The pairs are held against
+their sketches' Hamming distance and then verified by the sets themselves.
 
 Three kinds of part keep that exact and selective. `rare` parts leave out the shingles that a sample finds common (any
 set may be left out: what is left differs no more). A document with too few non-zero rare parts for the principle also
@@ -18,14 +19,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
 from .common import bounded, drop, durable, lists, slices, utf8
 from .components import connected_components
 
-SHORT, RATIO = 48, 1.5
+SHORT, RATIO = 48, 1.25
 BROADCAST_IDS = 200_000
 _RARE, _FULL, _PREFIX = 1, 2, 3
 _NULL = -(2**63)
@@ -156,14 +157,18 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     sets = durable(base.mapInArrow(sketch, f"_id {kind}, n long, s long, keys array<long>, tags array<long>, needs array<long>, whole array<long>"), "sets")
     nodes = durable(sets.where("n > 0").groupBy("s").agg(F.min("_id").alias("id"), F.min("n").alias("n")), "nodes")
     found = sets.select("s", F.explode("keys").alias("k"))
-    leaders = durable(found.groupBy("k").agg(F.min("s").alias("lead"), F.count("*").alias("m")).where("m > 1").select("k"), "leaders")
-    met = durable(found.join(leaders, "k").distinct(), "met")
-    drop(leaders)
+    shared = durable(found.groupBy("k").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("k", "m"), "shared")
+    met = durable(found.join(shared, "k").distinct(), "met")
     need = sets.select("s", F.explode(F.arrays_zip("tags", "needs")).alias("t")).select("s", F.col("t.tags").alias("tag"), F.col("t.needs").alias("need")).distinct()
-    enough = met.groupBy("s", F.expr("k & 255").alias("tag")).agg(F.count("*").alias("m")).join(need, ["s", "tag"]).where("m >= need").select("s", "tag")
-    met = durable(met.withColumn("tag", F.expr("k & 255")).join(durable(enough, "enough"), ["s", "tag"]).select("k", "s"), "met")
-    first = met.groupBy("k").agg(F.min("s").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    met = durable(met.join(durable(first, "leaders"), "k"), "met")
+    # A linked set agrees in `need` keys at least, so in one of all but the need - 1 commonest: the others need not meet.
+    own = Window.partitionBy("s", "tag")
+    ranked = met.withColumn("tag", F.expr("k & 255")).withColumns({"rank": F.row_number().over(own.orderBy("m", "k")), "all": F.count("*").over(own)})
+    rare = durable(ranked.join(need, ["s", "tag"]).where("rank <= all - need + 1").select("k", "s"), "rare")
+    drop(shared)
+    drop(met)
+    first = rare.groupBy("k").agg(F.min("s").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    met = durable(rare.join(durable(first, "leaders"), "k"), "met")
+    drop(rare)
 
     sketches = sets.where("size(whole) > 0").select("s", "n", "whole")
     shrunk = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / 2 - 1).cast("int")), lambda i: F.get(x, (i * 2).cast("int")).bitwiseXOR(F.get(x, (i * 2 + 1).cast("int"))))
