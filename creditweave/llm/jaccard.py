@@ -12,14 +12,14 @@ set may be left out: what is left differs no more). A document with too few non-
 gives parts of all its shingles, and one with too few of these the prefix of its shingles in a fixed order (as short
 documents do, where each shingle is a part of its own). Both documents of a pair fall back alike.
 
-Documents with the same set are one node. Only components are asked for, so a group that shares a part is tied to its
-smallest node first; pairs inside a group are compared only while their components differ."""
+Documents with the same set are one node. Only components are asked for, so the nodes that share a part are first held
+against one leader among them; pairs inside a group are compared only while their components differ."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -27,7 +27,7 @@ from .common import bounded, drop, durable, lists, slices, utf8
 from .components import connected_components
 
 SHORT, RATIO = 48, 1.25
-BROADCAST_IDS = 200_000
+BROADCAST_IDS, FOLDED = 200_000, 64
 _RARE, _FULL, _PREFIX = 1, 2, 3
 _NULL = -(2**63)
 
@@ -163,16 +163,24 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     # A linked set agrees in `need` keys at least, so in one of all but the need - 1 commonest: the others need not meet.
     own = Window.partitionBy("s", "tag")
     ranked = met.withColumn("tag", F.expr("k & 255")).withColumns({"rank": F.row_number().over(own.orderBy("m", "k")), "all": F.count("*").over(own)})
-    rare = durable(ranked.join(need, ["s", "tag"]).where("rank <= all - need + 1").select("k", "s"), "rare")
+    rare = durable(ranked.join(need, ["s", "tag"]).where("rank <= all - need + 1").select("k", "s", "all"), "rare")
     drop(shared)
     drop(met)
-    first = rare.groupBy("k").agg(F.min("s").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    met = durable(rare.join(durable(first, "leaders"), "k"), "met")
+    # The leader of a group is what shares most of its parts: an original that the others were edited from, if it is there.
+    first = rare.groupBy("k").agg(F.max(F.struct("all", "s"))["s"].alias("lead"), F.count("*").alias("m")).where("m > 1")
+    met = durable(rare.select("k", "s").join(durable(first, "leaders"), "k"), "met")
     drop(rare)
 
     sketches = sets.where("size(whole) > 0").select("s", "n", "whole")
     shrunk = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / 2 - 1).cast("int")), lambda i: F.get(x, (i * 2).cast("int")).bitwiseXOR(F.get(x, (i * 2 + 1).cast("int"))))
 
+    def near(n_a: str, n_b: str, w_a: str, w_b: str) -> Column:
+        """Whether sizes and sketches allow a link; of sketches of two lengths the longer one is folded."""
+        x = F.when(F.size(w_a) > F.size(w_b), shrunk(F.col(w_a))).otherwise(F.col(w_a))
+        y = F.when(F.size(w_b) > F.size(w_a), shrunk(F.col(w_b))).otherwise(F.col(w_b))
+        apart = F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, c: t + c)
+        return apart * (den + num) <= (F.col(n_a) + F.col(n_b)) * (den - num)
+
     def possible(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those whose sizes and sketches allow a link, with both sizes."""
         touched = durable(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "touched")
@@ -180,9 +188,7 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
         both = pairs.join(own.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("whole").alias("w_a")), "a")
         both = both.join(own.select(F.col("s").alias("b"), F.col("n").alias("n_b"), F.col("whole").alias("w_b")), "b")
         both = both.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-        both = both.withColumns({"x": F.when(F.size("w_a") > F.size("w_b"), shrunk("w_a")).otherwise(F.col("w_a")), "y": F.when(F.size("w_b") > F.size("w_a"), shrunk("w_b")).otherwise(F.col("w_b"))})
-        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, c: t + c)
-        return both.where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b", "n_a", "n_b")
+        return both.where(near("n_a", "n_b", "w_a", "w_b")).select("a", "b", "n_a", "n_b")
 
     def read(batches):
         for batch in batches:
@@ -209,13 +215,18 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     parts = durable(connected_components(links), "parts")
 
     # Groups that share a part and are not of one component yet: their pairs that no leader has tied.
-    group = met.where("m > 2 and s <> lead").select("k", "s").join(nodes.select("s", "n"), "s")
+    group = met.where("m > 2 and s <> lead").select("k", "s")
     group = group.join(parts.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
     open_ = group.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
     group = durable(group.join(durable(open_, "open"), "k"), "open")
-    a, b = (group.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "component", "n"))) for x in "ab")
+    # Sketches go with the groups (of long texts folded to FOLDED words), so the join itself gives only pairs that they allow.
+    chunk = (F.size("whole") / FOLDED).cast("int")
+    folded = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.aggregate(F.slice("whole", i * chunk + 1, chunk), F.lit(0).cast("bigint"), lambda t, w: t.bitwiseXOR(w)))
+    inside = durable(sketches.join(group.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]).select("s", "n", F.when(F.size("whole") > FOLDED, folded).otherwise(F.col("whole")).alias("w")), "sketches")
+    group = group.join(inside, "s")
+    a, b = (group.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "component", "n", "w"))) for x in "ab")
     fits = (F.col("s_a") < F.col("s_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    rest = a.join(b, (a["k"] == b["k"]) & fits).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
+    rest = a.join(b, (a["k"] == b["k"]) & fits & near("n_a", "n_b", "w_a", "w_b")).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
     rest = linked(durable(rest, "rest"))
     if rest.limit(1).count():
         parts = durable(connected_components(links.unionByName(rest)), "parts")
