@@ -385,6 +385,9 @@ def test_encoder_equals_the_tokenizer():
     texts = ["", " ", "a  b", "x\n\n y", "it's 12,000.", "naïve café 日本", "<|endoftext|> a", "tab\tand space", "word " * 500, "end ", "  lead", "a.b,c d. e,"]
     t = Tokenizer.from_file(queries.tokenizer())
     e = packing.Encoder(queries.tokenizer())
+    rng = random.Random(1)
+    letters = [*"aZ9é日ß'`.,!?-_ \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u180e\u2003\u200b\u2028\u3000\ufeff😀²Ⅷ٣\x00", " ", "  ", "'s", "'ll", " the", "<|", "<|endoftext|>"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(3000)]
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
