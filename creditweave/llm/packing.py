@@ -1,6 +1,6 @@
 """Lexical retrieval packing: sequences of a fixed length, filled from each seed document's nearest unused neighbours.
 
-Documents are dealt to shards by a hash; each shard keeps a BM25 inverted index over token ids. A seed fills its
+Documents are dealt to shards by a hash, or as runs of the source mix; each shard keeps a BM25 inverted index over token ids. A seed fills its
 sequence, then its best unused neighbour goes on; what does not fit starts the next sequence, whose seed it becomes.
 So only the last sequence of a shard has padding."""
 
@@ -13,7 +13,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -111,9 +111,34 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, d
     shards = max(1, -(-docs.count() // docs_a_shard))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)))
+    return _fill(base, ["doc_id", "text"], tokenizer, length, end_id)
+
+
+def pack_mixed(mixed: DataFrame, tokenizer: str, block_chars: int, length: int = 1024, end_id: int = 0, docs_a_shard: int = 1000) -> DataFrame:
+    """As pack(), of documents with the slot and block_offset that mixing.mix gave them for blocks of block_chars: shards are
+    runs of about docs_a_shard documents in the order of slot and block_offset, and sequence_id rises with them.
+
+    So the sequences of a shard, in any order, hold the mix of its slots. Slots with their numbers of documents get running
+    totals over spans of slots; a document's place in its slot is its offset's share of the block, so no slot is sorted.
+    Documents without text (as many as there may be at one offset) take a place by hash within their slot, which has one source."""
+    span = F.expr("slot div 1024")
+    slots = mixed.groupBy("slot").agg(F.count("*").alias("_n")).withColumn("_span", span)
+    spans = slots.groupBy("_span").agg(F.sum("_n").alias("_m"))  # a row for each 1,024 slots
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("_span", F.coalesce(F.sum("_m").over(before(Window.orderBy("_span"))), F.lit(0)).alias("_at"))
+    inside = F.coalesce(F.sum("_n").over(before(Window.partitionBy("_span").orderBy("slot"))), F.lit(0))
+    slots = slots.withColumn("_in", inside).join(spans, "_span").select("slot", "_n", (F.col("_at") + F.col("_in")).alias("_before"))
+    base = mixed.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "slot", "block_offset").join(slots, "slot")
+    place = F.when(F.length("text") > 0, F.expr(f"block_offset * _n div {block_chars}")).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("_n")))
+    base = base.withColumn("shard", F.floor((F.col("_before") + place) / docs_a_shard).cast("long"))
+    return _fill(base.drop("_n", "_before"), ["slot", "block_offset", "doc_id", "text"], tokenizer, length, end_id)
+
+
+def _fill(base: DataFrame, keys: list[str], tokenizer: str, length: int, end_id: int) -> DataFrame:
+    """Pieces of the documents of each shard; its first document by `keys` is its first seed."""
 
     def of(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        group = group.sort_by([(c, "ascending") for c in keys])
         shard, doc_id, texts = group["shard"][0].as_py(), group["doc_id"].combine_chunks(), group["text"].to_pylist()
         if tokenizer not in _encoders:
             _encoders[tokenizer] = Encoder(tokenizer)

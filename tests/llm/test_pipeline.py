@@ -1,9 +1,10 @@
 """Each stage of the pipeline against brute force over what the stage before kept."""
 
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from creditweave.llm import mixing, quality
+from creditweave.llm import mixing, packing, quality, queries
 from creditweave.llm.common import table
 
 from .test_operators import SMALL, WORD, brute_jaccard, brute_substrings, check_pieces, low
@@ -46,3 +47,27 @@ def test_stages(spark, tmp_path):
 
     before, after = kept["packing"]
     assert check_pieces(after.collect(), [r[:2] for r in rows_of(before)]) > 0.95
+
+
+def test_sequences_hold_the_target_mix(spark):
+    """A hot source has three quarters of the text; runs of sequences have the target's shares until a source ends."""
+    rng = random.Random(9)
+    sizes, words = {"hot": 3000, "b": 600, "c": 400}, [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(400)), "en", s, 0) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    rows += [(10_000 + i, "", "en", "hot", 0) for i in range(50)] + [(20_000, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    weights = mixing.tempered(docs)
+    source, got = {r[0]: r[3] or "" for r in rows}, corpus_pipeline.packing_stage(spark, docs, SMALL).collect()
+    assert {r["doc_id"] for r in got} == set(source)
+    runs = defaultdict(Counter)
+    for r in got:
+        runs[r["sequence_id"] >> 32][source[r["doc_id"]]] += r["length"]
+    assert sorted(runs) == list(range(len(runs))) and len(runs) >= 4
+    slot = {r["doc_id"]: r["slot"] for r in mixing.mix(docs, weights).collect()}
+    spans = [[slot[r["doc_id"]] for r in got if r["sequence_id"] >> 32 == k] for k in sorted(runs)]
+    assert all(max(a) <= min(b) for a, b in zip(spans, spans[1:], strict=False))
+    for k in (0, 1):
+        blocks = max(spans[k]) - min(spans[k])
+        for s in sizes:
+            assert abs(runs[k][s] / sum(runs[k].values()) - weights[s] / sum(weights.values())) < 2 / blocks, (k, s, runs[k])
+    assert packing.pack_mixed(mixing.mix(docs.limit(0), {}), queries.tokenizer(), 65_536).count() == 0
