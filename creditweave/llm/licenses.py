@@ -1,6 +1,6 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison.
 
-Paragraphs (lines) become sparse hashed word 1- and 2-grams. A multinomial logistic regression over licence families and
+Paragraphs (lines, and the parts of joined lines that hold a notice) become sparse hashed word 1- and 2-grams. A multinomial logistic regression over licence families and
 an unknown class is trained on variations of the templates below and on paragraphs of the corpus; its temperature is
 calibrated on held-out variations. A family counts once the paragraph also shares enough words, in order, with one
 of that family's templates."""
@@ -33,6 +33,11 @@ TEMPLATES = {
     "cc0": ["To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.", "Released into the public domain under CC0."],
     "proprietary": ["Copyright. All rights reserved. No part of this publication may be reproduced without permission.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
+# Notices so short that all their words must stand there, one after another.
+SHORT = {"proprietary": ["All rights reserved."]} | {
+    f: [f"SPDX-License-Identifier: {x}" for x in ids]
+    for f, ids in {"mit": ["MIT"], "apache-2.0": ["Apache-2.0"], "gpl-3.0": ["GPL-3.0"], "gpl-2.0": ["GPL-2.0"], "lgpl": ["LGPL-2.0", "LGPL-2.1", "LGPL-3.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "mpl-2.0": ["MPL-2.0"], "cc-by": ["CC-BY-4.0", "CC-BY-3.0"], "cc-by-sa": ["CC-BY-SA-4.0", "CC-BY-SA-3.0"], "cc-by-nc": ["CC-BY-NC-4.0", "CC-BY-NC-3.0"], "cc0": ["CC0-1.0"]}.items()
+}
 UNKNOWN, FAMILIES = "unknown", sorted(TEMPLATES)
 DIMENSIONS = 1 << 15
 _WORD = re.compile(r"[^\W_]+")
@@ -57,12 +62,21 @@ def features(words: list[str]) -> np.ndarray:
 
 def common_words(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    return _prefixes(a, b)[-1] if b else 0
+
+
+def _prefixes(a: list[str], b: list[str]) -> list[int]:
+    """For each prefix of b, the length of its longest common subsequence with a; one bit a word of a."""
+    where: dict[str, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full = free = (1 << len(a)) - 1
+    out = []
+    for w in b:
+        hit = free & where.get(w, 0)
+        free = ((free + hit) | (free - hit)) & full
+        out.append(len(a) - free.bit_count())
+    return out
 
 
 def confirmation(words: list[str], family: str) -> float:
@@ -70,13 +84,62 @@ def confirmation(words: list[str], family: str) -> float:
     found = 0.0
     for t in TEMPLATES[family]:
         want = tokens(t)
-        for a in range(max(1, len(words) - 2 * len(want) + 1)) if len(words) > 4 * len(want) else [0]:
-            part = words[a : a + 2 * len(want)] if len(words) > 4 * len(want) else words
-            if part and (part[0] in want or a == 0):
-                found = max(found, common_words(want, part) / len(want))
+        if len(words) <= 4 * len(want):
+            found = max(found, common_words(want, words) / len(want))
+        else:
+            found = max([found, *(common_words(want, words[a : a + 2 * len(want)]) / len(want) for a in range(len(words) - 2 * len(want) + 1) if a == 0 or words[a] in want or a == len(words) - 2 * len(want))])
     return found
 
 
+_NOTICES = [(f, tokens(t), 2) for f in FAMILIES for t in TEMPLATES[f]] + [(f, tokens(t), 1) for f in FAMILIES for t in SHORT.get(f, [])]
+_PLACE = {w: i for i, w in enumerate(sorted({w for _, t, _ in _NOTICES for w in t}), 1)}
+_HAS = np.zeros((len(_PLACE) + 1, len(_NOTICES)), np.int32)  # whether a notice has a word
+for _j, (_, _t, _) in enumerate(_NOTICES):
+    _HAS[[_PLACE[w] for w in _t], _j] = 1
+_WIDTH = np.array([len(t) * room for _, t, room in _NOTICES])
+
+
+def notices(words: list[str], confirmed: float) -> list[tuple[int, int, str, float]]:
+    """(first word, end, family, share) of every part of words that has `confirmed` of a template's words in order within twice
+    its length, or all words of a short notice; parts are as tight as they can be. Of parts that overlap, those with the most
+    words of a template stay (a version 3 is not also a version 2 whose number is missing).
+
+    No more words are in order than a window has of the template, so windows that have too few are not compared."""
+    least = np.array([np.ceil(confirmed * len(t) - 1e-9) if room > 1 else len(t) for _, t, room in _NOTICES])
+    has = _HAS[[_PLACE.get(w, 0) for w in words]]
+    some = np.flatnonzero(has.sum(0) >= least)
+    if not len(some):
+        return []
+    before = np.vstack([np.zeros((1, len(some)), np.int32), has[:, some].cumsum(0)])
+    n, out = len(words), []
+    ends = np.minimum(np.arange(n)[:, None] + _WIDTH[some], n)
+    many = (np.take_along_axis(before, ends, 0) - before[:-1] >= least[some]) & (has[:, some] > 0)
+    for c, j in enumerate(some):
+        family, want, room = _NOTICES[j]
+        after, best = 0, None
+        for a in np.flatnonzero(many[:, c]).tolist():
+            if best and a >= best[1]:
+                out.append(best)
+                after, best = best[1], None
+            if a < after:
+                continue
+            part = words[a : a + room * len(want)]
+            if room == 1:
+                if part == want:
+                    out.append((a, a + len(want), family, 1.0, len(want)))
+                continue
+            row = _prefixes(want, part)
+            if row[-1] >= least[j] and (best is None or row[-1] / len(want) >= best[3]):
+                best = (a, a + row.index(row[-1]) + 1, family, row[-1] / len(want), row[-1])
+        if best:
+            out.append(best)
+    longest: list[tuple] = []
+    for part in sorted(out, key=lambda x: -x[4]):
+        if not any(part[0] < b and a < part[1] and part[4] < k for a, b, _, _, k in longest):
+            longest.append(part)
+    return [part[:4] for part in longest]
+
+
 @dataclass(frozen=True)
 class Classifier:
     weights: np.ndarray  # (DIMENSIONS, families + 1); the last class is unknown
@@ -97,10 +160,10 @@ def train(docs: DataFrame, sample: int = 500, variations: int = 60, rounds: int
     rng = np.random.default_rng(seed)
     lines = bounded(docs.select("doc_id", "text"), "doc_id", sample).select("doc_id", F.posexplode(F.split("text", "\n"))).where("length(col) between 1 and 2000")
     other = [tokens(r["col"]) for r in lines.orderBy("doc_id", "pos").select("col").limit(20 * sample).collect()]
-    other = [w for w in other if w and not any(confirmation(w, f) > 0.6 for f in FAMILIES)] or [["text"]]
+    other = [w for w in other if w and not notices(w, 0.6)] or [["text"]]
     rows, y = [], []
     for k, family in enumerate(FAMILIES):
-        for template in TEMPLATES[family]:
+        for template in [*TEMPLATES[family], *SHORT.get(family, [])]:
             want = tokens(template)
             for v in range(variations):
                 kept = [w for w in want if v == 0 or rng.random() > 0.08]
@@ -153,7 +216,9 @@ def scan_licenses(docs: DataFrame, model: Classifier, least: float = 0.5, confir
     family, probability, similarity) and n_paragraphs (non-blank lines).
 
     A hit's calibrated probability is `least` or more and its similarity to a template `confirmed` or more. Null and empty
-    texts have no paragraphs. Every paragraph is judged, whole; those without a word of any template need no model.
+    texts have no paragraphs. Every line is judged, whole; those without a word of any template need no model. Lines up to
+    the next blank one are also joined, and each part of them that has a notice is judged by itself, so notices may be wrapped or
+    stand in a longer line; such a hit's paragraph is the line that it starts in.
     Repeated rows and null ids are kept as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**15 x families
     cue = re.compile(r"\b(?:" + "|".join([*_CUES, "cc"]) + r")\b")
@@ -163,19 +228,30 @@ def scan_licenses(docs: DataFrame, model: Classifier, least: float = 0.5, confir
         for batch in batches:
             hits, counts = [], []
             for text in batch.column(1).to_pylist():
-                own, n = [], 0
-                for line in (text or "").split("\n"):
+                found, n, joined, lines = {}, 0, [], []
+
+                def judge(words, paragraph, family, similarity):
+                    p = m.probabilities(words)
+                    k = int(p.argmax())
+                    if k < len(FAMILIES) and p[k] >= least and family in (None, FAMILIES[k]):
+                        s = confirmation(words, FAMILIES[k]) if similarity is None else similarity
+                        if s >= confirmed and s > found.get((paragraph, FAMILIES[k]), (0, 0))[1]:
+                            found[paragraph, FAMILIES[k]] = (float(p[k]), s)  # noqa: B023
+
+                for line in [*(text or "").split("\n"), ""]:
                     if not line.strip():
+                        for a, b, family, s in notices(joined, confirmed) if joined else ():
+                            judge(joined[a:b], lines[a], family, s)
+                        joined, lines = [], []
                         continue
-                    low = line.lower()
-                    found = set(cue.findall(low))
-                    if len(found) > 1 or "cc" in found:
-                        words = tokens(line)
-                        p = m.probabilities(words)
-                        k = int(p.argmax())
-                        if k < len(FAMILIES) and p[k] >= least and (s := confirmation(words, FAMILIES[k])) >= confirmed:
-                            own.append({"paragraph": n, "family": FAMILIES[k], "probability": float(p[k]), "similarity": s})
+                    words = tokens(line)
+                    cues = set(cue.findall(line.lower()))
+                    if len(cues) > 1 or "cc" in cues:
+                        judge(words, n, None, None)
+                    joined += words
+                    lines += [n] * len(words)
                     n += 1
+                own = [{"paragraph": i, "family": f, "probability": p, "similarity": s} for (i, f), (p, s) in sorted(found.items())]
                 hits.append(own)
                 counts.append(n)
             kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))

@@ -214,6 +214,25 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0), licenses.train(df.limit(0))).count() == 0
 
 
+def test_licenses_short_wrapped_and_inside_lines(spark):
+    """Notices that have no long template, are wrapped at 80 columns, or end, start or stand within a long line."""
+    import textwrap
+
+    fill = "the train left for the coast at noon and nobody in the village had seen a boat that large before ".split() * 8
+    rows = [("proprietary", "A page.\nCopyright 2014 Some Firm. All rights reserved.\nMore."), ("proprietary", "All rights reserved."), ("proprietary", f"{' '.join(fill)} all rights reserved")]
+    rows += [(f, f"// {t}\nint main() {{}}") for f, ts in licenses.SHORT.items() for t in ts]
+    for f, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            rows += [(f, "Intro.\n\n" + "\n".join(textwrap.wrap(t, w)) + "\n\nEnd.") for w in (80, 40)]
+            rows += [(f, f"{' '.join(fill[:a])} {t} {' '.join(fill[:b])}") for a, b in ((120, 0), (121, 0), (0, 120), (60, 61))]
+    clean = ["SPDX-License-Identifier: ISC", "all the rights were reserved", " ".join(fill), "You may use this bread\nfreely, without any licence to bake."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t in rows] + clean)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df, licenses.train(table(spark, SMALL, "documents"))).collect()}
+    assert [(f, t) for i, (f, t) in enumerate(rows) if got[i]["licenses"] != [f]] == []
+    assert [t for i, t in enumerate(clean, len(rows)) if got[i]["licenses"]] == []
+    assert all(h["paragraph"] == 1 for i, (_, t) in enumerate(rows) if t.startswith("Intro.") for h in got[i]["hits"])
+
+
 def test_license_query(spark):
     got = queries.op5_licenses(spark, SMALL).collect()
     text = {r["doc_id"]: r["text"] or "" for r in table(spark, SMALL, "documents").collect()}
