@@ -106,18 +106,15 @@ def notices(words: list[str], confirmed: float) -> list[tuple[int, int, str, flo
 
     No more words are in order than a window has of the template, so windows that have too few are not compared."""
     least = np.array([np.ceil(confirmed * len(t) - 1e-9) if room > 1 else len(t) for _, t, room in _NOTICES])
-    has = _HAS[[_PLACE.get(w, 0) for w in words]]
-    some = np.flatnonzero(has.sum(0) >= least)
-    if not len(some):
-        return []
-    before = np.vstack([np.zeros((1, len(some)), np.int32), has[:, some].cumsum(0)])
+    place = np.array([_PLACE.get(w, 0) for w in words])
     n, out = len(words), []
-    ends = np.minimum(np.arange(n)[:, None] + _WIDTH[some], n)
-    many = (np.take_along_axis(before, ends, 0) - before[:-1] >= least[some]) & (has[:, some] > 0)
-    for c, j in enumerate(some):
+    for j in np.flatnonzero(np.bincount(place, minlength=len(_HAS)) @ _HAS >= least):
+        has = _HAS[place, j]
+        before = np.concatenate(([0], has.cumsum()))
+        many = (before[np.minimum(np.arange(n) + _WIDTH[j], n)] - before[:-1] >= least[j]) & (has > 0)
         family, want, room = _NOTICES[j]
         after, best = 0, None
-        for a in np.flatnonzero(many[:, c]).tolist():
+        for a in np.flatnonzero(many).tolist():
             if best and a >= best[1]:
                 out.append(best)
                 after, best = best[1], None
