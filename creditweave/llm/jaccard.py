@@ -1,7 +1,8 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's shingles are dealt by a hash to the parts of its size band, and each flips one bit of its part's 64-bit
-word. Two sketches of a band differ in at most as many bits, so in at most as many parts, as the sets differ in shingles.
+A document's shingles are dealt by a hash to the parts of its size band, and each flips one of its part's bits. A part has
+2**64 bits, so it is kept as the XOR of its set bits' hashes: shingles that two documents do not share don't meet by chance.
+Two sketches of a band differ in at most as many bits, so in at most as many parts, as the sets differ in shingles.
 A band has more parts than a linked pair may differ in, so by the pigeonhole principle a linked pair agrees in whole
 parts: in `need` of them at least. Parts that no other document has are out; of the rest each document keeps all but
 the need - 1 commonest (none, if it shares fewer than it needs), and these meet in a join. The pairs are held against
@@ -9,11 +10,12 @@ their sketches' Hamming distance and then verified by the sets themselves.
 
 Three kinds of part keep that exact and selective. `rare` parts leave out the shingles that a sample finds common (any
 set may be left out: what is left differs no more). A document with too few non-zero rare parts for the principle also
-gives parts of all its shingles, and one with too few of these the prefix of its shingles in a fixed order (as short
-documents do, where each shingle is a part of its own). Both documents of a pair fall back alike.
+gives parts of all its shingles, and one with too few of these its shingles themselves (as short documents do: each
+shingle is a part of its own). Both documents of a pair fall back alike.
 
-Documents with the same set are one node. Only components are asked for, so the nodes that share a part are first held
-against one leader among them; pairs inside a group are compared only while their components differ."""
+Documents with the same set (two 64-bit hashes agree) are one node. Only components are asked for, so the nodes that share
+a part are first held against one leader among them; pairs inside a group are compared only while their components differ.
+Of more than GROUP nodes that share a part, those meet that agree in a second part too: a linked pair does in `need`."""
 
 from __future__ import annotations
 
@@ -28,7 +30,9 @@ from .components import connected_components
 
 SHORT, RATIO = 48, 1.25
 BROADCAST_IDS, FOLDED = 200_000, 64
-_RARE, _FULL, _PREFIX = 1, 2, 3
+#: Nodes that meet in one part before a second part must agree as well; names that a task remembers.
+GROUP, REMEMBERED = 64, 50_000
+_RARE, _FULL, _EACH = 1, 2, 3
 _NULL = -(2**63)
 
 
@@ -48,9 +52,21 @@ def _word(tokens: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def _name(u: np.ndarray) -> int:
-    """A hash of the whole set, in any order."""
-    return int(words.mix(np.array([words.mix(u).sum(dtype=np.uint64) + np.uint64(len(u))])).view(np.int64)[0])
+def _parts(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """The parity sketch of wide parts: of each, the XOR of the hashes of its set bits."""
+    out = np.zeros(parts, np.uint64)
+    h = words.mix(tokens)
+    place = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    np.bitwise_xor.at(out, place.astype(np.int64), words.mix(h ^ np.uint64(0x2545F4914F6CDD1D)))
+    return out
+
+
+def set_names(u: np.ndarray) -> tuple[int, int]:
+    """Two independent hashes of the whole set, in any order."""
+    x = words.mix(u)
+    y = words.mix(x ^ np.uint64(0x5851F42D4C957F2D))
+    both = np.array([x.sum(dtype=np.uint64) + np.uint64(len(u)), y.sum(dtype=np.uint64) ^ np.uint64(len(u))])
+    return tuple(words.mix(both).view(np.int64).tolist())
 
 
 def _keys(sketch: np.ndarray, tag: int) -> np.ndarray:
@@ -67,30 +83,29 @@ def part_keys(u: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np
     often = common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u if len(common) else np.zeros(n, bool)
     out, tags, needs = [], [], []
 
-    def prefix() -> None:
-        order = np.lexsort((u, often))
-        out.append((words.mix(u[order[: n - -(-num * n // den) + 1]]) & ~np.uint64(255)) | np.uint64(_PREFIX))
-        tags.append(_PREFIX)
-        needs.append(1)
+    def each() -> None:
+        out.append((words.mix(u) & ~np.uint64(255)) | np.uint64(_EACH))
+        tags.append(_EACH)
+        needs.append(max(1, -(-num * n // den)))
 
     if num * n <= den * (SHORT - 1) or n < SHORT:
-        prefix()
+        each()
     if n >= SHORT:
         edges = band_edges(n)
         rare, band = u[~often], len(edges) - 2
         while True:
             limit = (edges[band + 1] - 1) * (den - num) // num  # a pair of this band differs in no more shingles
             for kind, tokens in ((_RARE, rare), (_FULL, u)):
-                sketch = _word(tokens, limit + limit // 4 + 8)
+                sketch = _parts(tokens, limit + limit // 4 + 8)
                 more = np.count_nonzero(sketch) - limit
                 out.append(_keys(sketch, 4 * band + kind))
                 tags.append(4 * band + kind)
                 needs.append(max(1, int(more)))
-                if more > 0:
+                if more > 1:
                     break
             else:
-                if _PREFIX not in tags:
-                    prefix()
+                if _EACH not in tags:
+                    each()
             band -= 1
             if band < 0 or num * n > den * (edges[band + 1] - 1):
                 break
@@ -130,48 +145,61 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     whole sequence as one where there are fewer words. Two documents link when den * |both| >= num * |either|; a component
     has the smallest doc_id reachable. Documents without words (null or empty texts too) are linked with nothing: their
     component is their own. Rows that repeat a doc_id are judged by their own texts. A null id is the smallest and stays null.
-    No rows give none."""
+    No rows give none. Shingles are told apart by 64-bit hashes, sets by 128 bits. Raises if components do not settle in the
+    60 rounds of connected_components."""
     base = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("_id"), F.col("text").alias("_text"))
     common = base.sparkSession.sparkContext.broadcast(_common(base, size))  # at most 200,000 hashes
 
     def sketch(batches):
-        done: set[int] = set()  # sets that this task has given keys for
+        done: set[int] = set()  # sets that this task has given keys for of late
         for batch in batches:
             for a, b, sets in _texts(batch, size):
-                key, cols = [], ([], [], [], [])
+                names, cols = [], ([], [], [], [])
                 for u in sets:
-                    key.append(_name(u))
-                    new = len(u) > 0 and key[-1] not in done
+                    names.append(set_names(u))
+                    new = len(u) > 0 and names[-1][1] not in done
                     keys, tags, needs = part_keys(u if new else u[:0], common.value, num, den)
                     whole = _word(u, 1 << max(0, (len(u) - 1).bit_length() - 6)) if new else u[:0]
                     for c, v in zip(cols, (keys, np.array(tags, np.int64), np.array(needs, np.int64), whole), strict=True):
                         c.append(v)
-                    done.add(key[-1])
+                    if len(done) >= REMEMBERED:
+                        done.clear()
+                    done.add(names[-1][1])
                 n = np.array([len(u) for u in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(np.array(key, np.int64)), *(lists(np.concatenate(c), np.cumsum([0, *map(len, c)])) for c in cols)],
-                    names=["_id", "n", "s", "keys", "tags", "needs", "whole"],
+                    [batch.column(0).slice(a, b - a), pa.array(n), *(pa.array(np.array(x, np.int64)) for x in zip(*names, strict=True)), *(lists(np.concatenate(c), np.cumsum([0, *map(len, c)])) for c in cols)],
+                    names=["_id", "n", "s", "t", "keys", "tags", "needs", "whole"],
                 )
 
     kind = base.schema["_id"].dataType.simpleString()
-    sets = durable(base.mapInArrow(sketch, f"_id {kind}, n long, s long, keys array<long>, tags array<long>, needs array<long>, whole array<long>"), "sets")
-    nodes = durable(sets.where("n > 0").groupBy("s").agg(F.min("_id").alias("id"), F.min("n").alias("n")), "nodes")
+    raw = durable(base.mapInArrow(sketch, f"_id {kind}, n long, s long, t long, keys array<long>, tags array<long>, needs array<long>, whole array<long>"), "sets")
+    nodes = durable(raw.where("n > 0").groupBy("s", "t").agg(F.min("_id").alias("id"), F.min("n").alias("n")), "nodes")
+    # Where two sets have one s, their nodes are named by both hashes; that is so rare that mostly nothing is to be done.
+    clash = durable(nodes.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s", F.lit(True).alias("clash")), "clash")
+    if clash.limit(1).count():
+        named_by = lambda x: x.join(clash, "s", "left").withColumn("s", F.when(F.col("clash"), F.xxhash64("s", "t")).otherwise(F.col("s"))).drop("clash")
+    else:
+        named_by = lambda x: x
+    sets, node = named_by(raw), named_by(nodes)
+    rows = durable(sets.select("_id", "n", "s"), "rows")
+
     found = sets.select("s", F.explode("keys").alias("k"))
     shared = durable(found.groupBy("k").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("k", "m"), "shared")
     met = durable(found.join(shared, "k").distinct(), "met")
+    drop(shared)
     need = sets.select("s", F.explode(F.arrays_zip("tags", "needs")).alias("t")).select("s", F.col("t.tags").alias("tag"), F.col("t.needs").alias("need")).distinct()
-    # A linked set agrees in `need` keys at least, so in one of all but the need - 1 commonest: the others need not meet.
+    # A linked set agrees in `need` keys at least, so in one of all but the need - 1 commonest, and in two of all but need - 2.
     own = Window.partitionBy("s", "tag")
     ranked = met.withColumn("tag", F.expr("k & 255")).withColumns({"rank": F.row_number().over(own.orderBy("m", "k")), "all": F.count("*").over(own)})
-    rare = durable(ranked.join(need, ["s", "tag"]).where("rank <= all - need + 1").select("k", "s", "all"), "rare")
-    drop(shared)
+    ranked = ranked.join(need, ["s", "tag"]).where("rank <= all - need + 2")
+    rare = durable(ranked.select("k", "s", "all", "need", "rank", F.expr("rank <= all - need + 1").alias("first")), "rare")
     drop(met)
     # The leader of a group is what shares most of its parts: an original that the others were edited from, if it is there.
-    first = rare.groupBy("k").agg(F.max(F.struct("all", "s"))["s"].alias("lead"), F.count("*").alias("m")).where("m > 1")
-    met = durable(rare.select("k", "s").join(durable(first, "leaders"), "k"), "met")
-    drop(rare)
+    lead = rare.where("first").groupBy("k").agg(F.max(F.struct("all", "s"))["s"].alias("lead"), F.count("*").alias("m")).where("m > 1")
+    met = durable(rare.where("first").select("k", "s", "need", "rank").join(durable(lead, "leaders"), "k"), "met")
 
-    sketches = sets.where("size(whole) > 0").select("s", "n", "whole")
+    wholes = durable(sets.where("size(whole) > 0").select("s", "n", "whole"), "wholes")
+    drop(raw)
     shrunk = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / 2 - 1).cast("int")), lambda i: F.get(x, (i * 2).cast("int")).bitwiseXOR(F.get(x, (i * 2 + 1).cast("int"))))
 
     def near(n_a: str, n_b: str, w_a: str, w_b: str) -> Column:
@@ -181,60 +209,76 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
         apart = F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, c: t + c)
         return apart * (den + num) <= (F.col(n_a) + F.col(n_b)) * (den - num)
 
+    def sketched(some: DataFrame) -> DataFrame:
+        """One row of wholes for each of these nodes."""
+        return wholes.join(some.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"])
+
     def possible(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those whose sizes and sketches allow a link, with both sizes."""
-        touched = durable(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "touched")
-        own = durable(sketches.join(touched, "s", "left_semi").dropDuplicates(["s"]), "sketches")
-        both = pairs.join(own.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("whole").alias("w_a")), "a")
-        both = both.join(own.select(F.col("s").alias("b"), F.col("n").alias("n_b"), F.col("whole").alias("w_b")), "b")
+        its = durable(sketched(pairs.select(F.explode(F.array("a", "b")).alias("s"))), "sketches")
+        both = pairs.join(its.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("whole").alias("w_a")), "a")
+        both = both.join(its.select(F.col("s").alias("b"), F.col("n").alias("n_b"), F.col("whole").alias("w_b")), "b")
         both = both.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-        return both.where(near("n_a", "n_b", "w_a", "w_b")).select("a", "b", "n_a", "n_b")
+        out = durable(both.where(near("n_a", "n_b", "w_a", "w_b")).select("a", "b", "n_a", "n_b"), "possible")
+        drop(its)
+        return out
 
     def read(batches):
         for batch in batches:
-            want = batch.column(0).to_numpy()
+            names, want = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a, b, own in _texts(batch, size):
-                own = [(s, u) for s, u in zip(want[a:b].tolist(), own, strict=True) if _name(u) == s]  # another row may repeat the id
+                own = [(s, u) for s, t, u in zip(names[a:b].tolist(), want[a:b].tolist(), own, strict=True) if set_names(u)[1] == t]  # another row may repeat the id
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in own], pa.int64()), lists(np.concatenate([u for _, u in own]), np.cumsum([0, *(len(u) for _, u in own)]))], names=["s", "u"])
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those whose sets link."""
-        pairs = durable(possible(pairs), "possible")
-        ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(nodes, "s").select("s", F.col("id").alias("_id")), "ids")
-        few = ids.count() <= BROADCAST_IDS  # 16 bytes each; beyond, the join moves the texts
-        text = base.join(F.broadcast(ids) if few else ids, "_id").select("s", "_text")
+        pairs = possible(pairs)
+        ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(node, "s").select("s", "t", F.col("id").alias("_id")), "ids")
+        few = ids.count() <= BROADCAST_IDS  # 24 bytes each; beyond, the join moves the texts
+        text = base.join(F.broadcast(ids) if few else ids, "_id").select("s", "_text", "t")
         own = durable(text.mapInArrow(read, "s long, u array<long>").dropDuplicates(["s"]), "shingles")
         both = pairs.join(own.select(F.col("s").alias("a"), F.col("u").alias("ua")), "a").join(own.select(F.col("s").alias("b"), F.col("u").alias("ub")), "b")
         both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("ua", "ub")).cast("long").alias("x"))
         out = durable(both.where(F.col("x") * den >= (F.col("n_a") + F.col("n_b") - F.col("x")) * num).select("a", "b"), "links")
-        drop(own)
+        for used in (own, ids, pairs):
+            drop(used)
         return out
 
     links = linked(met.where("s <> lead").select(F.col("s").alias("a"), F.col("lead").alias("b")).distinct())
     parts = durable(connected_components(links), "parts")
 
     # Groups that share a part and are not of one component yet: their pairs that no leader has tied.
-    group = met.where("m > 2 and s <> lead").select("k", "s")
+    group = met.where("m > 2 and s <> lead").select("k", "s", "need", "rank", "m")
     group = group.join(parts.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    open_ = group.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
-    group = durable(group.join(durable(open_, "open"), "k"), "open")
+    apart = group.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
+    group = durable(group.join(durable(apart, "apart"), "k"), "open")
+    drop(met)
+    alone = group.where((F.col("m") <= GROUP) | (F.col("need") < 2)).select("k", "s", "component")
+    second = rare.select(F.col("k").alias("k2"), "s", F.col("rank").alias("rank2"), F.expr("k & 255").alias("tag"))
+    twice = group.where(F.col("m") > GROUP).withColumn("tag", F.expr("k & 255")).join(second, ["s", "tag"]).where("rank2 > rank")
+    group = durable(alone.unionByName(twice.select(F.xxhash64("k", "k2").alias("k"), "s", "component")), "groups")
+    apart = group.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
+    group = group.join(apart, "k")
     # Sketches go with the groups (of long texts folded to FOLDED words), so the join itself gives only pairs that they allow.
     chunk = (F.size("whole") / FOLDED).cast("int")
     folded = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.aggregate(F.slice("whole", i * chunk + 1, chunk), F.lit(0).cast("bigint"), lambda t, w: t.bitwiseXOR(w)))
-    inside = durable(sketches.join(group.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]).select("s", "n", F.when(F.size("whole") > FOLDED, folded).otherwise(F.col("whole")).alias("w")), "sketches")
+    inside = durable(sketched(group).select("s", "n", F.when(F.size("whole") > FOLDED, folded).otherwise(F.col("whole")).alias("w")), "sketches")
     group = group.join(inside, "s")
     a, b = (group.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "component", "n", "w"))) for x in "ab")
     fits = (F.col("s_a") < F.col("s_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    rest = a.join(b, (a["k"] == b["k"]) & fits & near("n_a", "n_b", "w_a", "w_b")).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
-    rest = linked(durable(rest, "rest"))
-    if rest.limit(1).count():
-        parts = durable(connected_components(links.unionByName(rest)), "parts")
+    rest = durable(a.join(b, (a["k"] == b["k"]) & fits & near("n_a", "n_b", "w_a", "w_b")).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct(), "rest")
+    drop(inside)
+    drop(rare)
+    more = linked(rest)
+    drop(wholes)
+    if more.limit(1).count():
+        parts = durable(connected_components(links.unionByName(more)), "parts")
 
-    named = parts.join(nodes.select(F.col("s").alias("node"), "id"), "node")
+    named = parts.join(node.select(F.col("s").alias("node"), "id"), "node")
     least = named.groupBy("component").agg(F.min("id").alias("least"))
-    label = nodes.select("s", "id").join(named.join(least, "component").select(F.col("node").alias("s"), "least"), "s", "left")
+    label = node.select("s", "id").join(named.join(least, "component").select(F.col("node").alias("s"), "least"), "s", "left")
     label = durable(label.select("s", F.coalesce("least", "id").alias("component_id")), "label")
-    out = sets.select("_id", "n", "s").join(label, "s", "left")
+    out = rows.join(label, "s", "left")
     bare = lambda c: F.nullif(c, F.lit(_NULL))
     return out.select(bare(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), bare(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))).alias("component_id"))
