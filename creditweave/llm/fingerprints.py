@@ -1,10 +1,11 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, in DataFrame functions only.
 
 A text's fingerprint is a sum of vectors, so equal multisets of paragraphs have equal fingerprints in any order, and
-adding or removing a paragraph adds or subtracts its vector. A paragraph's vector has two parts: 8 wide lanes modulo
-2**32 (four 64-bit hashes of the paragraph), which decide equality, and 126 narrow lanes that count the set bits of two
-hashes of each piece of up to 8 words, three lanes of 21 bits in a long. Read as +1 and -1 a bit, the narrow lanes'
-distance estimates how many pieces two texts do not share; likeness() is taken from it."""
+adding or removing a paragraph adds or subtracts its vector. A paragraph's vector has two parts: 32 wide lanes modulo
+2**32 (1,024 bits, expanded by seeds from two 64-bit hashes of the paragraph), which decide equality, and 128 narrow lanes that count
+the set bits of two hashes of each piece of up to 8 words, two lanes of 32 bits in a long: no text that Spark can hold has
+2**31 pieces. Read as +1 and -1 a bit, the narrow lanes' distance estimates how many pieces two texts do not share;
+likeness() is taken from it."""
 
 from __future__ import annotations
 
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-SEEDS, LANE_BITS = (0, 1), 21
+WIDE, SEEDS, LANE_BITS = 16, (0, 1), 32
 #: Up to 8 words of one paragraph; possessive, so that it takes time in proportion to the text.
 _PIECE = r"[^ \t\n\x0B\f\r]++(?:[ \t\x0B\f\r]++[^ \t\n\x0B\f\r]++){0,7}+"
 _LANE = (1 << LANE_BITS) - 1
-_BITS = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
+_BITS = 1 | 1 << LANE_BITS
 FINGERPRINT = "struct<wide: array<bigint>, narrow: array<bigint>, pieces: bigint>"
 
 
@@ -36,18 +37,16 @@ def _sum(values: Column, part) -> Column:
 def add_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     """df with a column `to` of FINGERPRINT type for the text column; null and empty texts have the zero vector.
 
-    Each step is a projection of its own, so that a hash is computed once for all lanes."""
+    Each step is a projection of its own, so that a hash is computed once for all lanes. A task holds the lines and pieces of
+    one text at a time as arrays, some 200 bytes a piece."""
     names = [c for c in df.columns if c != to]
     whole = F.coalesce(text, F.lit(""))
     df = df.withColumns({"_p": _paragraphs(whole), "_q": F.regexp_extract_all(whole, F.lit(_PIECE), 0)})
-    hashes = [_hashes("_p", s).alias(f"_w{s}") for s in range(4)]
+    hashes = [_hashes("_p", s).alias(f"_w{s}") for s in (0, 1)]
     pieces = [_hashes("_q", s).alias(f"_h{s}") for s in SEEDS]
     df = df.select(*names, *hashes, *pieces)
-    low = (1 << 32) - 1
-    wide = []
-    for s in range(4):
-        for half in (0, 32):
-            wide.append(_sum(F.col(f"_w{s}"), lambda x, half=half: F.shiftrightunsigned(x, half).bitwiseAND(F.lit(low))).bitwiseAND(F.lit(low)))
+    lane = F.lit(_LANE)
+    wide = [_sum(F.col(f"_w{i}"), lambda x, s=s, half=half: F.shiftrightunsigned(F.xxhash64(F.lit(s), x), half).bitwiseAND(lane)).bitwiseAND(lane) for i in (0, 1) for s in range(WIDE // 2) for half in (0, 32)]
     narrow = [_sum(F.col(f"_h{s}"), lambda x, j=j: F.shiftrightunsigned(x, j).bitwiseAND(F.lit(_BITS))) for s in SEEDS for j in range(LANE_BITS)]
     return df.select(*names, F.struct(F.array(*wide).alias("wide"), F.array(*narrow).alias("narrow"), F.size(f"_h{SEEDS[0]}").cast("bigint").alias("pieces")).alias(to))
 
@@ -77,8 +76,8 @@ def as_text(f: Column) -> Column:
 
 
 def _signed(f: Column) -> Column:
-    one = lambda x, k: (F.shiftrightunsigned(x, k * LANE_BITS).bitwiseAND(F.lit(_LANE)) * 2 - f["pieces"]).cast("double")
-    return F.flatten(F.transform(f["narrow"], lambda x: F.array(one(x, 0), one(x, 1), one(x, 2))))
+    one = lambda x: (x * 2 - f["pieces"]).cast("double")
+    return F.flatten(F.transform(f["narrow"], lambda x: F.array(one(x.bitwiseAND(F.lit(_LANE))), one(F.shiftrightunsigned(x, LANE_BITS)))))
 
 
 def add_likeness(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
@@ -96,33 +95,39 @@ def with_next(df: DataFrame, key: str, tie: str, carry: list[str], rows_a_bucket
     """df with next_<c> for each c of carry: the row of the next smaller key, and after the smallest the largest.
 
     Keys are cut at up to 1,000 quantiles, and each of those ranges evenly into buckets, so no task sorts the table: a
-    window leads inside a bucket, and each bucket's last row takes the first one of the next bucket that has rows.
-    Null keys count as smallest; equal keys follow one another by the column `tie`, a long."""
+    window leads inside a bucket, and each bucket's last row takes the first one of the next bucket that has rows. Which
+    bucket follows which is worked out from bucket numbers alone. Null keys count as smallest; equal keys follow one
+    another by the column `tie`, a long, inside one bucket. No rows give none."""
+    least = -(2**63)
     total = df.count()
-    ids = df.select(F.coalesce(key, F.lit(-(2**63))).alias("k"))
+    ids = df.select(F.coalesce(key, F.lit(least)).alias("k"))
     cells = min(1000, max(1, total // (4 * rows_a_bucket)))
-    cuts = sorted({int(x) for x in ids.approxQuantile("k", [i / cells for i in range(1, cells)], 0.0005)}) if total and cells > 1 else []
-    df = df.withColumn("_k", F.coalesce(key, F.lit(-(2**63))))
+    cuts = sorted({max(least, min(-least - 1, int(x))) for x in ids.approxQuantile("k", [i / cells for i in range(1, cells)], 0.0005)}) if total and cells > 1 else []
+    df = df.withColumn("_k", F.coalesce(key, F.lit(least)))
     cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_k"))) if cuts else F.lit(0)
     df = df.withColumn("_cell", cell)
-    wide = [max(1, (b - a) * rows_a_bucket * (len(cuts) + 1) // max(1, total)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    sub = F.lit(0).cast("bigint")
     if cuts:
+        wide = [max(1, (b - a) * rows_a_bucket * (len(cuts) + 1) // total) for a, b in zip(cuts, cuts[1:], strict=False)]
         step = F.element_at(F.array(*map(F.lit, [wide[0] if wide else 1 << 62, *wide, wide[-1] if wide else 1 << 62])), F.col("_cell") + 1)
         base = F.element_at(F.array(*map(F.lit, [cuts[0], *cuts])), F.col("_cell") + 1)
-        sub = F.floor((F.col("_k").cast("decimal(20,0)") - base.cast("decimal(20,0)")) / step.cast("decimal(20,0)")).cast("bigint")
-    else:
-        sub = F.lit(0).cast("bigint")
+        far = F.lit(1 << 62).cast("decimal(20,0)")  # the outer ranges have no end: what is far out shares a bucket
+        sub = F.floor((F.col("_k").cast("decimal(20,0)") - base.cast("decimal(20,0)")) / step.cast("decimal(20,0)"))
+        sub = F.greatest(F.least(sub.cast("decimal(21,0)"), far), -far).cast("bigint")
     df = df.withColumn("_sub", sub)
     inside = Window.partitionBy("_cell", "_sub").orderBy(F.desc("_k"), F.desc(tie))
     led = df.withColumns({f"_n_{c}": F.lead(F.struct(c)).over(inside) for c in carry} | {"_rn": F.row_number().over(inside)})
     heads = led.where("_rn = 1").select("_cell", "_sub", *(F.struct(c).alias(f"_h_{c}") for c in carry))
     across = Window.partitionBy("_cell").orderBy(F.desc("_sub"))
-    heads = heads.withColumns({f"_x_{c}": F.lead(f"_h_{c}").over(across) for c in carry} | {"_rn": F.row_number().over(across)})
-    tops = heads.where("_rn = 1").select("_cell", *(F.col(f"_h_{c}").alias(f"_t_{c}") for c in carry))  # one a cell, so 1,001 at most
-    every = Window.orderBy(F.desc("_cell"))
+    places = df.select("_cell", "_sub").distinct()
+    places = places.withColumns({"_s2": F.lead("_sub").over(across), "_rn": F.row_number().over(across)})
+    every = Window.orderBy(F.desc("_cell"))  # a row for each cell, so 1,001 at most
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.select("_cell", *(F.coalesce(F.lead(f"_t_{c}").over(every), F.first(f"_t_{c}").over(whole)).alias(f"_y_{c}") for c in carry))
-    after = heads.join(tops, "_cell").select("_cell", "_sub", *(F.coalesce(f"_x_{c}", f"_y_{c}").alias(f"_z_{c}") for c in carry))
+    tops = places.where("_rn = 1").select("_cell", F.struct("_cell", "_sub").alias("_top"))
+    tops = tops.select("_cell", F.coalesce(F.lead("_top").over(every), F.first("_top").over(whole)).alias("_top"))
+    after = places.join(tops, "_cell").select("_cell", "_sub", F.when(F.col("_s2").isNotNull(), F.struct("_cell", F.col("_s2").alias("_sub"))).otherwise(F.col("_top")).alias("_to"))
+    after = after.select(F.col("_cell").alias("_c"), F.col("_sub").alias("_s"), F.col("_to._cell").alias("_cell"), F.col("_to._sub").alias("_sub")).join(heads, ["_cell", "_sub"])
+    after = after.select(F.col("_c").alias("_cell"), F.col("_s").alias("_sub"), *(F.col(f"_h_{c}").alias(f"_z_{c}") for c in carry))
     out = led.join(after, ["_cell", "_sub"], "left")
     kept = [c for c in df.columns if c not in ("_k", "_cell", "_sub")]
     return out.select(*kept, *(F.coalesce(f"_n_{c}", f"_z_{c}")[c].alias(f"next_{c}") for c in carry))
@@ -132,7 +137,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """For each document its fingerprint, that of its text edited at the end, and how near both and the next text are.
 
     The edited text has its last third replaced by as much of the next document's start (descending doc_id; after the
-    last the first). Null texts count as empty; other columns of docs play no part."""
+    last the first). Null texts count as empty; other columns of docs play no part. Rows that repeat an id follow one
+    another by a hash of their texts; a null id is the smallest."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_order", F.xxhash64("text"))
     both = with_next(base, "doc_id", "_order", ["text"])
     both = both.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("_k", F.expr("n_chars div 3"))

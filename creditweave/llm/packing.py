@@ -1,22 +1,26 @@
 """Lexical retrieval packing: sequences of a fixed length, filled from each seed document's nearest unused neighbours.
 
-Documents are dealt to shards by a hash, or as runs of the source mix; each shard keeps a BM25 inverted index over token ids. A seed fills its
-sequence, then its best unused neighbour goes on; what does not fit starts the next sequence, whose seed it becomes.
-So only the last sequence of a shard has padding."""
+Documents are encoded once; how many documents have a term is counted over all of them. Shards are runs of documents sorted
+by their rarest shared terms, or runs of the source mix; each keeps a BM25 inverted index over token ids. The best unused
+neighbours of a seed fill its window; the one that does not fit whole goes on in the next window, whose seed it becomes.
+So only the last sequence of a task has padding."""
 
 from __future__ import annotations
 
 import json
-import os
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SHARD_DOCS, SHARD_TOKENS = 1000, 1 << 19
 
 
 # How byte-level BPE cuts text before merging.
@@ -43,6 +47,7 @@ class Encoder:
         self.tokenizer, self.merges = Tokenizer.from_file(path), None
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
+        self.shape = _shape(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.special = [t["content"] for t in model.get("added_tokens") or []]
         if (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model.get("normalizer") and not model["pre_tokenizer"].get("add_prefix_space"):
             self.merges = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=_ranks(model["model"]["vocab"], set(self.special)), special_tokens={})
@@ -57,105 +62,202 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Bm25:
-    """An inverted index of one shard: for each term its documents and their weights."""
+    """An inverted index of one shard: for each term its documents and their weights.
+
+    df (documents of a term, by term) and mean (tokens a document) are those of the whole corpus of `total` documents; the
+    shard's own stand in for them where they are not given."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], df: np.ndarray | None = None, total: int = 0, mean: float = 0.0, k1: float = 1.2, b: float = 0.75):
         n = len(docs)
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True) if n else ((), ())
-        size = np.array([len(d) for d in docs], float)
-        which = np.repeat(np.arange(n), [len(t) for t in terms])
-        term, tf = np.concatenate(terms), np.concatenate(counts)
+        size = np.array([len(d) for d in docs])
+        width = int(max((int(d.max()) for d in docs if len(d)), default=0)) + 1
+        pairs, tf = np.unique(np.repeat(np.arange(n), size) * width + np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
+        which, term = pairs // width, pairs % width
+        self.terms = np.searchsorted(which, np.arange(n + 1))  # of each document in `place`
         order = np.argsort(term, kind="stable")
-        self.names, at, df = np.unique(term[order], return_index=True, return_counts=True)
-        self.at, self.docs = np.append(at, len(term)), which[order]
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * size / max(size.mean(), 1e-9))
-        self.weight = np.repeat(idf, df) * tf[order] * (k1 + 1) / (tf[order] + norm[which[order]])
-        self.df, self.terms = df, [np.searchsorted(self.names, t) for t in terms]
-
-    def scores(self, seed: int, some: int = 12) -> np.ndarray:
-        """BM25 of every document of the shard for the seed's `some` rarest terms that others hold too."""
-        out, t = np.zeros(len(self.terms)), self.terms[seed]
-        t = t[self.df[t] > 1]
-        if len(t) > some:
-            t = t[np.argpartition(self.df[t], some)[:some]]
-        for i in t:
-            a, b = self.at[i], self.at[i + 1]
-            out[self.docs[a:b]] += self.weight[a:b]
-        return out
-
-
-def chain(index: Bm25) -> list[int]:
-    """All documents of a shard, each followed by its best unused neighbour, or by the first unused one."""
-    n, order = len(index.terms), []
-    unused, first, seed = np.ones(n), 0, 0
+        names, at, own = np.unique(term[order], return_index=True, return_counts=True)
+        self.place = np.searchsorted(names, term)
+        self.at, self.docs, self.held = at, which[order], own
+        df, total, mean = (own, n, size.mean() if n else 0.0) if df is None else (df[names], total, mean)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        norm = k1 * (1 - b + b * size / max(mean, 1e-9))
+        self.weight = np.repeat(idf, own) * tf[order] * (k1 + 1) / (tf[order] + norm[self.docs])
+        self.n = n
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document of the shard for all the seed's terms."""
+        t = self.place[self.terms[seed] : self.terms[seed + 1]]
+        some = self.held[t]
+        post = np.repeat(self.at[t] - np.concatenate(([0], some.cumsum()[:-1])), some) + np.arange(some.sum()) if len(t) else t
+        return np.bincount(self.docs[post], self.weight[post], self.n)
+
+
+def fill_order(index: Bm25, sizes: list[int], at: int, length: int) -> list[int]:
+    """All documents of a shard, in the order in which they fill windows of `length` tokens, the first of which has `at` already.
+
+    A window's seed is the document that comes into it from the one before, or the first unused one; its best unused
+    neighbours follow until the window is full, and unused ones in their order where it has no more."""
+    n, order = index.n, []
+    unused, first, seed = np.ones(n, bool), 0, None
+
+    def take(d: int) -> None:
+        nonlocal at, seed
+        order.append(d)
+        unused[d] = False
+        at, seed = (at + sizes[d]) % length, (d if sizes[d] > length - at else None)
+
     while len(order) < n:
-        order.append(seed)
-        unused[seed] = 0
-        found = index.scores(seed) * unused
-        best = int(found.argmax()) if n else 0
-        if found[best] <= 0:
-            while first < n and not unused[first]:
+        if seed is None:
+            while not unused[first]:
                 first += 1
-            best = first
-        seed = best
+            own = first
+            take(first)
+        else:
+            own = seed
+        if at == 0:
+            seed = None
+            continue
+        found = np.where(unused, index.scores(own), 0.0)
+        seed = None
+        for d in np.lexsort((np.arange(n), -found)).tolist():
+            if found[d] <= 0 or at == 0 or seed is not None:
+                break
+            take(d)
+        while at and seed is None and len(order) < n:
+            while not unused[first]:
+                first += 1
+            take(first)
     return order
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, docs_a_shard: int = 1000) -> DataFrame:
-    """A row for each piece (PIECE) of all documents, each ended by end_id, in sequences of `length` tokens.
+def _shape(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
-    Null and empty texts are their end_id alone. Long texts are cut into as many pieces as they need. Repeated rows are
-    packed as often as they stand there; a null doc_id is kept as null. Which shard a document is in depends on its id
-    and text only, so the result doesn't depend on the input's partitions. No rows give no rows."""
-    shards = max(1, -(-docs.count() // docs_a_shard))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)))
-    return _fill(base, ["doc_id", "text"], tokenizer, length, end_id)
-
-
-def pack_mixed(mixed: DataFrame, tokenizer: str, block_chars: int, length: int = 1024, end_id: int = 0, docs_a_shard: int = 1000) -> DataFrame:
-    """As pack(), of documents with the slot and block_offset that mixing.mix gave them for blocks of block_chars: shards are
-    runs of about docs_a_shard documents in the order of slot and block_offset, and sequence_id rises with them.
-
-    So the sequences of a shard, in any order, hold the mix of its slots. Slots with their numbers of documents get running
-    totals over spans of slots; a document's place in its slot is its offset's share of the block, so no slot is sorted.
-    Documents without text (as many as there may be at one offset) take a place by hash within their slot, which has one source."""
-    span = F.expr("slot div 1024")
-    slots = mixed.groupBy("slot").agg(F.count("*").alias("_n")).withColumn("_span", span)
-    spans = slots.groupBy("_span").agg(F.sum("_n").alias("_m"))  # a row for each 1,024 slots
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select("_span", F.coalesce(F.sum("_m").over(before(Window.orderBy("_span"))), F.lit(0)).alias("_at"))
-    inside = F.coalesce(F.sum("_n").over(before(Window.partitionBy("_span").orderBy("slot"))), F.lit(0))
-    slots = slots.withColumn("_in", inside).join(spans, "_span").select("slot", "_n", (F.col("_at") + F.col("_in")).alias("_before"))
-    base = mixed.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "slot", "block_offset").join(slots, "slot")
-    place = F.when(F.length("text") > 0, F.expr(f"block_offset * _n div {block_chars}")).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("_n")))
-    base = base.withColumn("shard", F.floor((F.col("_before") + place) / docs_a_shard).cast("long"))
-    return _fill(base.drop("_n", "_before"), ["slot", "block_offset", "doc_id", "text"], tokenizer, length, end_id)
-
-
-def _fill(base: DataFrame, keys: list[str], tokenizer: str, length: int, end_id: int) -> DataFrame:
-    """Pieces of the documents of each shard; its first document by `keys` is its first seed."""
-
-    def of(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(c, "ascending") for c in keys])
-        shard, doc_id, texts = group["shard"][0].as_py(), group["doc_id"].combine_chunks(), group["text"].to_pylist()
+
+def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """docs with `text` replaced by `ids`: its token ids and end_id, as little-endian 16-bit numbers (32-bit ones where the
+    vocabulary has over 65,536 entries). A null text is an empty one."""
+    names = [c for c in docs.columns if c not in ("text", "ids")]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "ids binary"])
+
+    def run(batches):
         if tokenizer not in _encoders:
             _encoders[tokenizer] = Encoder(tokenizer)
-        coded: list[bytes] = []
-        for a in range(0, len(texts), 100):
-            coded += _encoders[tokenizer].encode(texts[a : a + 100])
-        tail = array("I", [end_id]).tobytes()
-        coded = [c + tail for c in coded]
-        order = chain(Bm25([np.frombuffer(c, "<u4") for c in coded]))
-        rows, at = [], 0
-        for d in order:
-            size, start = len(coded[d]) // 4, 0
-            while start < size:
-                some = min(size - start, length - at % length)
-                rows.append((d, start, some, zlib.crc32(memoryview(coded[d])[4 * start : 4 * (start + some)]), size, (shard << 32) + at // length, at % length))
-                start, at = start + some, at + some
-        cols = np.array(rows, np.int64).reshape(-1, 7).T
-        return pa.Table.from_arrays([doc_id.take(pa.array(cols[0])), *map(pa.array, cols[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return base.groupBy("shard").applyInArrow(of, PIECE)
+        coder = _encoders[tokenizer]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                ids = [np.append(np.frombuffer(c, "<u4"), end_id).astype(coder.shape).tobytes() for c in coder.encode(part.column(len(names)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(ids, pa.binary())], names=[*names, "ids"])
+
+    return docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+
+
+class Corpus:
+    """Documents of each term and mean length over all encoded documents; as many numbers as the vocabulary has."""
+
+    def __init__(self, coded: DataFrame, shape: str):
+        width = np.dtype(shape).itemsize
+
+        def count(batches):
+            found = np.zeros(0, np.int64)
+            for batch in batches:
+                for ids in batch.column(0):
+                    own = np.unique(np.frombuffer(ids.as_buffer(), shape))
+                    if len(own) and own[-1] >= len(found):
+                        found = np.append(found, np.zeros(int(own[-1]) + 1 - len(found), np.int64))
+                    found[own] += 1
+            own = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found[own])], names=["term", "n"])
+
+        rows = coded.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
+        self.df = np.zeros(1 + max((r["term"] for r in rows), default=0), np.int64)
+        for r in rows:
+            self.df[r["term"]] = r["n"]
+        self.total, size = coded.agg(F.count("*"), F.sum(F.octet_length("ids").cast("bigint"))).first()
+        self.mean = (size or 0) / width / max(self.total, 1)
+        shared = np.where(self.df > 1, self.df, np.iinfo(np.int64).max)
+        self.rank = np.empty(len(self.df), np.int64)
+        self.rank[np.lexsort((np.arange(len(shared)), shared))] = np.arange(len(shared))  # the rarest shared term first
+
+
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -> DataFrame:
+    """A row for each piece (PIECE) of all documents, each ended by end_id, in sequences of `length` tokens.
+
+    Null and empty texts are their end_id alone. Long texts are cut into as many pieces as they need. Repeated rows are
+    packed as often as they stand there; a null doc_id is kept as null. No rows give no rows. Documents are sorted by their
+    four rarest terms that others share, so shards (runs of that order) hold documents that share rare terms."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    coded, shape = durable(encode(base, tokenizer, end_id), "coded"), _shape(_vocabulary(tokenizer))
+    corpus = Corpus(coded, shape)
+    return _fill(_by_content(coded, corpus, shape), ["key", "doc_id"], corpus, shape, length)
+
+
+def pack_mixed(mixed: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -> DataFrame:
+    """As pack(), of documents with the slot and block_offset that mixing.mix gave them: shards are runs of that order, and
+    sequence_id rises with it. So a run of sequences holds the mix of its slots."""
+    base = mixed.select(F.col("doc_id").cast("long").alias("doc_id"), "slot", "block_offset", "text")
+    coded, shape = durable(encode(base, tokenizer, end_id), "coded"), _shape(_vocabulary(tokenizer))
+    return _fill(coded, ["slot", "block_offset", "doc_id"], Corpus(coded, shape), shape, length)
+
+
+def _vocabulary(tokenizer: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
+
+
+def _by_content(coded: DataFrame, corpus: Corpus, shape: str) -> DataFrame:
+    """coded with `key`: the ranks of a document's four rarest shared terms (three, of a large vocabulary), the rarest first."""
+    known = coded.sparkSession.sparkContext.broadcast(corpus.rank)  # a number for each term
+    terms, bits = (4, 15) if len(corpus.rank) <= 1 << 15 else (3, 20)
+
+    def run(batches):
+        for batch in batches:
+            keys = np.zeros(batch.num_rows, np.int64)
+            for i, ids in enumerate(batch.column(1)):
+                own = np.unique(known.value[np.frombuffer(ids.as_buffer(), shape)])[:terms]
+                own = np.minimum(np.append(own, np.full(terms - len(own), (1 << bits) - 1)), (1 << bits) - 1)
+                keys[i] = int(sum(int(x) << bits * (terms - 1 - j) for j, x in enumerate(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys)], names=["doc_id", "ids", "key"])
+
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, key long")
+
+
+def _fill(coded: DataFrame, keys: list[str], corpus: Corpus, shape: str, length: int) -> DataFrame:
+    """Pieces of the documents in the order of `keys`: a task packs a range of it, a shard of at most SHARD_DOCS documents and
+    SHARD_TOKENS tokens (or one document) at a time. Only the last sequence of a task has padding."""
+    known = coded.sparkSession.sparkContext.broadcast((corpus.df, corpus.total, corpus.mean))
+
+    def run(batches):
+        df, total, mean = known.value
+        first, at, ids, names, tokens = TaskContext.get().partitionId() << 32, 0, [], [], 0
+
+        def shard():
+            nonlocal at
+            rows = []
+            for d in fill_order(Bm25(ids, df, total, mean), [len(x) for x in ids], at % length, length):
+                wide, size, start = memoryview(ids[d].astype("<u4").tobytes()), len(ids[d]), 0
+                while start < size:
+                    some = min(size - start, length - at % length)
+                    rows.append((d, start, some, zlib.crc32(wide[4 * start : 4 * (start + some)]), size, first + at // length, at % length))
+                    start, at = start + some, at + some
+            cols = np.array(rows, np.int64).reshape(-1, 7).T
+            owners = pa.concat_arrays(names).take(pa.array(cols[0]))
+            return pa.RecordBatch.from_arrays([owners, *map(pa.array, cols[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+        for batch in batches:
+            for i, x in enumerate(batch.column(1)):
+                own = np.frombuffer(x.as_py(), shape)
+                if ids and (len(ids) >= SHARD_DOCS or tokens + len(own) > SHARD_TOKENS):
+                    yield shard()
+                    ids, names, tokens = [], [], 0
+                ids.append(own)
+                names.append(batch.column(0).slice(i, 1))
+                tokens += len(own)
+        if ids:
+            yield shard()
+
+    ordered = coded.repartitionByRange(*keys).sortWithinPartitions(*keys, F.xxhash64("ids"))
+    return ordered.select("doc_id", "ids").mapInArrow(run, PIECE)

@@ -23,6 +23,7 @@ from .common import durable, new_folder
 
 SKIPPABLE_MAP, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 128 << 20
+FRAMES_A_TASK, MOST_TASKS = 64, 10_000
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -30,18 +31,24 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def urn(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def urn(page_id: int | None, sha1: str, copy: str = "") -> str:
+    """A record's identifier: its page and payload, and for a row that repeats both in one bundle its place there."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{sha1}{copy and ':' + copy}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, sha1: str, size: int, refers_to: int | None) -> bytes:
+def page_of(identifier: str) -> int | None:
+    page = identifier.split(":")[2]
+    return None if page == "null" else int(page)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, sha1: str, size: int, refers_to: int | None, identifier: str | None = None) -> bytes:
     """One WARC/1.1 record. A revisit has the payload's HTTP header and digest, and no payload."""
     revisit = payload is None
     body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload or b"")
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http; msgtype=response"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {identifier or urn(page_id, sha1)}", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http; msgtype=response"]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to, sha1)}"]
     return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
 
 
@@ -135,7 +142,8 @@ def write_archives(pages: DataFrame, least: int = 0, folder: str | None = None)
     Payloads are html in UTF-8, null as empty. Of rows with equal payloads of at least `least` bytes, that with the largest
     page_id is a response (each of them, where rows repeat it), the others revisit it. A null page_id is smaller than any,
     and is kept as null. The folder is new unless given, inside spark.checkpoint.dir; a task that runs again writes new
-    bundles, and only those of the attempt that Spark kept are listed."""
+    bundles, and only those of the attempt that Spark kept are listed. A bundle's map has the records' WARC-Record-IDs; rows that
+    repeat page_id and payload in several bundles have one identifier in each."""
     folder = folder or new_folder(pages.sparkSession, "warc")
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("_sha", F.sha1(F.col("html").cast("binary"))).withColumn("_size", F.octet_length("html").cast("bigint"))
@@ -152,8 +160,10 @@ def write_archives(pages: DataFrame, least: int = 0, folder: str | None = None)
                     bundle = Bundle(folder, f"{uuid.uuid4().hex}.warc.zst")
                 payload = None if r["html"] is None else r["html"].encode()
                 sha1 = base64.b32encode(bytes.fromhex(r["_sha"])).decode()
-                serial += 1
-                bundle.add(f"{urn(r['page_id'])}#{serial}", record(r["page_id"], r["url"], payload, sha1, r["_size"], r["to"]))
+                serial, name = serial + 1, urn(r["page_id"], sha1)
+                if name in bundle.map:
+                    name = urn(r["page_id"], sha1, str(serial))
+                bundle.add(name, record(r["page_id"], r["url"], payload, sha1, r["_size"], r["to"], name))
                 if bundle.written > BUNDLE_BYTES:
                     done += bundle.close()
                     bundle = None
@@ -165,7 +175,9 @@ def write_archives(pages: DataFrame, least: int = 0, folder: str | None = None)
 
 
 def read_archives(folder: str, frames: DataFrame) -> DataFrame:
-    """RECORD rows of all records of these frames, from the bundles' own bytes; a payload that doesn't match its digest raises."""
+    """RECORD rows of all records of these frames, from the bundles' own bytes; a payload that doesn't match its digest raises.
+
+    A task reads about FRAMES_A_TASK frames, those of one stretch of a bundle together."""
 
     def read(batches):
         readers: dict[str, Reader] = {}
@@ -178,12 +190,14 @@ def read_archives(folder: str, frames: DataFrame) -> DataFrame:
                 data = r.frame(i)
                 for _key, start, length in r.by_frame[i]:
                     warc, http, payload = parse(data[start : start + length])
-                    page, to = ((x if x != "null" else None) for x in (warc["warc-record-id"][10:-1], warc.get("warc-refers-to", "<urn:page:null>")[10:-1]))
+                    page, to = page_of(warc["warc-record-id"]), page_of(warc.get("warc-refers-to", urn(None, "")))
                     kind, size, sha1 = warc["warc-type"], int(http["content-length"]), warc["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and (len(payload) != size or digest(payload) != sha1):
                         raise ValueError(f"the payload of {page} in {name} doesn't match its digest")
-                    out.append((page and int(page), size, sha1, kind, to and int(to)))
+                    out.append((page, size, sha1, kind, to))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return frames.orderBy("bundle", "frame").mapInArrow(read, RECORD)
+    tasks = min(MOST_TASKS, max(1, -(-frames.count() // FRAMES_A_TASK)))
+    dealt = frames.repartition(tasks, "bundle", F.expr(f"frame div {FRAMES_A_TASK}")).sortWithinPartitions("bundle", "frame")
+    return dealt.mapInArrow(read, RECORD)
