@@ -15,7 +15,6 @@ from creditweave.llm.common import durable, table
 from creditweave.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-BLOCK_CHARS = 65_536
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,15 +46,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Puts all documents into the order of the mix: files and their rows follow the slots."""
     ship(spark)
     order = ["slot", "block_offset", "doc_id"]
-    mixed = mixing.mix(docs.select(COLUMNS), mixing.tempered(docs), BLOCK_CHARS)
+    mixed = mixing.mix(docs.select(COLUMNS), mixing.tempered(docs))
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1,024 tokens; runs of sequences follow the mix, whose slots are worked out again."""
     ship(spark)
-    mixed = mixing.mix(docs.select(COLUMNS), mixing.tempered(docs), BLOCK_CHARS)
-    return packing.pack_mixed(mixed, queries.tokenizer(), BLOCK_CHARS)
+    mixed = mixing.mix(docs.select(COLUMNS), mixing.tempered(docs))
+    return packing.pack_mixed(mixed, queries.tokenizer())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
