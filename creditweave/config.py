@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
+import json
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
 SCORERS = ("wratio", "ratio", "token_sort_ratio", "token_set_ratio", "levenshtein")
@@ -128,4 +131,18 @@ def load(kind: type, values: dict[str, Any]) -> Any:
     return kind(**{k: load(nested[k], v) if k in nested and isinstance(v, dict) else v for k, v in values.items()})
 
 
+def load_file(kind: type, path: str | Path) -> Any:
+    """Settings from a JSON file on the driver; an unreadable file, no object and unknown keys are errors."""
+    values = json.loads(Path(path).read_text(encoding="utf-8"))
+    if not isinstance(values, dict):
+        raise ValueError(f"{path} must hold an object")
+    return load(kind, values)
+
+
+def digest(settings: Any) -> str:
+    """A short fingerprint of settings, whatever the order of their keys."""
+    canonical = json.dumps(dataclasses.asdict(settings), sort_keys=True)
+    return "sha256:" + hashlib.sha256(canonical.encode()).hexdigest()[:16]
+
+
 DEFAULT = Matching()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import lru_cache
 
+import numpy as np
+
 
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence, with one bit a character of a."""
@@ -67,3 +70,95 @@ def wratio(a: str, b: str) -> float:
         return max(base, 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
     scale = 0.9 if apart <= 8 else 0.6
     return max(base, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
+
+
+def levenshtein(a: str, b: str) -> float:
+    """100 less the share of edits in the longer string."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    longest = max(len(a), len(b))
+    return 100.0 - row[-1] * 100.0 / longest if longest else 100.0
+
+
+class Choices:
+    """A block of names, laid out so that one string is held against all of them at once."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        sets = [sorted(set(n.split())) for n in names]
+        self.forms = [names, [" ".join(sorted(n.split())) for n in names], [" ".join(s) for s in sets]]
+        letters = sorted({c for n in names for c in n} | {" "})
+        self.code = {c: i for i, c in enumerate(letters, 1)}
+        self.text, self.size = zip(*(self._laid(f) for f in self.forms), strict=True)
+        self.bag = np.stack([(self.text[2] == i).sum(0) for i in range(1, len(letters) + 1)])  # letters of the distinct words
+        self.words: dict[str, list[int]] = defaultdict(list)
+        for i, s in enumerate(sets):
+            for w in s:
+                self.words[w].append(i)
+
+    def _laid(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(n) for n in names])
+        out = np.zeros((int(size.max(initial=0)), len(names)), np.uint16)
+        flat = np.array([self.code[c] for n in names for c in n], np.uint16)
+        row = np.repeat(np.arange(len(names)), size)
+        out[np.arange(len(flat)) - np.repeat(size.cumsum() - size, size), row] = flat
+        return out, size
+
+    def common(self, a: str, form: int) -> np.ndarray:
+        """Lengths of the longest common subsequences of a with every name in this form; of an `a` of over 64 letters the
+        shorter length, which they cannot exceed."""
+        if len(a) > 64:
+            return np.minimum(self.size[form], len(a))
+        where = np.zeros(len(self.code) + 1, np.uint64)
+        for i, c in enumerate(a):
+            if c in self.code:
+                where[self.code[c]] |= np.uint64(1 << i)
+        free = np.full(len(self.names), (1 << len(a)) - 1, np.uint64)
+        for column in self.text[form]:
+            hit = free & where[column]
+            free = (free + hit) | (free - hit)
+        return len(a) - np.bitwise_count(free & np.uint64((1 << len(a)) - 1)).astype(np.int64)
+
+    def shared(self, a: str) -> np.ndarray:
+        """Length of the words that a and each name share, joined by blanks; 0 if there are none."""
+        out = np.zeros(len(self.names), np.int64)
+        for w in set(a.split()):
+            out[self.words.get(w, [])] += len(w) + 1
+        return np.maximum(0, out - 1)
+
+    def bags(self, a: str) -> np.ndarray:
+        """Letters that the distinct words of a and of each name have in common, in any order."""
+        own = " ".join(sorted(set(a.split())))
+        return sum(np.minimum(self.bag[i - 1], own.count(c)) for c, i in self.code.items())
+
+    def close(self, a: str, scorer: str, floor: float, top: int, owners: list[int]) -> list[tuple[int, float]]:
+        """The `top` best (row, score) of at least `floor`, ties by name and owner. Every name is considered: bounds leave out what
+        cannot reach the floor, the rest is scored."""
+        n, la = self.size[0], len(a)
+        if scorer == "levenshtein":
+            ask, known = self.common(a, 0) * 100.0 >= floor * np.maximum(n, la) - 1e-6, np.zeros(len(n), bool)
+        elif scorer != "wratio":
+            ask, known = np.ones(len(n), bool), np.zeros(len(n), bool)
+        else:
+            low, high = np.minimum(n, la), np.maximum(n, la)
+            even, within = high < 1.5 * low, high <= 8 * low
+            whole, by_set = self.common(a, 0), self.common(" ".join(sorted(set(a.split()))), 2)
+            by_sort = self.common(" ".join(sorted(a.split())), 1)
+            own = len(" ".join(set(a.split())))
+            s, its = self.shared(a), self.size[2]
+            r, token, part, tokens = floor / 100, floor / 95, floor / 90, floor / 85.5
+            tie = 2 * self.bags(a) >= token * (own + its) - 1e-6
+            alone = 2 * s >= token * (s + np.minimum(own, its)) - 1e-6
+            near = (2 * whole >= r * (la + n) - 1e-6) | (2 * by_sort >= token * (la + n) - 2 - 1e-6) | (2 * by_set >= token * (own + its) - 1e-6) | ((s > 0) & (tie | alone))
+            # a part of the longer string has at most the common letters, so is at best as long as these
+            piece = 2 * whole >= part * (low + whole) - 1e-6
+            piece |= 2 * by_set >= tokens * (np.minimum(own, its) + by_set) - 1e-6
+            known = ~even & within & (s > 0) & (85.5 >= floor) & ~piece  # a shared word alone: 0.95 * 0.9 * 100
+            ask = np.where(even, near, (within & piece) | (2 * whole >= r * (la + n) - 1e-6)) & ~known
+        of = {"wratio": wratio, "levenshtein": levenshtein}.get(scorer) or globals()[scorer]
+        out = [(i, of(a, self.names[i])) for i in np.flatnonzero(ask).tolist()]
+        out += [(i, 0.95 * 0.9 * 100.0) for i in np.flatnonzero(known).tolist()]
+        return sorted(((i, x) for i, x in out if x >= floor), key=lambda t: (-t[1], self.names[t[0]], owners[t[0]]))[:top]

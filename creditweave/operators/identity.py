@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Identification
@@ -15,71 +13,31 @@ from ..session import settled
 IDENTITY = ["customer_id", "method", "score", "matched_on", "runner_up", "runner_up_score"]
 
 
-def scored(pairs: DataFrame, scorer: str, payer: str = "payer", choice: str = "choice") -> DataFrame:
-    """pairs with `score` from 0 to 100. levenshtein stays in the JVM; the others are Arrow batches of distinct pairs."""
-    if scorer == "levenshtein":
-        longest = F.greatest(F.length(payer), F.length(choice))
-        return pairs.withColumn("score", F.when(longest == 0, 100.0).otherwise(100.0 - F.levenshtein(payer, choice) * 100.0 / longest))
-    of = getattr(similarity, scorer)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return pairs.withColumn("score", score(payer, choice))
-
-
-def _blocks(name: str) -> Column:
-    """Join keys of a name: its words of 3 letters or more, and its first and last three letters."""
-    words = F.filter(F.split(name, " "), lambda w: F.length(w) >= 3)
-    bare = F.replace(F.col(name), F.lit(" "), F.lit(""))
-    return F.array_distinct(F.concat(words, F.array(F.concat(F.lit("^"), F.substring(bare, 1, 3)), F.concat(F.lit("$"), F.right(bare, F.lit(3))))))
-
-
-def within_reach(payer: str, choice: str, floor: float) -> tuple[Column, Column]:
-    """(whether a pair may score `floor` or more by wratio, and must be scored; its score where that is known without).
-
-    Bounds in the JVM: a common subsequence is no longer than edits allow, so a ratio of r needs at most (1 - r) times both
-    lengths of edits; the token forms likewise on sorted words and on the words that only one side has. Of names 1.5 times
-    as long as one another a shared word alone gives 0.95 * 0.9, which only a close part can exceed."""
-    r, token, part = floor / 100, floor / 95, floor / 90
-    la, lb = F.length(payer), F.length(choice)
-    low, high, both = F.least(la, lb), F.greatest(la, lb), la + lb
-    x, y = F.array_sort(F.array_distinct(F.split(payer, " "))), F.array_sort(F.array_distinct(F.split(choice, " ")))
-    joined = lambda words: F.array_join(words, " ")
-    by_sort = lambda c: joined(F.array_sort(F.split(c, " ")))
-    shared, only_x, only_y = F.length(joined(F.array_intersect(x, y))), joined(F.array_except(x, y)), joined(F.array_except(y, x))
-    by_set = (shared > 0) & ((F.least(F.length(only_x), F.length(only_y)) + 1 <= 2 * (1 / token - 1) * shared + 1) | (F.levenshtein(only_x, only_y) <= (1 - token) * (2 * shared + 2 + F.length(only_x) + F.length(only_y)) + 1))
-    even = (F.levenshtein(F.col(payer), F.col(choice)) <= (1 - r) * both + 1) | (F.levenshtein(by_sort(payer), by_sort(choice)) <= (1 - token) * both + 1) | by_set
-    room = high + low * (2 * (1 - part) - part / (2 - part)) + 1
-    uneven = (F.levenshtein(F.col(payer), F.col(choice)) <= room) | (F.levenshtein(joined(x), joined(y)) <= room)
-    far = high >= 1.5 * low
-    return F.when(far, (high <= 8 * low) & uneven).otherwise(even), F.when(far & (high <= 8 * low) & (shared > 0) & F.lit(floor <= 85.5), 0.95 * 0.9 * 100)
-
-
-def similar_names(payers: DataFrame, names: DataFrame, aliases: DataFrame, cfg: Identification, top: int = 5) -> DataFrame:
+def similar_names(payers: DataFrame, names: DataFrame, aliases: DataFrame, cfg: Identification, top: int = 5, payer_rows: int = 512, choice_rows: int = 8192) -> DataFrame:
     """For each distinct `payer`, the identity that similarity gives: fuzzy, ambiguous or none.
 
     The best of all names and aliases must score fuzzy_min_score, and lead by fuzzy_margin over the best one of another owner
-    among the `top`. Candidates share a word or the start or end of the name (any pair that scores 86 and keeps a word
-    does); so payers meet their candidates in a join, not in a product. Pairs that cannot score within the margin of
-    fuzzy_min_score are left out in the JVM, so `score` and `runner_up` are null or 0 where nothing comes that near."""
+    among the `top`. Every name is considered for every payer, in blocks of payer_rows by choice_rows: a task holds one of each
+    and gives `top` rows a payer, so nothing grows with the pairs but arithmetic (bit-parallel, over a block of names at once).
+    Pairs that cannot score within the margin of fuzzy_min_score are left out, so `score` and `runner_up` are null or 0 where
+    nothing comes that near. No payers or no names give none."""
     choices = names.select(F.col("normalized_name").alias("choice"), F.col("customer_id").alias("owner")).unionByName(aliases.select(F.col("normalized_alias").alias("choice"), F.col("customer_id").alias("owner")))
-    left = payers.select("payer").distinct()
-    left_keys, right_keys = left.withColumn("pk", _blocks("payer")).withColumn("k", F.explode("pk")), choices.withColumn("ck", _blocks("choice")).withColumn("k", F.explode("ck"))
-    meet = left_keys.join(right_keys, "k").where(F.col("k") == F.array_min(F.array_intersect("pk", "ck")))  # each pair at one key only
-    meet = meet.select("payer", "choice", "owner")
-    floor = cfg.fuzzy_min_score - cfg.fuzzy_margin  # what scores less is neither an identity nor a rival
-    if cfg.fuzzy_scorer == "wratio" and floor > 80:
-        ask, known = within_reach("payer", "choice", floor)
-        meet = settled(meet.select("payer", "choice", "owner", ask.alias("ask"), known.alias("score")).where("ask or score is not null"), "close-names")
-        pairs = scored(meet.where("ask").drop("score"), cfg.fuzzy_scorer).select("payer", "choice", "owner", "score")
-        few = F.row_number().over(Window.partitionBy("payer").orderBy("choice", "owner"))
-        known = meet.where("not ask").withColumn("rn", few).where(F.col("rn") <= top).select("payer", "choice", "owner", "score")
-        pairs = pairs.unionByName(known)
-    else:
-        pairs = scored(meet, cfg.fuzzy_scorer)
+    choices, left = choices.where("choice <> ''"), payers.select("payer").distinct()
+    p_blocks, c_blocks = (max(1, -(-df.count() // n)) for df, n in ((left, payer_rows), (choices, choice_rows)))
+    floor, scorer = max(0.0, cfg.fuzzy_min_score - cfg.fuzzy_margin), cfg.fuzzy_scorer  # what scores less is neither an identity nor a rival
+    dealt = lambda c, n, other: [F.pmod(F.xxhash64(c), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))]
+    asking = left.select("payer", *(x.alias(k) for x, k in zip(dealt("payer", p_blocks, c_blocks), ("p", "c"), strict=True)))
+    asked = choices.select("choice", "owner", *(x.alias(k) for x, k in zip(dealt("choice", c_blocks, p_blocks), ("c", "p"), strict=True)))
+
+    def best(own: pa.Table, block: pa.Table) -> pa.Table:
+        known, owners, out = similarity.Choices(block["choice"].to_pylist()), block["owner"].to_pylist(), []
+        for payer in own["payer"].to_pylist() if owners else ():
+            out += [(payer, known.names[i], owners[i], score) for i, score in known.close(payer, scorer, floor, top, owners)]
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)], names=["payer", "choice", "owner", "score"])
+
+    pairs = asking.groupBy("p", "c").cogroup(asked.groupBy("p", "c")).applyInArrow(best, "payer string, choice string, owner long, score double")
+    pairs = settled(pairs, "close-names")
     rank = F.row_number().over(Window.partitionBy("payer").orderBy(F.desc("score"), "choice", "owner"))
     best = pairs.withColumn("rn", rank).where(F.col("rn") <= top)
     first = best.where("rn = 1").select("payer", F.col("owner").alias("o"), F.col("choice").alias("matched_on"), F.col("score").alias("best"))

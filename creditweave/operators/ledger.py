@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import status_for_open
@@ -31,6 +31,13 @@ def replace_own(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
+def replace_allocations(old_results: DataFrame, old: DataFrame, new_results: DataFrame, new: DataFrame) -> DataFrame:
+    """Allocations beside replace_own: a replaced result takes its allocations with it, a reviewed one keeps its own."""
+    again = new_results.select("statement_ref").distinct()
+    gone = old_results.where("reviewed_at is null").join(again, "statement_ref", "left_semi").select("statement_ref")
+    return old.join(gone, "statement_ref", "left_anti").unionByName(new)
+
+
 def post_cash(payments: DataFrame, invoices: DataFrame, results: DataFrame, allocations: DataFrame, applied: tuple[str, ...] = ("auto_applied",)) -> tuple[DataFrame, DataFrame]:
     """(payments, invoices) after posting: only these decisions, only on payments still unmatched.
 
@@ -46,9 +53,24 @@ def post_cash(payments: DataFrame, invoices: DataFrame, results: DataFrame, allo
     return paid, after
 
 
-def audit(entity: str, rows: DataFrame, key: str, action, actor: str = "engine", payload: list[str] | None = None) -> DataFrame:
+def audit(entity: str, rows: DataFrame, key: str, action: Column, actor: str | Column = "engine", payload: list[str] | None = None) -> DataFrame:
     """Append-only audit rows: entity_type, entity_id, action, actor, payload_after."""
-    return rows.select(F.lit(entity).alias("entity_type"), F.col(key).cast("string").alias("entity_id"), action.alias("action"), F.lit(actor).alias("actor"), F.to_json(F.struct(*(payload or [key]))).alias("payload_after"))
+    return rows.select(F.lit(entity).alias("entity_type"), F.col(key).cast("string").alias("entity_id"), action.alias("action"), (F.lit(actor) if isinstance(actor, str) else actor).alias("actor"), F.to_json(F.struct(*(payload or [key]))).alias("payload_after"))
+
+
+def posting_audit(payments: DataFrame, results: DataFrame, allocations: DataFrame, applied: tuple[str, ...] = ("auto_applied",)) -> DataFrame:
+    """A `cash_posted` row for each result that post_cash posts: its invoices, the cash applied and the deductions booked."""
+    live = results.where(F.col("decision").isin(*applied)).join(payments.where("status = 'unmatched'").select("statement_ref"), "statement_ref", "left_semi")
+    sums = allocations.groupBy("statement_ref").agg(F.array_sort(F.collect_list("invoice_id")).alias("invoices"), F.sum("allocated_amount_paise").cast("bigint").alias("cash_applied_paise"), F.sum("deduction_amount_paise").cast("bigint").alias("deductions_booked_paise"))
+    return audit("match_result", live.join(sums, "statement_ref"), "statement_ref", F.lit("cash_posted"), f"system:{ENGINE_VERSION}", ["statement_ref", "confidence", "strategy", "invoices", "cash_applied_paise", "deductions_booked_paise"])
+
+
+def review_audit(results: DataFrame, actions: DataFrame, errors: DataFrame) -> DataFrame:
+    """A `review_<action>` row by its reviewer for each action that apply_reviews accepted; results are those after it."""
+    done = actions.join(errors.select("statement_ref", "action").distinct(), ["statement_ref", "action"], "left_anti").select("statement_ref", "action", "reviewer")
+    rows = results.join(done.dropDuplicates(["statement_ref"]), "statement_ref")
+    out = audit("match_result", rows, "statement_ref", F.concat(F.lit("review_"), F.col("action")), payload=["statement_ref", "decision", "confidence", "engine_version"], actor=F.concat(F.lit("user:"), F.col("reviewer")))
+    return out
 
 
 def reassignment_errors(lines: DataFrame, invoices: DataFrame, payments: DataFrame) -> DataFrame:

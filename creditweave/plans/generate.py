@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
+from ..operators import ledger
+from ..schemas import write_snapshot
 from ..sources import star
 
 CITIES = ["PUNE", "MUMBAI", "DELHI", "CHENNAI", "KOLKATA", "HYDERABAD", "JAIPUR", "SURAT", "INDORE", "NAGPUR"]
@@ -25,6 +28,41 @@ class Generator:
             raise ValueError("there must be customers, and an invoice for each")
 
 
+def apportion(weights: dict[str, int], total: int) -> dict[str, int]:
+    """Counts in proportion to weights (percent) that sum to total: floors, then one more for the largest remainders, of equal
+    ones the name that sorts last."""
+    left = {k: total * w % 100 for k, w in weights.items()}
+    out = {k: total * w // 100 for k, w in weights.items()}
+    for k in sorted(left, key=lambda k: (left[k], k), reverse=True)[: max(0, total - sum(out.values()))]:
+        out[k] += 1
+    return out
+
+
+def scenario_counts(truth: DataFrame) -> DataFrame:
+    """(scenario, n) of every scenario, also of those that no payment has."""
+    names = truth.sparkSession.createDataFrame([(s,) for s, _ in star.SCENARIOS], "scenario string")
+    return names.join(truth.groupBy("scenario").agg(F.count("*").alias("n")), "scenario", "left").select("scenario", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def off_book(payments: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Payments whose payer is no name and no alias of the book."""
+    known = names.select(F.col("normalized_name").alias("payer_name_normalized")).unionByName(aliases.select(F.col("normalized_alias").alias("payer_name_normalized")))
+    return payments.join(known, "payer_name_normalized", "left_anti")
+
+
+def write(spark: SparkSession, g: Generator, folder: str, version: int, force: bool = False) -> DataFrame:
+    """Writes a data set's tables and its key as snapshots, and gives its audit row (`dataset_generated`, with the settings'
+    digest). Refuses a folder whose tables have rows in the version before, unless forced."""
+    before = f"{folder}/invoices/v={version - 1}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(before)
+    if not force and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) and not spark.read.parquet(before).limit(1).isEmpty():
+        raise ValueError(f"{folder} has a data set already")
+    for name, df in tables(spark, g).items():
+        write_snapshot(df, folder, name, version)
+    row = spark.createDataFrame([(config.digest(g), g.seed, g.customers, g.invoices)], "digest string, seed int, customers int, invoices int")
+    return ledger.audit("dataset", row, "digest", F.lit("dataset_generated"), "system:generator", ["digest", "seed", "customers", "invoices"])
+
+
 def tables(spark: SparkSession, g: Generator) -> dict[str, DataFrame]:
     """customers, aliases, invoices, payments, remittances and truth.
 

@@ -19,14 +19,19 @@ def by_strategy(results: DataFrame) -> DataFrame:
     return results.groupBy("strategy").agg(F.count("*").alias("n"))
 
 
-def dashboard(customers: DataFrame, invoices: DataFrame, payments: DataFrame, results: DataFrame) -> DataFrame:
-    """One row; rates are of what was decided. Receivables count what is left of open items, and sum by status alone."""
+def dashboard(customers: DataFrame, invoices: DataFrame, payments: DataFrame, results: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """One row; rates are of what was decided. auto_precision is measured where an answer key was joined (judged, as
+    evaluate.compare gives it) and something was applied, else null. Receivables count what is left of open items, and sum by status alone."""
     credits = payments.agg(F.count("*").alias("credits"), F.coalesce(F.sum("amount_paise"), F.lit(0)).cast("bigint").alias("credit_paise"))
     owed = F.col("status").isin("open", "partially_paid")
     book = invoices.agg(F.count_if(is_open()).alias("open_invoices"), F.coalesce(F.sum(F.when(owed, F.col("open_amount_paise"))), F.lit(0)).cast("bigint").alias("receivable_paise"))
     people = customers.agg(F.count("*").alias("customers"))
     done = results.agg(F.count("*").alias("decided"), F.count_if(F.col("decision") == "auto_applied").alias("auto_applied"), F.count_if(F.col("decision") == "needs_review").alias("needs_review"), F.count_if(F.col("decision") == "unapplied").alias("unapplied"), F.count_if(F.col("reviewed_at").isNotNull()).alias("reviewed"))
-    out = credits.crossJoin(book).crossJoin(people).crossJoin(done)  # four single rows
+    out = credits.crossJoin(book).crossJoin(people).crossJoin(done)  # single rows
+    if judged is None:
+        out = out.withColumn("auto_precision", F.lit(None).cast("double"))
+    else:
+        out = out.crossJoin(judged.agg((F.count_if((F.col("decision") == "auto_applied") & F.col("is_correct")) / F.nullif(F.count_if(F.col("decision") == "auto_applied"), F.lit(0))).alias("auto_precision")))
     return out.withColumns({"auto_rate": rate(F.col("auto_applied"), F.col("decided")), "review_rate": rate(F.col("needs_review"), F.col("decided")), "unapplied_rate": rate(F.col("unapplied"), F.col("decided"))})
 
 

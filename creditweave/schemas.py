@@ -54,3 +54,17 @@ def write_snapshot(df: DataFrame, folder: str, name: str, version: int) -> str:
     path = f"{folder}/{name}/v={version}"
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+#: The tables of a data set, children first: the order in which they are emptied. The audit log is no part of it.
+RESET_ORDER = ["match_allocations", "match_results", "remittances", "bank_transactions", "invoices", "customer_aliases", "customers"]
+
+
+def is_populated(tables: dict[str, DataFrame]) -> bool:
+    """Whether any table of a data set has a row."""
+    return any(name in tables and not tables[name].limit(1).isEmpty() for name in RESET_ORDER)
+
+
+def reset(spark: SparkSession, folder: str, version: int) -> dict[str, str]:
+    """Writes an empty next version of every table of a data set; the audit log keeps its own."""
+    return {name: write_snapshot(empty(spark, name), folder, name, version) for name in RESET_ORDER}

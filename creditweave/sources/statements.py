@@ -18,7 +18,7 @@ HEADERS = {
     "bank_account": ["bank_account", "account", "account_number", "our_account"],
 }
 REQUIRED = ["statement_ref", "value_date", "amount", "payer_name"]
-MAX_BYTES = 16 << 20
+MAX_BYTES, ERRORS_KEPT = 16 << 20, 25
 #: Where Windows-1252 differs from Latin-1 (five of its bytes have no character and stay as they are).
 _WINDOWS = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("windows-1252", "ignore"))}
 
@@ -58,13 +58,15 @@ def check_statement(raw: DataFrame) -> DataFrame:
 
 
 def load_statement(raw: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new payments, bad rows, one-row summary). References that exist already, or came earlier in the file, are skipped."""
+    """(new payments, bad rows, one-row summary with the first ERRORS_KEPT errors of the file). References that exist already, or came earlier in the file, are skipped."""
     checked = check_statement(raw)
     good, bad = checked.where("error is null").drop("error"), checked.where("error is not null").drop("row")
     rn = F.row_number().over(Window.partitionBy("statement_ref").orderBy("row"))
     new = good.withColumn("_rn", rn).where("_rn = 1").drop("_rn", "row").join(existing.select("statement_ref"), "statement_ref", "left_anti")
-    counts = checked.agg(F.count("*").alias("rows_read"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.slice(F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.concat(F.coalesce("statement_ref", F.lit("?")), F.lit(": "), F.col("error"))))), 1, 25).alias("errors"))
-    summary = counts.crossJoin(new.agg(F.count("*").alias("created"))).withColumn("skipped", F.col("rows_read") - F.col("failed") - F.col("created"))
+    counts = checked.agg(F.count("*").alias("rows_read"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    said = checked.where("error is not null").orderBy("row").limit(ERRORS_KEPT).select("row", F.concat(F.coalesce("statement_ref", F.lit("?")), F.lit(": "), F.col("error")).alias("e"))
+    errors = said.agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "e"))), lambda x: x["e"]).alias("errors"))
+    summary = counts.crossJoin(errors).crossJoin(new.agg(F.count("*").alias("created"))).withColumn("skipped", F.col("rows_read") - F.col("failed") - F.col("created"))
     return new, bad, summary
 
 
@@ -72,6 +74,12 @@ def read_statement(spark: SparkSession, path: str, encoding: str = "UTF-8") -> D
     return spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", encoding=encoding, multiLine=True)
 
 
+def check_upload(spark: SparkSession, path: str) -> None:
+    """Raises where a file that is to be loaded is larger than 16 MB, or empty."""
+    for r in spark.read.format("binaryFile").load(path).select("path", "length").where((F.col("length") > MAX_BYTES) | (F.col("length") == 0)).limit(1).collect():
+        raise ValueError(f"{r['path']} is {'empty' if r['length'] == 0 else 'larger than 16 MB'}")
+
+
 def read_advice(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a folder as unlinked advice; empty and oversized ones have an error."""
     files = spark.read.format("binaryFile").load(path)
