@@ -41,10 +41,6 @@ SHORT = {"proprietary": ["All rights reserved."]} | {
 UNKNOWN, FAMILIES = "unknown", sorted(TEMPLATES)
 DIMENSIONS = 1 << 15
 _WORD = re.compile(r"[^\W_]+")
-# Words of templates that ordinary text has too.
-_PLAIN_WORDS = set("the and this that with without any all for from under terms work file free you can may not are use part person provided following person either each its has been have".split())
-#: A paragraph with fewer than two of these can't share enough words with a template (`cc` stands for itself and `by`).
-_CUES = sorted({w for ts in TEMPLATES.values() for t in ts for w in _WORD.findall(t.lower()) if len(w) > 2} - _PLAIN_WORDS)
 
 
 def tokens(paragraph: str) -> list[str]:
@@ -97,6 +93,21 @@ _HAS = np.zeros((len(_PLACE) + 1, len(_NOTICES)), np.int32)  # whether a notice
 for _j, (_, _t, _) in enumerate(_NOTICES):
     _HAS[[_PLACE[w] for w in _t], _j] = 1
 _WIDTH = np.array([len(t) * room for _, t, room in _NOTICES])
+_LONG = np.array([room > 1 for _, _, room in _NOTICES])
+LINES_AT_ONCE = 4096
+
+
+def worth_judging(places: list[np.ndarray], confirmed: float) -> list[bool]:
+    """For lines given as the places of their words: whether they have `confirmed` of the words of any template, in any order.
+    Lines that don't cannot be confirmed, so leaving them unjudged loses nothing."""
+    least = np.ceil(confirmed * _WIDTH[_LONG] / 2 - 1e-9)
+    out: list[bool] = []
+    for a in range(0, len(places), LINES_AT_ONCE):
+        some = places[a : a + LINES_AT_ONCE]
+        line = np.repeat(np.arange(len(some)), [len(p) for p in some])
+        counts = np.bincount(line * len(_HAS) + np.concatenate(some), minlength=len(some) * len(_HAS)).reshape(len(some), -1)
+        out += (counts @ _HAS[:, _LONG] >= least).any(1).tolist()
+    return out
 
 
 def notices(words: list[str], confirmed: float) -> list[tuple[int, int, str, float]]:
@@ -150,14 +161,17 @@ class Classifier:
         return e / e.sum()
 
 
-def train(docs: DataFrame, sample: int = 500, variations: int = 60, rounds: int = 120, rate: float = 0.5, seed: int = 0) -> Classifier:
-    """Trains on `variations` of each template (words dropped, other words around them) and, as unknown, on the paragraphs of
-    a hash sample of about `sample` documents that hold no template. Without documents the unknown class has shuffled
-    template words only."""
+def train(docs: DataFrame, sample: int = 500, sample_lines: int = 10_000, line_chars: int = 2000, variations: int = 60, rounds: int = 120, rate: float = 0.5, seed: int = 0) -> Classifier:
+    """Trains on `variations` of each template (words dropped, other words around them) and, as unknown, on lines without a notice
+    from a hash sample of about `sample` documents: at most sample_lines, chosen by a hash, of up to line_chars characters each
+    (bounds of training alone: scans judge all lines, whole). The temperature is fitted on held-out variations, held-out
+    lines, and the sample's own lines that hold a notice. Without documents the unknown class has shuffled template words only."""
     rng = np.random.default_rng(seed)
-    lines = bounded(docs.select("doc_id", "text"), "doc_id", sample).select("doc_id", F.posexplode(F.split("text", "\n"))).where("length(col) between 1 and 2000")
-    other = [tokens(r["col"]) for r in lines.orderBy("doc_id", "pos").select("col").limit(20 * sample).collect()]
-    other = [w for w in other if w and not notices(w, 0.6)] or [["text"]]
+    lines = bounded(docs.select("doc_id", "text"), "doc_id", sample).select("doc_id", F.posexplode(F.split("text", "\n"))).where(F.length("col").between(1, line_chars))
+    drawn = [tokens(r["col"]) for r in lines.orderBy(F.xxhash64("doc_id", "pos", "col"), "doc_id", "pos", "col").select("col").limit(sample_lines).collect()]
+    told = [(w, notices(w, 0.6)) for w in drawn if w]
+    other = [w for w, n in told if not n] or [["text"]]
+    real = [(w, n[0][2]) for w, n in told if len(n) == 1 and n[0][3] >= 0.75]
     rows, y = [], []
     for k, family in enumerate(FAMILIES):
         for template in [*TEMPLATES[family], *SHORT.get(family, [])]:
@@ -173,11 +187,14 @@ def train(docs: DataFrame, sample: int = 500, variations: int = 60, rounds: int
     for i in rng.permutation(len(other))[: len(rows)]:
         rows.append(other[i])
         y.append(len(FAMILIES))
+    for w, family in real:  # for calibration only
+        rows.append(w)
+        y.append(FAMILIES.index(family))
     x = [features(w) for w in rows]
     size, own = np.array([max(1, len(f)) for f in x]), np.array(y)
     row, col = np.repeat(np.arange(len(x)), [len(f) for f in x]), np.concatenate(x)
     value = 1.0 / size[row] ** 0.5
-    fit = np.arange(len(x)) % 5 != 0
+    fit = (np.arange(len(x)) % 5 != 0) & (np.arange(len(x)) < len(x) - len(real))
     classes = len(FAMILIES) + 1
     used, place = np.unique(col, return_inverse=True)
     w, b = np.zeros((len(used), classes)), np.zeros(classes)
@@ -213,19 +230,18 @@ def scan_licenses(docs: DataFrame, model: Classifier, least: float = 0.5, confir
     family, probability, similarity) and n_paragraphs (non-blank lines).
 
     A hit's calibrated probability is `least` or more and its similarity to a template `confirmed` or more. Null and empty
-    texts have no paragraphs. Every line is judged, whole; those without a word of any template need no model. Lines up to
+    texts have no paragraphs. Every line that has enough words of a template to be confirmed is judged, whole. Lines up to
     the next blank one are also joined, and each part of them that has a notice is judged by itself, so notices may be wrapped or
     stand in a longer line; such a hit's paragraph is the line that it starts in.
     Repeated rows and null ids are kept as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**15 x families
-    cue = re.compile(r"\b(?:" + "|".join([*_CUES, "cc"]) + r")\b")
 
     def run(batches):
         m = shared.value
         for batch in batches:
             hits, counts = [], []
             for text in batch.column(1).to_pylist():
-                found, n, joined, lines = {}, 0, [], []
+                found, n, own = {}, 0, []
 
                 def judge(words, paragraph, family, similarity):
                     p = m.probabilities(words)
@@ -236,20 +252,20 @@ def scan_licenses(docs: DataFrame, model: Classifier, least: float = 0.5, confir
                             found[paragraph, FAMILIES[k]] = (float(p[k]), s)  # noqa: B023
 
                 for line in [*(text or "").split("\n"), ""]:
-                    if not line.strip():
-                        for a, b, family, s in notices(joined, confirmed) if joined else ():
-                            judge(joined[a:b], lines[a], family, s)
-                        joined, lines = [], []
+                    if line.strip():
+                        own.append(tokens(line))
                         continue
-                    words = tokens(line)
-                    cues = set(cue.findall(line.lower()))
-                    if len(cues) > 1 or "cc" in cues:
-                        judge(words, n, None, None)
-                    joined += words
-                    lines += [n] * len(words)
-                    n += 1
-                own = [{"paragraph": i, "family": f, "probability": p, "similarity": s} for (i, f), (p, s) in sorted(found.items())]
-                hits.append(own)
+                    if own:
+                        places = [np.array([_PLACE.get(w, 0) for w in words], np.int64) for words in own]
+                        for i, yes in enumerate(worth_judging(places, confirmed)):
+                            if yes:
+                                judge(own[i], n + i, None, None)
+                        joined = [w for words in own for w in words]
+                        lines = np.repeat(np.arange(len(own)), [len(words) for words in own])
+                        for a, b, family, s in notices(joined, confirmed) if joined else ():
+                            judge(joined[a:b], n + int(lines[a]), family, s)
+                        n, own = n + len(own), []
+                hits.append([{"paragraph": i, "family": f, "probability": p, "similarity": s} for (i, f), (p, s) in sorted(found.items())])
                 counts.append(n)
             kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, kind), pa.array(counts, pa.int32())], names=["doc_id", "hits", "n_paragraphs"])

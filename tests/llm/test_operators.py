@@ -6,12 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from creditweave.llm import components, fingerprints, jaccard, langid, licenses, mixing, mtree, packing, quality, queries, substrings, warc
+from creditweave.llm import common, components, fingerprints, jaccard, langid, licenses, mixing, mtree, packing, quality, queries, substrings, warc
 from creditweave.llm.common import table
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -79,6 +81,59 @@ def test_fingerprints_add_and_subtract(spark):
         assert r["sum"] and r["rest"]
 
 
+def brute_narrow(text):
+    """The 128 signed lanes of a text, from two 64-bit hashes of each piece of up to 8 words of a line."""
+    out = np.zeros(128)
+    for line in text.split("\n"):
+        words = [w for w in re.split(r"[ \t\x0b\f\r]+", line)]
+        parts = re.findall(r"[^ \t\n\x0b\f\r]+(?:[ \t\x0b\f\r]+[^ \t\n\x0b\f\r]+){0,7}", line) if words else []
+        for part in parts:
+            for seed in (0, 1):
+                h = xxhash.xxh64_intdigest(part.encode(), xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42))
+                out[64 * seed : 64 * seed + 64] += [1 if h >> j & 1 else -1 for j in range(64)]
+    return out
+
+
+def brute_likeness(a, b):
+    if Counter(filter(None, a.split("\n"))) == Counter(filter(None, b.split("\n"))):
+        return 1.0
+    x, y = brute_narrow(a), brute_narrow(b)
+    size = (x**2).sum() + (y**2).sum()
+    return 0.0 if size == 0 else max(0.0, 1 - ((x - y) ** 2).sum() / size)
+
+
+def test_fingerprint_likeness_matches_brute_force(spark):
+    want = sorted(((r["doc_id"], r["text"] or "") for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in queries.op1_fingerprints(spark, SMALL).collect()}
+    for i, (k, t) in enumerate(want):
+        after = want[(i + 1) % len(want)][1]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert abs(got[k]["near_edited"] - brute_likeness(t, edited)) < 1e-9 and abs(got[k]["near_next"] - brute_likeness(t, after)) < 1e-9
+
+
+@pytest.mark.parametrize("ids", ["spread", "extreme", "repeated"])
+def test_next_row_over_many_buckets(spark, ids):
+    """Buckets of five rows; ids with gaps, at both ends of 64 bits, null, and repeated by thousands."""
+    rng = random.Random(2)
+    of = {"spread": lambda i: rng.randrange(10**12) * rng.choice([1, 1000]), "extreme": lambda i: rng.choice([2**63 - 1 - i, -(2**63) + 1 + i, i]), "repeated": lambda i: rng.choice([7, 7, 8, 9, 10, None])}[ids]
+    rows = [(of(i), i) for i in range(4000)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    got = sorted((low(r["k"]), r["v"], r["next_v"]) for r in fingerprints.with_next(df, "k", "v", ["v"], rows_a_bucket=5).collect())
+    order = sorted(((low(k), v) for k, v in rows), reverse=True)
+    assert got == sorted((k, v, order[(i + 1) % len(order)][1]) for i, (k, v) in enumerate(order))
+
+
+def test_fingerprint_lanes_hold_any_number_of_pieces(spark):
+    """Sums follow the lines; lanes as full as 2**31 - 1 pieces make them don't touch one another."""
+    df = spark.range(1).select(F.repeat(F.lit("a\n"), 50_000).alias("text"), F.lit("a").alias("one"))
+    r = fingerprints.add_fingerprint(fingerprints.add_fingerprint(df, "text", "f"), "one", "g").first()
+    assert r["f"]["pieces"] == 50_000 and r["f"]["narrow"] == [50_000 * x for x in r["g"]["narrow"]] and r["f"]["wide"] == [50_000 * x % 2**32 for x in r["g"]["wide"]]
+    most = 2**31 - 1
+    full = spark.createDataFrame([((list(range(32)), [most << 32 | (most - 5)] * 64, most), (list(range(1, 33)), [(most - 5) << 32 | most] * 64, most))], f"a {fingerprints.FINGERPRINT}, b {fingerprints.FINGERPRINT}")
+    near = fingerprints.add_likeness(full, "a", "b", "near").first()["near"]
+    assert abs(near - (1 - 128 * 10.0**2 / (128 * (most**2 + (most - 10.0) ** 2)))) < 1e-12
+
+
 def test_fingerprints_of_odd_rows(spark, docs, rows):
     got = fingerprints.fingerprint_documents(docs).collect()
     assert len(got) == len(rows)
@@ -186,6 +241,40 @@ def test_top_k_of_odd_rows(spark):
         got = mtree.top_k(df, shard_rows=shard, block_rows=1).select("query_id", "rank", "vec_id", "score")
         assert sorted(tuple(r) for r in got.collect()) == want
     assert mtree.top_k(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mtree.top_k(spark.createDataFrame([(0, [1e300, 1.0])], "vec_id long, embedding array<double>"))
+
+
+def test_top_k_of_many_shards_and_hot_cells(spark):
+    """A third of all rows are one vector, some are far out; shards and blocks are small, so cells are cut and queries split."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(0, 3, (12, 6))
+    rows = [(i, (centers[i % 12] + rng.normal(0, 0.2, 6)).tolist()) for i in range(900)] + [(1000 + i, centers[0].tolist()) for i in range(450)] + [(2000 + i, (rng.normal(0, 1e5, 6)).tolist()) for i in range(5)]
+    rows += [(3000 + i, [float(i), 2.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_top([(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows], 10, 10)
+    assert sorted(tuple(r) for r in mtree.top_k(df, query_mod=10, shard_rows=50, block_rows=20).collect()) == want
+
+
+def test_top_k_asks_few_shards(spark):
+    """On clustered rows the rows that a second search returns grow with the queries, not with queries times shards."""
+    rng = np.random.default_rng(7)
+    centers = rng.normal(0, 30, (40, 8))
+    far = {}
+    for n in (2000, 8000):
+        rows = [(i, (centers[i % 40] + rng.normal(0, 0.1, 8)).tolist()) for i in range(n)]
+        seen = {}
+
+        def spy(df, name, seen=seen):
+            out = common.durable(df, name)
+            seen.setdefault(name, out.count())
+            return out
+
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mtree, "durable", spy)
+            mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_mod=10, shard_rows=100).count()
+        far[n] = seen["far"]
+    assert far[8000] <= 5 * far[2000], far
 
 
 def test_top_k_skips_distances():
@@ -233,6 +322,47 @@ def test_licenses_short_wrapped_and_inside_lines(spark):
     assert all(h["paragraph"] == 1 for i, (_, t) in enumerate(rows) if t.startswith("Intro.") for h in got[i]["hits"])
 
 
+def brute_licenses(text, model, least=0.5, confirmed=0.75):
+    """Every line judged, and every part of joined lines that has a notice, with nothing left out beforehand."""
+    found, lines = set(), [x for x in (text or "").split("\n")]
+    numbered, n = [], 0
+    for line in lines:
+        numbered.append((n, licenses.tokens(line)) if line.strip() else None)
+        n += bool(line.strip())
+
+    def judge(words, n, family):
+        p = model.probabilities(words)
+        k = int(p.argmax())
+        if k < len(licenses.FAMILIES) and p[k] >= least and family in (None, licenses.FAMILIES[k]) and (family or licenses.confirmation(words, licenses.FAMILIES[k]) >= confirmed):
+            found.add((n, licenses.FAMILIES[k]))
+
+    block = []
+    for x in [*numbered, None]:
+        if x:
+            judge(x[1], x[0], None)
+            block.append(x)
+        elif block:
+            joined = [(i, w) for i, ws in block for w in ws]
+            for a, b, family, _ in licenses.notices([w for _, w in joined], confirmed):
+                judge([w for _, w in joined[a:b]], joined[a][0], family)
+            block = []
+    return found
+
+
+def test_licenses_match_brute_force(spark, docs, rows):
+    rng = random.Random(4)
+    extra = ["licensed under by 4 0", "Licensed under by-sa 4.0", "licensed under the license", "MIT", "version 2", None, "", "words " * 30_000 + "Released under the MIT License."]
+    for ts in licenses.TEMPLATES.values():
+        for t in ts:
+            w = t.split()
+            extra += [" ".join(x for x in w if rng.random() > 0.2) for _ in range(4)] + [" ".join(rng.sample(w, len(w)))]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None if i % 3 == 0 else 50_000 + i // 2, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    model = licenses.train(docs)
+    got = Counter((low(r["doc_id"]), tuple(sorted((h["paragraph"], h["family"]) for h in r["hits"]))) for r in licenses.scan_licenses(df, model).collect())
+    assert got == Counter((low(r["doc_id"]), tuple(sorted(brute_licenses(r["text"], model)))) for r in df.collect())
+    assert any(f == "cc-by" for (_, hits), _ in got.items() for _, f in hits)
+
+
 def test_license_query(spark):
     got = queries.op5_licenses(spark, SMALL).collect()
     text = {r["doc_id"]: r["text"] or "" for r in table(spark, SMALL, "documents").collect()}
@@ -262,6 +392,13 @@ def test_warc_round_trip(spark):
     folder, frames = warc.write_archives(df)
     assert Counter(tuple(r) for r in warc.read_archives(folder, frames).select(cols).collect()) == brute_warc([(i, h) for i, _, h in rows])
     assert warc.read_archives(*warc.write_archives(df.limit(0))).count() == 0
+    for (name,) in frames.select("bundle").distinct().collect():  # records are found by their own identifiers
+        reader = warc.Reader(folder, name)
+        heads = {k: warc.parse(reader.get(k))[0] for k in reader.map}
+        assert all(h["warc-record-id"] == k for k, h in heads.items())
+    many = df.crossJoin(spark.range(300).select(F.col("id").alias("x"))).withColumn("page_id", F.col("page_id") * 1000 + F.col("x")).withColumn("html", F.repeat(F.concat("html", "x"), 5)).repartition(3)
+    folder, frames = warc.write_archives(many)
+    assert warc.read_archives(folder, frames).rdd.getNumPartitions() == min(warc.MOST_TASKS, -(-frames.count() // warc.FRAMES_A_TASK))
     real = table(spark, SMALL, "pages").select("page_id", "html").collect()
     assert Counter(tuple(r) for r in queries.op6_warc(spark, SMALL).select(cols).collect()) == brute_warc([tuple(r) for r in real])
 
@@ -276,6 +413,7 @@ def test_warc_bundle_is_plain_zstandard_and_seekable(tmp_path):
     assert len(b.close()) > 3
     reader = warc.Reader(str(tmp_path), "x.warc.zst")
     assert all(reader.get(k) == r for k, r in records.items())
+    assert warc.page_of(warc.parse(records["k3"])[0]["warc-record-id"]) == 3
     with open(tmp_path / "x.warc.zst", "rb") as f:
         assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read() == b"".join(records.values())
 
@@ -283,27 +421,42 @@ def test_warc_bundle_is_plain_zstandard_and_seekable(tmp_path):
 # --- mixing
 
 
-def test_schedule_deviates_by_less_than_a_block():
-    for weights in ({"a": 1.0, "b": 2.0, "c": 7.0}, {str(i): 1.0 + i % 5 for i in range(50)}, {"only": 3.0}):
-        counts = mixing.quantise(weights, 512)
-        total, done = sum(counts.values()), Counter()
-        for s, j, slot in mixing.schedule(counts):
-            assert j == done[s]
-            done[s] += 1
-            assert all(abs(done[x] - (slot + 1) * n / total) < 1 for x, n in counts.items())
-        assert done == Counter(counts)
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 2.7, "c": 3.14, "d": 0.0003}, {str(i): 1.0 + i % 5 for i in range(50)}, {"only": 3.0}, {"hot": 1e6, "cold": 1e-3}])
+def test_schedule_deviates_by_less_than_a_block(weights):
+    """Against the weights as they are, exactly, at every slot of a long run."""
+    steps = 100_000
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    blocks = {s: int(steps * w) + 1 for s, w in share.items()}
+    got = mixing.schedule(weights, blocks)
+    assert {s: len(x) for s, x in got.items()} == blocks and len({t for x in got.values() for t in x}) == sum(blocks.values())
+    for s, w in share.items():
+        for j, t in enumerate(got[s]):  # j blocks before slot t, j + 1 after it
+            assert (t + 1) * w > j and t * w < j + 1
+    assert mixing.schedule({}, {}) == {} and mixing.schedule({"a": 1.0, "b": 1.0}, {"a": 2, "b": 0}) == {"a": [0, 2], "b": []}
+    with pytest.raises(ValueError):
+        mixing.schedule({"a": 0.0}, {"a": 1})
+
+
+def test_schedule_over_a_million_slots():
+    weights = {"a": 1.0, "b": 2.7, "c": 3.14, "d": 0.0003}
+    total = sum(weights.values())
+    for s, slots in mixing.schedule(weights, {s: int(1_000_000 * w / total) for s, w in weights.items()}).items():
+        at, done = np.array(slots), np.arange(len(slots))
+        assert np.all(done - (at + 1) * weights[s] / total < 1e-6) and np.all(done + 1 - at * weights[s] / total > -1e-6)
 
 
 def test_mixing_keeps_rows_and_weights(spark, docs, rows):
     weights = mixing.tempered(docs)
-    got = mixing.mix(docs, weights, block_chars=2000, quantum=128, rows_a_bucket=7).collect()
+    got = mixing.mix(docs, weights, block_chars=2000, rows_a_bucket=7).collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
-    counts, at = mixing.quantise(weights, 128), defaultdict(list)
-    slots = {(s, j): slot for s, j, slot in mixing.schedule(counts)}
-    total = sum(counts.values())
+    chars = Counter()
+    for r in got:
+        chars[r["source"] or ""] += len(r["text"] or "")
+    slots, at = mixing.schedule(weights, {s: n // 2000 + 1 for s, n in chars.items()}), defaultdict(list)
     for r in got:
         s = r["source"] or ""
-        assert r["slot"] == r["block"] // counts[s] * total + slots[(s, r["block"] % counts[s])]
+        assert r["slot"] == slots[s][r["block"]] and r["block_chars"] == 2000
         at[s].append((r["block"] * 2000 + r["block_offset"], len(r["text"] or "")))
     for spans in at.values():  # a source's documents follow one another without gaps
         spans.sort()
@@ -313,7 +466,8 @@ def test_mixing_keeps_rows_and_weights(spark, docs, rows):
         assert sum(n for _, n in spans) == max(a + n for a, n in spans)
     assert mixing.mix(empty(spark), {}).count() == 0
     with pytest.raises(ValueError):
-        mixing.quantise({"a": 0.0}, 10)
+        mixing.mix(docs, {"a": 1.0})
+    assert mixing.block_size({"a": 10}) == mixing.LEAST_CHARS and mixing.block_size({"a": 10**14}) == -(-(10**14) // mixing.MOST_BLOCKS)
 
 
 # --- quality
@@ -388,7 +542,7 @@ def check_pieces(got, rows, length=1024):
 
 
 def test_packing(spark, docs, rows):
-    got = packing.pack(docs, queries.tokenizer(), docs_a_shard=100).collect()
+    got = packing.pack(docs, queries.tokenizer()).collect()
     assert check_pieces(got, rows) > 0.9
     assert packing.pack(empty(spark), queries.tokenizer()).count() == 0
 
@@ -410,9 +564,50 @@ def test_encoder_equals_the_tokenizer():
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-def test_bm25_follows_the_best_neighbour():
-    index = packing.Bm25([np.array(x) for x in ([1, 2, 3, 9], [7, 8, 9], [1, 2, 3, 4, 9], [7, 8, 5, 9])])
-    assert packing.chain(index) in ([0, 2, 1, 3], [0, 2, 3, 1])
+def brute_bm25(docs, seed, df, total, mean, k1=1.2, b=0.75):
+    out = []
+    for d in docs:
+        tf, z = Counter(d), 0.0
+        for t in set(docs[seed]) & set(d):
+            z += np.log1p((total - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * (k1 + 1) / (tf[t] + k1 * (1 - b + b * len(d) / mean))
+        out.append(z)
+    return out
+
+
+def test_bm25_and_windows_match_brute_force():
+    """Scores with all the seed's terms; windows filled greedily by the best unused neighbours."""
+    rng = random.Random(3)
+    docs = [[min(int(rng.expovariate(0.05)), 300) for _ in range(rng.choice([1, 5, 40, 90, 300]))] for _ in range(80)]
+    df, total, mean = np.bincount([t for d in docs for t in set(d)], minlength=301) + 3, 500, 55.0
+    index = packing.Bm25([np.array(d, "<u2") for d in docs], df, total, mean)
+    scores = [brute_bm25(docs, i, df, total, mean) for i in range(len(docs))]
+    for i in range(len(docs)):
+        assert np.allclose(index.scores(i), scores[i])
+    order = packing.fill_order(index, [len(d) for d in docs], 0, 64)
+    assert sorted(order) == list(range(len(docs)))
+    at, unused, seed = 0, set(range(len(docs))), None
+    for d in order:
+        if at % 64 == 0:
+            assert d == min(unused)
+            seed = d
+        else:
+            best = max((round(scores[seed][x], 9) for x in unused), default=0)
+            assert round(scores[seed][d], 9) == best if best > 0 else d == min(unused)
+        unused.remove(d)
+        if len(docs[d]) > 64 - at % 64:
+            seed = d
+        at += len(docs[d])
+
+
+def test_packing_puts_neighbours_together(spark):
+    """Twins that share rare words, far apart in a table of many documents, end in one shard and mostly side by side."""
+    rng = random.Random(8)
+    words = "the of and to in is that for it as was with be by on not he his but at are this have from which one had they you were".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)) + f" {100 + i % 1500 % 39} {500 + i % 1500 // 39}" * 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted(packing.pack(df, queries.tokenizer()).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    place = {r["doc_id"]: i for i, r in enumerate(got)}
+    assert np.mean([abs(place[i] - place[i + 1500]) <= 20 for i in range(1500)]) > 0.3
 
 
 # --- Jaccard
