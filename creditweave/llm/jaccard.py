@@ -138,15 +138,16 @@ def _common(base: DataFrame, size: int, sample: int = 5000, share: float = 0.002
     return np.sort(rows["u"].to_numpy(np.int64).view(np.uint64))
 
 
-def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, name_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs.
 
     Words are runs other than white space of ASCII, A-Z lower-cased; a set has the distinct `size`-word shingles, or the
     whole sequence as one where there are fewer words. Two documents link when den * |both| >= num * |either|; a component
     has the smallest doc_id reachable. Documents without words (null or empty texts too) are linked with nothing: their
     component is their own. Rows that repeat a doc_id are judged by their own texts. A null id is the smallest and stays null.
-    No rows give none. Shingles are told apart by 64-bit hashes, sets by 128 bits. Raises if components do not settle in the
-    60 rounds of connected_components."""
+    No rows give none. Shingles are told apart by 64-bit hashes, sets by 128 bits. name_bits are the bits
+    of the first hash (fewer only make clashes, for tests). Raises if components do not settle in the 60 rounds of
+    connected_components."""
     base = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("_id"), F.col("text").alias("_text"))
     common = base.sparkSession.sparkContext.broadcast(_common(base, size))  # at most 200,000 hashes
 
@@ -156,7 +157,8 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
             for a, b, sets in _texts(batch, size):
                 names, cols = [], ([], [], [], [])
                 for u in sets:
-                    names.append(set_names(u))
+                    s, t = set_names(u)
+                    names.append((s >> 64 - name_bits, t))
                     new = len(u) > 0 and names[-1][1] not in done
                     keys, tags, needs = part_keys(u if new else u[:0], common.value, num, den)
                     whole = _word(u, 1 << max(0, (len(u) - 1).bit_length() - 6)) if new else u[:0]

@@ -1,10 +1,11 @@
 """Substring deduplication by De Bruijn compaction.
 
 The edges of the graph are windows of 20 words. Consecutive windows with the same minimizer (the least hash of the
-4-word runs inside) form one compacted path; equal text cuts itself into equal paths, so a path is known by the hash
-of all its words (with the minimizer: 128 bits). Joins find, by path, the first document that holds it. A minimizer
-with one path is nonbranching and done; where several paths branch from a minimizer, their windows are told apart
-one by one. Every document then checks its own windows, at their coordinates, against what starts earlier."""
+4-word runs inside) form one compacted path; equal text cuts itself into equal paths, so a path is known by its minimizer
+and the hash of all its words (128 bits). Joins find, by path, the first document that holds it. A minimizer with one path
+is nonbranching and done; where several paths branch from a minimizer, their windows are told apart one by one, each known by
+its minimizer and its own hash (128 bits). Every document then holds its own windows, at their coordinates, against what
+starts earlier. So compaction goes by minimizers inside a text and by joins between texts: no table of nodes is built."""
 
 from __future__ import annotations
 
@@ -78,7 +79,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
     A word goes if a window of `window` words over it also starts earlier: in a smaller doc_id, or earlier in the same
     document. Null and empty texts have no words; texts of fewer words than a window lose none. Rows with a null
     doc_id come first. Rows that repeat a doc_id count as one document's copies: each is judged against smaller ids and
-    against itself. Columns of docs named like a result are replaced."""
+    against itself. Columns of docs named like a result are replaced. No rows give none. Words are compared by hashes: windows that differ
+    would have to share a minimizer and a 64-bit hash to be taken for one another."""
     results = ("n_words", "n_removed", "kept_sha256", "kept")
     names = [c for c in (docs.columns if keep is None else keep) if c not in results]
     base = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("text").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
@@ -101,21 +103,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
             buf, off = utf8(batch.column(1))
             for a, b in slices(off):
                 p = Paths(buf[off[a] : off[b]], off[a : b + 1] - off[a], window)
-                values, sizes = [], [0]
+                values, minimizers, sizes = [], [], [0]
                 for i in range(b - a):
                     lo, hi = p.offsets[i], p.offsets[i + 1]
                     asked = np.flatnonzero(_member(p.hash[lo:hi], _sorted(batch.column(2)[a + i].as_py()))) + lo
-                    values.append(np.unique(p.edges(asked)[1]))
-                    sizes.append(len(values[-1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(np.concatenate(values), np.cumsum(sizes))], names=["_id", "w"])
-
-    told = base.select("_id", "_text").join(ask, "_id").select("_id", "_text", "ask").mapInArrow(tell, "_id long, w array<long>")
-    edges = durable(told.select("_id", F.explode("w").alias("w")), "windows")
-    first = edges.groupBy("w").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("w", "first")
-    later = edges.join(first, "w").where("_id > first").groupBy("_id").agg(F.collect_set("w").alias("w"))
+                    w, at = np.unique(p.edges(asked)[1], return_index=True)
+                    values.append(w)
+                    minimizers.append(np.repeat(p.minimizer[asked], p.last[asked] - p.first[asked] + 1)[at])
+                    sizes.append(len(w))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(lists(np.concatenate(x), np.cumsum(sizes)) for x in (minimizers, values))], names=["_id", "g", "w"])
+
+    told = base.select("_id", "_text").join(ask, "_id").select("_id", "_text", "ask").mapInArrow(tell, "_id long, g array<long>, w array<long>")
+    edges = durable(told.select("_id", F.explode(F.arrays_zip("g", "w")).alias("e")).select("_id", "e.g", "e.w"), "windows")
+    first = edges.groupBy("g", "w").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("g", "w", "first")
+    later = edges.join(first, ["g", "w"]).where("_id > first").groupBy("_id").agg(F.collect_set("w").alias("w"))
     repeated = paths.where("n > 1").select("h", "g", "first")
     known = found.join(repeated, ["h", "g"]).where("_id > first").groupBy("_id").agg(F.collect_set("h").alias("h"))
-    gone = later.join(known, "_id", "full")
+    gone = durable(later.join(known, "_id", "full"), "gone")
+    drop(paths)
+    drop(edges)
 
     def judge(batches):
         for batch in batches:

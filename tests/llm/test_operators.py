@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -677,3 +678,34 @@ def test_components(spark):
     want = {i: root(i) for a, b in edges if a != b for i in (a, b)}
     got = components.connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"))
     assert {r["node"]: r["component"] for r in got.collect()} == want and got.count() == len(want)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+    df, rel = queries.QUERIES[name](spark, SMALL), con.sql(queries.ORACLE_SQL[name])
+    cols = sorted(df.columns)
+    assert sorted(rel.columns) == cols
+    at = [rel.columns.index(c) for c in cols]
+    assert Counter(tuple(r) for r in df.select(cols).collect()) == Counter(tuple(r[i] for i in at) for r in rel.fetchall())
+
+
+def test_jaccard_one_part_of_thousands_of_nodes(spark):
+    """Short documents that all share their rarest-looking shingle and little else, among them pairs that link: the part is
+    split by a second one. Names of few bits clash, so nodes are told apart by both hashes."""
+    rng, rows = random.Random(12), []
+    for i in range(4000):
+        own = [f"x{i}y{j}" for j in range(18)]
+        rows.append((2 * i, " ".join(["same", "four", "words", "here", *own])))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(["same", "four", "words", "here", *own[:17], f"z{rng.random()}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df, 4, 85, 100).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_jaccard_names_that_clash(spark, docs, rows):
+    got = Counter((low(r["doc_id"]), r["n_shingles"], low(r["component_id"])) for r in jaccard.similar_documents(docs, 4, 85, 100, name_bits=5).collect())
+    assert got == brute_jaccard(rows, 4, 85, 100)
