@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from ..session import settled
 IDENTITY = ["customer_id", "method", "score", "matched_on", "runner_up", "runner_up_score"]
 
 
-def similar_names(payers: DataFrame, names: DataFrame, aliases: DataFrame, cfg: Identification, top: int = 5, payer_rows: int = 512, choice_rows: int = 8192) -> DataFrame:
+def similar_names(payers: DataFrame, names: DataFrame, aliases: DataFrame, cfg: Identification, top: int = 5, payer_rows: int = 512, choice_rows: int = 8192, keep: Callable[[DataFrame, str], DataFrame] = settled) -> DataFrame:
     """For each distinct `payer`, the identity that similarity gives: fuzzy, ambiguous or none.
 
     The best of all names and aliases must score fuzzy_min_score, and lead by fuzzy_margin over the best one of another owner
@@ -37,7 +39,7 @@ def similar_names(payers: DataFrame, names: DataFrame, aliases: DataFrame, cfg:
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)], names=["payer", "choice", "owner", "score"])
 
     pairs = asking.groupBy("p", "c").cogroup(asked.groupBy("p", "c")).applyInArrow(best, "payer string, choice string, owner long, score double")
-    pairs = settled(pairs, "close-names")
+    pairs = keep(pairs, "close-names")
     rank = F.row_number().over(Window.partitionBy("payer").orderBy(F.desc("score"), "choice", "owner"))
     best = pairs.withColumn("rn", rank).where(F.col("rn") <= top)
     first = best.where("rn = 1").select("payer", F.col("owner").alias("o"), F.col("choice").alias("matched_on"), F.col("score").alias("best"))
@@ -47,8 +49,10 @@ def similar_names(payers: DataFrame, names: DataFrame, aliases: DataFrame, cfg:
     return out.select("payer", method.alias("method"), F.when(method == "fuzzy", F.col("o")).alias("customer_id"), (F.coalesce("best", F.lit(0.0)) / 100).alias("score"), "matched_on", F.col("r.choice").alias("runner_up"), (F.col("r.score") / 100).alias("runner_up_score"))
 
 
-def identify(payments: DataFrame, names: DataFrame, aliases: DataFrame, cfg: Identification, fuzzy: bool = True) -> DataFrame:
-    """payments with an `identity` struct (IDENTITY). Payers are judged once each, however many payments they make."""
+def identify(payments: DataFrame, names: DataFrame, aliases: DataFrame, cfg: Identification, fuzzy: bool = True, keep: Callable[[DataFrame, str], DataFrame] = settled) -> DataFrame:
+    """payments with an `identity` struct (IDENTITY). Payers are judged once each, however many payments they make.
+
+    keep writes a step into the shared folder."""
     payers = payments.select(F.coalesce("payer_name_normalized", F.lit("")).alias("payer")).distinct()
     known = payers.join(names.select(F.col("normalized_name").alias("payer"), F.col("customer_id").alias("by_name")), "payer", "left")
     known = known.join(aliases.select(F.col("normalized_alias").alias("payer"), F.col("customer_id").alias("by_alias")), "payer", "left")
@@ -59,7 +63,7 @@ def identify(payments: DataFrame, names: DataFrame, aliases: DataFrame, cfg: Ide
     )
     if fuzzy:
         rest = sure.where("method = 'none' and payer <> ''").select("payer")
-        close = similar_names(rest, names, aliases, cfg).select("payer", F.struct(*IDENTITY).alias("close"))
+        close = similar_names(rest, names, aliases, cfg, keep=keep).select("payer", F.struct(*IDENTITY).alias("close"))
         sure = sure.select("payer", F.struct(*IDENTITY).alias("sure")).join(close, "payer", "left").select("payer", F.coalesce("close", "sure").alias("identity"))
     else:
         sure = sure.select("payer", F.struct(*IDENTITY).alias("identity"))

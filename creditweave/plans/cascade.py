@@ -6,6 +6,8 @@ tier is written to the shared folder before the next reads it: a tier's filters
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions import text as T
 from ..operators import book, resolve, settle
 from ..operators.identity import identify
 from ..operators.search import search
-from ..session import settled
+from ..session import discard, settled
 
 SIGNAL = "struct<name: string, fired: boolean, detail: string, raw: string>"
 CANDIDATES = f"array<{settle.SETTLEMENT}>"
@@ -29,7 +31,7 @@ def _one(settlement: Column) -> Column:
     return F.array(settlement).cast(CANDIDATES)
 
 
-def _advice_tier(base: DataFrame, items: DataFrame, advice: DataFrame, cfg: Matching) -> DataFrame:
+def _advice_tier(base: DataFrame, items: DataFrame, advice: DataFrame, cfg: Matching, settled: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """statement_ref, the winning document and its settlement, the customer that advice named, and counts.
 
     advice: remittance_id, statement_ref, method, reconciled, references, lines, claimed_reason. Documents are taken by id:
@@ -72,29 +74,35 @@ def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: Data
     """One row for each payment: identity, references, strategy, candidates (all readings that tie), trail and diagnostics.
 
     Payments need a unique statement_ref. Amounts of 0 or less, unknown payers and customers without open items end with
-    strategy `none` and a trail that says why."""
-    base = identify(payments.select("statement_ref", "amount_paise", "value_date", "payer_name_normalized", "normalized_narration"), names, aliases, cfg.identification, fuzzy)
-    base = settled(base.withColumn("references", T.all_references(F.col("normalized_narration"), cfg.reference)), "identified")
+    strategy `none` and a trail that says why. What the tiers wrote on the way is removed at the end."""
+    steps: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        steps.append(settled(df, name))
+        return steps[-1]
+
+    base = identify(payments.select("statement_ref", "amount_paise", "value_date", "payer_name_normalized", "normalized_narration"), names, aliases, cfg.identification, fuzzy, keep)
+    base = keep(base.withColumn("references", T.all_references(F.col("normalized_narration"), cfg.reference)), "identified")
 
     if advice is not None and cfg.remittance_enabled:
-        base = base.join(_advice_tier(base, items, advice, cfg), "statement_ref", "left")
+        base = base.join(_advice_tier(base, items, advice, cfg, keep), "statement_ref", "left")
     else:
         kind = "struct<remittance_id: bigint, method: string, reconciled: boolean, references: array<string>, unresolved: array<string>>"
         base = base.withColumns({"n_documents": F.lit(None).cast("bigint"), "advice": F.lit(None).cast(kind), "named": F.lit(None).cast("bigint")})
     guided = F.when(F.col("advice").isNotNull(), apply_advice_reasons(F.col("advice.settlement"), F.col("advice.lines"), F.col("advice.claimed_reason"))) if advice is not None and cfg.remittance_enabled else F.lit(None).cast(settle.SETTLEMENT)
-    base = settled(base.withColumns({"guided": guided, "customer_id": F.coalesce("identity.customer_id", "named")}), "guided")
+    base = keep(base.withColumns({"guided": guided, "customer_id": F.coalesce("identity.customer_id", "named")}), "guided")
 
     asked = base.where("guided is null")
     tokens = asked.select("statement_ref", "customer_id", F.posexplode("references").alias("pos", "t")).select("statement_ref", "customer_id", "pos", "t.normalized", "t.digits")
     read = resolve.resolve(tokens, items, ["statement_ref"]).withColumn("owners", resolve.owners(F.col("resolved")))
-    base = settled(base.join(read, "statement_ref", "left").withColumn("owner", F.when(F.size("owners") == 1, F.try_element_at(F.col("owners"), F.lit(1)))), "read")
+    base = keep(base.join(read, "statement_ref", "left").withColumn("owner", F.when(F.size("owners") == 1, F.try_element_at(F.col("owners"), F.lit(1)))), "read")
     agrees = F.col("owner").isNotNull() & (F.col("customer_id").isNull() | (F.col("customer_id") == F.col("owner")))
     base = base.withColumns({
         "by_reference": F.when(F.col("guided").isNull() & agrees, settle.settle(F.col("resolved"), F.col("amount_paise"), cfg)).cast(settle.SETTLEMENT),
         "recovered": F.col("customer_id").isNull() & F.col("owner").isNotNull(),
         "conflict": F.coalesce(F.col("customer_id") != F.col("owner"), F.lit(False)),
     })
-    base = settled(base.withColumn("customer_id", F.coalesce("customer_id", "owner")), "referred")
+    base = keep(base.withColumn("customer_id", F.coalesce("customer_id", "owner")), "referred")
 
     left = base.where("guided is null and by_reference is null and customer_id is not null").select("statement_ref", "value_date", "customer_id", "amount_paise")
     pool = book.candidate_pool(left, items, cfg).groupBy("statement_ref").agg(F.collect_list(F.struct((-F.col("open_amount_paise")).alias("o"), "invoice_number", F.struct(*book.ITEM).alias("item"))).alias("p"))
@@ -107,7 +115,7 @@ def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: Data
     base = base.withColumn("subset", search(F.when(F.size("hits") == 0, amounts), F.col("amount_paise") - cfg.tolerance_paise, F.col("amount_paise") + cfg.tolerance_paise, cfg.subset_sum))
     low, high = settle.deduction_band(F.col("amount_paise"), cfg)
     base = base.withColumn("short", search(F.when((F.size("hits") == 0) & (F.size("subset.solutions") == 0), amounts), low, high, cfg.short_pay.search))
-    base = settled(base, "searched")
+    base = keep(base, "searched")
 
     def sets(found: str, partial: bool = False) -> Column:
         """Settled sets of a search, in the order of (total, invoice numbers) for short payments, else as found."""
@@ -138,7 +146,10 @@ def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: Data
         "pool_size", F.col("subset.nodes").alias("subset_nodes"), F.col("subset.exhausted").alias("subset_exhausted"), F.col("short.nodes").alias("short_nodes"), F.col("short.exhausted").alias("short_exhausted"),
         F.col("advice.reconciled").alias("advice_reconciled"), F.col("n_documents"),
     )
-    return settled(out, "outcomes")
+    out = settled(out, "outcomes")
+    for step in steps:
+        discard(step)
+    return out
 
 
 def _trail(cfg: Matching) -> Column:

@@ -75,9 +75,14 @@ def read_statement(spark: SparkSession, path: str, encoding: str = "UTF-8") -> D
 
 
 def check_upload(spark: SparkSession, path: str) -> None:
-    """Raises where a file that is to be loaded is larger than 16 MB, or empty."""
-    for r in spark.read.format("binaryFile").load(path).select("path", "length").where((F.col("length") > MAX_BYTES) | (F.col("length") == 0)).limit(1).collect():
-        raise ValueError(f"{r['path']} is {'empty' if r['length'] == 0 else 'larger than 16 MB'}")
+    """Raises where a file (or one of a pattern) that is to be loaded is missing, larger than 16 MB, or empty."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        raise ValueError(f"{path} does not exist")
+    for f in found:
+        if not 0 < f.getLen() <= MAX_BYTES:
+            raise ValueError(f"{f.getPath().getName()} is {'empty' if f.getLen() == 0 else 'larger than 16 MB'}")
 
 
 def read_advice(spark: SparkSession, path: str) -> DataFrame:

@@ -158,27 +158,3 @@ def test_advice_layouts(spark):
 def test_config_is_strict():
     with pytest.raises((ValueError, TypeError)):
         dataclasses.replace(DEFAULT.scoring, auto_apply=0.1, review_floor=0.5)
-
-
-def test_reach_loses_no_close_pair(spark):
-    rng = random.Random(8)
-    words = ["traders", "foods", "nation", "shree", "balaji", "ka", "rimo", "tuben", "stores", "24", "br", "abc", "pune"]
-
-    def name():
-        return " ".join(rng.choice(words) for _ in range(rng.randrange(1, 6)))
-
-    def edited(x):
-        for _ in range(rng.randrange(4)):
-            i = rng.randrange(len(x) + 1)
-            x = x[:i] + rng.choice(["", "x", " ", "a"]) + x[i + rng.randrange(2) :]
-        return " ".join(x.split()) or "a"
-
-    pairs = []
-    for _ in range(6000):
-        a = name()
-        pairs.append((a, edited(a + rng.choice(["", " nation", " br"])) if rng.random() < 0.6 else name()))
-    ask, known = identity.within_reach("payer", "choice", 81.0)
-    rows = spark.createDataFrame(pairs, "payer string, choice string").select("payer", "choice", ask.alias("ask"), known.alias("known")).collect()
-    close = [r for r in rows if similarity.wratio(r["payer"], r["choice"]) >= 81]
-    assert len(close) > 1000 and all(r["ask"] or abs(r["known"] - similarity.wratio(r["payer"], r["choice"])) < 1e-9 for r in close)
-    assert sum(r["ask"] for r in rows) < len(rows)
