@@ -31,7 +31,7 @@ from .components import connected_components
 SHORT, RATIO = 48, 1.25
 BROADCAST_IDS, FOLDED = 200_000, 64
 #: Nodes that meet in one part before a second part must agree as well; names that a task remembers.
-GROUP, REMEMBERED = 64, 50_000
+GROUP, REMEMBERED = 1000, 50_000
 _RARE, _FULL, _EACH = 1, 2, 3
 _NULL = -(2**63)
 
@@ -256,22 +256,27 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     apart = group.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
     group = durable(group.join(durable(apart, "apart"), "k"), "open")
     drop(met)
-    alone = group.where((F.col("m") <= GROUP) | (F.col("need") < 2)).select("k", "s", "component")
+    group = group.withColumn("tag", F.expr("k & 255"))
+    alone = group.where((F.col("m") <= GROUP) | (F.col("need") < 2)).select(F.xxhash64(F.array("k")).alias("k"), F.lit(1).alias("deep"), "s", "tag", "component")
     second = rare.select(F.col("k").alias("k2"), "s", F.col("rank").alias("rank2"), F.expr("k & 255").alias("tag"))
-    twice = group.where(F.col("m") > GROUP).withColumn("tag", F.expr("k & 255")).join(second, ["s", "tag"]).where("rank2 > rank")
-    group = durable(alone.unionByName(twice.select(F.xxhash64("k", "k2").alias("k"), "s", "component")), "groups")
+    twice = group.where(F.col("m") > GROUP).join(second, ["s", "tag"]).where("rank2 > rank")
+    group = durable(alone.unionByName(twice.select(F.xxhash64(F.array("k", "k2")).alias("k"), F.lit(2).alias("deep"), "s", "tag", "component")), "groups")
     apart = group.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
     group = group.join(apart, "k")
+    # Each pair counts at its first shared part (or first two) only, so it is given once however many parts it shares.
+    own_keys = rare.withColumn("tag", F.expr("k & 255")).join(group.select("s", "tag").distinct(), ["s", "tag"], "left_semi")
+    own_keys = durable(own_keys.groupBy("s", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "k"))), lambda x: x["k"]).alias("keys")), "keys")
     # Sketches go with the groups (of long texts folded to FOLDED words), so the join itself gives only pairs that they allow.
     chunk = (F.size("whole") / FOLDED).cast("int")
     folded = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.aggregate(F.slice("whole", i * chunk + 1, chunk), F.lit(0).cast("bigint"), lambda t, w: t.bitwiseXOR(w)))
     inside = durable(sketched(group).select("s", "n", F.when(F.size("whole") > FOLDED, folded).otherwise(F.col("whole")).alias("w")), "sketches")
-    group = group.join(inside, "s")
-    a, b = (group.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "component", "n", "w"))) for x in "ab")
+    group = group.join(inside, "s").join(own_keys, ["s", "tag"])
+    a, b = (group.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "component", "n", "w", "keys", "deep"))) for x in "ab")
+    met_first = F.xxhash64(F.slice(F.array_intersect("keys_a", "keys_b"), F.lit(1), F.col("deep_a"))) == a["k"]
     fits = (F.col("s_a") < F.col("s_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    rest = durable(a.join(b, (a["k"] == b["k"]) & fits & near("n_a", "n_b", "w_a", "w_b")).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct(), "rest")
-    drop(inside)
-    drop(rare)
+    rest = durable(a.join(b, (a["k"] == b["k"]) & fits & near("n_a", "n_b", "w_a", "w_b") & met_first).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct(), "rest")
+    for used in (inside, own_keys, rare):
+        drop(used)
     more = linked(rest)
     drop(wholes)
     if more.limit(1).count():
