@@ -87,7 +87,7 @@ class Choices:
     """A block of names, laid out so that one string is held against all of them at once."""
 
     def __init__(self, names: list[str]):
-        self.names = names
+        self.names, self.place = names, None
         sets = [sorted(set(n.split())) for n in names]
         self.forms = [names, [" ".join(sorted(n.split())) for n in names], [" ".join(s) for s in sets]]
         letters = sorted({c for n in names for c in n} | {" "})
@@ -134,6 +134,13 @@ class Choices:
         own = " ".join(sorted(set(a.split())))
         return sum(np.minimum(self.bag[i - 1], own.count(c)) for c, i in self.code.items())
 
+    def _place(self, owners: list[int]) -> list[int]:
+        """The place of each row in the order of name and owner."""
+        if self.place is None:
+            order = sorted(range(len(self.names)), key=lambda i: (self.names[i], owners[i]))
+            self.place = np.argsort(order).tolist()
+        return self.place
+
     def close(self, a: str, scorer: str, floor: float, top: int, owners: list[int]) -> list[tuple[int, float]]:
         """The `top` best (row, score) of at least `floor`, ties by name and owner. Every name is considered: bounds leave out what
         cannot reach the floor, the rest is scored."""
@@ -156,9 +163,12 @@ class Choices:
             # a part of the longer string has at most the common letters, so is at best as long as these
             piece = 2 * whole >= part * (low + whole) - 1e-6
             piece |= 2 * by_set >= tokens * (np.minimum(own, its) + by_set) - 1e-6
-            known = ~even & within & (s > 0) & (85.5 >= floor) & ~piece  # a shared word alone: 0.95 * 0.9 * 100
+            alike = ~even & within & (s > 0) & (85.5 >= floor)  # a shared word alone scores 0.95 * 0.9 * 100
+            known = alike & (2 * whole < 0.95 * (low + whole) - 1e-6)  # and no part is close enough for more
+            piece &= ~alike | ~known
             ask = np.where(even, near, (within & piece) | (2 * whole >= r * (la + n) - 1e-6)) & ~known
         of = {"wratio": wratio, "levenshtein": levenshtein}.get(scorer) or globals()[scorer]
         out = [(i, of(a, self.names[i])) for i in np.flatnonzero(ask).tolist()]
-        out += [(i, 0.95 * 0.9 * 100.0) for i in np.flatnonzero(known).tolist()]
+        level = sorted(np.flatnonzero(known).tolist(), key=self._place(owners).__getitem__)[:top]
+        out += [(i, 0.95 * 0.9 * 100.0) for i in level]
         return sorted(((i, x) for i, x in out if x >= floor), key=lambda t: (-t[1], self.names[t[0]], owners[t[0]]))[:top]

@@ -15,7 +15,7 @@ from ..session import settled
 IDENTITY = ["customer_id", "method", "score", "matched_on", "runner_up", "runner_up_score"]
 
 
-def similar_names(payers: DataFrame, names: DataFrame, aliases: DataFrame, cfg: Identification, top: int = 5, payer_rows: int = 512, choice_rows: int = 8192, keep: Callable[[DataFrame, str], DataFrame] = settled) -> DataFrame:
+def similar_names(payers: DataFrame, names: DataFrame, aliases: DataFrame, cfg: Identification, top: int = 5, payer_rows: int = 256, choice_rows: int = 8192, keep: Callable[[DataFrame, str], DataFrame] = settled) -> DataFrame:
     """For each distinct `payer`, the identity that similarity gives: fuzzy, ambiguous or none.
 
     The best of all names and aliases must score fuzzy_min_score, and lead by fuzzy_margin over the best one of another owner
@@ -38,6 +38,8 @@ def similar_names(payers: DataFrame, names: DataFrame, aliases: DataFrame, cfg:
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)], names=["payer", "choice", "owner", "score"])
 
+    tasks = min(10_000, 4 * p_blocks * c_blocks)  # a block of pairs is much work and few bytes, so its partitions are not to be joined
+    asking, asked = asking.repartition(tasks, "p", "c"), asked.repartition(tasks, "p", "c")
     pairs = asking.groupBy("p", "c").cogroup(asked.groupBy("p", "c")).applyInArrow(best, "payer string, choice string, owner long, score double")
     pairs = keep(pairs, "close-names")
     rank = F.row_number().over(Window.partitionBy("payer").orderBy(F.desc("score"), "choice", "owner"))
