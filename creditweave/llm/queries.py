@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, licenses, mixing, mtree, packing, quality, substrings, warc
+from . import alignment, fingerprints, jaccard, langid, licenses, mixing, mtree, packing, quality, substrings, warc
 from .common import crc_mod, table
 
 
@@ -63,7 +63,14 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_substrings, op4_top_k, op5_licenses, op6_warc, op7_mixing, op8_quality, op9_packing, op10_jaccard)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.score_links(docs, tokenizer(), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_substrings, op4_top_k, op5_licenses, op6_warc, op7_mixing, op8_quality, op9_packing, op10_jaccard, op11_alignment)}
 _WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
