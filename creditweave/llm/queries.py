@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, fingerprints, jaccard, langid, licenses, mixing, mtree, packing, quality, substrings, variants, warc
+from . import adscan, alignment, fingerprints, jaccard, langid, licenses, mixing, mtree, packing, quality, substrings, variants, warc
 from .common import crc_mod, table
 
 
@@ -74,7 +74,11 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(variants.vocabulary(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_substrings, op4_top_k, op5_licenses, op6_warc, op7_mixing, op8_quality, op9_packing, op10_jaccard, op11_alignment, op12_variants)}
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adscan.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_substrings, op4_top_k, op5_licenses, op6_warc, op7_mixing, op8_quality, op9_packing, op10_jaccard, op11_alignment, op12_variants, op13_neighbours)}
 _WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
