@@ -709,3 +709,21 @@ def test_jaccard_one_part_of_thousands_of_nodes(spark):
 def test_jaccard_names_that_clash(spark, docs, rows):
     got = Counter((low(r["doc_id"]), r["n_shingles"], low(r["component_id"])) for r in jaccard.similar_documents(docs, 4, 85, 100, name_bits=5).collect())
     assert got == brute_jaccard(rows, 4, 85, 100)
+
+
+# --- words that are built to agree in a polynomial modulo 2**64
+
+
+def forged():
+    """Two different words of 1,024 letters, each other's complement."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_differ_have_hashes_that_differ(spark):
+    one, other = forged()
+    rest = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}")], "doc_id long, text string")
+    assert {r["n_removed"] for r in substrings.remove_repeats(df).collect()} == {0}
+    alone = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(alone).collect()} == {(1, 1), (2, 2), (3, 1)}
