@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import ledger
-from ..schemas import write_snapshot
+from ..schemas import empty
 from ..sources import star
+from ..store import Store
 
 CITIES = ["PUNE", "MUMBAI", "DELHI", "CHENNAI", "KOLKATA", "HYDERABAD", "JAIPUR", "SURAT", "INDORE", "NAGPUR"]
 
@@ -50,21 +51,21 @@ def off_book(payments: DataFrame, names: DataFrame, aliases: DataFrame) -> DataF
     return payments.join(known, "payer_name_normalized", "left_anti")
 
 
-def write(spark: SparkSession, g: Generator, folder: str, version: int, force: bool = False) -> DataFrame:
-    """Writes a data set's tables and its key as snapshots, and gives its audit row (`dataset_generated`, with the settings'
-    digest). Refuses a folder whose tables have rows in the version before, unless forced."""
-    before = f"{folder}/invoices/v={version - 1}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(before)
-    if not force and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) and not spark.read.parquet(before).limit(1).isEmpty():
-        raise ValueError(f"{folder} has a data set already")
-    for name, df in tables(spark, g).items():
-        write_snapshot(df, folder, name, version)
-    row = spark.createDataFrame([(config.digest(g), g.seed, g.customers, g.invoices)], "digest string, seed int, customers int, invoices int")
-    return ledger.audit("dataset", row, "digest", F.lit("dataset_generated"), "system:generator", ["digest", "seed", "customers", "invoices"])
+def write(store: Store, g: Generator, force: bool = False) -> int:
+    """Publishes a data set's tables, its key and its audit row (`dataset_generated`, with the settings' digest) as one version.
+    Refuses a store whose newest version has rows, unless forced; then results and allocations are emptied too."""
+    base = store.version()
+    if not force and store.is_populated():
+        raise ValueError(f"{store.folder} has a data set already")
+    row = store.spark.createDataFrame([(config.digest(g), g.seed, g.customers, g.invoices)], "digest string, seed int, customers int, invoices int")
+    log = ledger.audit("dataset", row, "digest", F.lit("dataset_generated"), "system:generator", ["digest", "seed", "customers", "invoices"])
+    log = store.read("audit_log", base).unionByName(log.withColumn("payload_before", F.lit(None).cast("string")))
+    stale = {name: empty(store.spark, name) for name in ("match_results", "match_allocations")}
+    return store.publish(base, {**stale, **tables(store.spark, g), "audit_log": log}, "generated")
 
 
 def tables(spark: SparkSession, g: Generator) -> dict[str, DataFrame]:
-    """customers, aliases, invoices, payments, remittances and truth.
+    """customers, customer_aliases, invoices, bank_transactions, remittances and ground_truth.
 
     Each customer has an invoice; the rest go to tiers of weight 8, 3 and 1. Amounts are 8,000 to 950,000 rupees, 15% of
     them in steps of 500; four of five invoices are open, a fifth of these part-paid."""
@@ -83,4 +84,5 @@ def tables(spark: SparkSession, g: Generator) -> dict[str, DataFrame]:
         F.date_add(F.lit("2025-07-01").cast("date"), (h("day") % 240).cast("int")).cast("timestamp").alias("o_orderdate"),
     )
     own = {"customer": customer, "nation": nation, "orders": orders}
-    return {name: getattr(star, name)(spark, own) for name in ("customers", "aliases", "invoices", "payments", "remittances", "truth")}
+    built = {"customers": star.customers, "customer_aliases": star.aliases, "invoices": star.invoices, "bank_transactions": star.payments, "remittances": star.remittances, "ground_truth": star.truth}
+    return {name: make(spark, own) for name, make in built.items()}

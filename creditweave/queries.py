@@ -629,8 +629,21 @@ def review_doubtful(spark, d):
 
 @query(_DOUBT + f" SELECT statement_ref AS entity_id, CASE WHEN {_EVEN} THEN 'review_approve' ELSE 'review_reject' END AS action, 'user:reviewer' AS actor, CASE WHEN {_EVEN} THEN 'manually_applied' ELSE 'unapplied' END AS decision FROM decided WHERE decision = 'needs_review'")
 def review_audit(spark, d):
-    results, _, errors, actions = _reviewed(spark, d)
-    return ledger.review_audit(results, actions, errors).select("entity_id", "action", "actor", F.get_json_object("payload_after", "$.decision").alias("decision"))
+    results, _, _, actions = _reviewed(spark, d)
+    return ledger.review_audit(results, actions).select("entity_id", "action", "actor", F.get_json_object("payload_after", "$.decision").alias("decision"))
+
+
+@query(_DOUBT + f" SELECT statement_ref, CASE WHEN {_EVEN} THEN 'user:first' ELSE 'user:only' END AS actor, CAST(CASE WHEN {_EVEN} THEN 1 ELSE 0 END AS BIGINT) AS refused FROM decided WHERE decision = 'needs_review'")
+def review_twice(spark, d):
+    """Half of the doubtful results are approved twice: the first approval counts and is on record, the second is refused."""
+    results, allocations = ledger.decisions(_doubtful(spark, d).where("decision = 'needs_review'"))
+    even = F.expr("cast(substring(statement_ref, 4) as bigint) % 2 = 0")
+    say = lambda who, day: results.select("statement_ref", F.lit("approve").alias("action"), who.alias("reviewer"), F.lit("").alias("note"), F.lit(day).cast("timestamp").alias("at"))
+    actions = say(F.when(even, "first").otherwise("only"), "2026-01-02").unionByName(say(F.lit("second"), "2026-01-03").where(even))
+    none = spark.createDataFrame([], "statement_ref string, invoice_number string, allocated_amount_paise bigint")
+    after, _, errors = ledger.apply_reviews(results, allocations, actions, none, star.invoices(spark, d), star.payments(spark, d))
+    rows = ledger.review_audit(after, actions).select(F.col("entity_id").alias("statement_ref"), "actor")
+    return rows.join(errors.groupBy("statement_ref").agg(F.count("*").alias("refused")), "statement_ref", "left").select("statement_ref", "actor", F.coalesce("refused", F.lit(0)).cast("bigint").alias("refused"))
 
 
 @query(RESOLVED + f" SELECT statement_ref AS entity_id, 'cash_posted' AS action, CAST({_PLACED} AS BIGINT) AS cash_applied_paise, CAST(greatest(CASE WHEN shape = 'partial' THEN 0 ELSE gap END, 0) AS BIGINT) AS deductions_booked_paise FROM decided WHERE decision = 'auto_applied'")
@@ -642,10 +655,12 @@ def posting_audit(spark, d):
 
 @query(RESOLVED + " SELECT statement_ref, unnest(numbers) AS invoice_number, CASE WHEN CAST(substr(statement_ref, 4) AS BIGINT) % 4 = 0 THEN 'kept and new' ELSE 'new' END AS origin FROM decided")
 def replace_allocations(spark, d):
-    results, allocations = ledger.decisions(_by_reference(spark, d))
+    scored = _by_reference(spark, d)
+    (first, placed), (results, allocations) = ledger.decisions(scored, "first"), ledger.decisions(scored, "third")
     held = F.expr("cast(substring(statement_ref, 4) as bigint) % 4 = 0")
-    old = results.withColumn("reviewed_at", F.when(held, F.lit("2026-01-01").cast("timestamp")))
-    both = ledger.replace_allocations(old, allocations.withColumn("deduction_note", F.lit("old")), results, allocations.withColumn("deduction_note", F.lit("new")))
+    old = first.withColumn("reviewed_at", F.when(held, F.lit("2026-01-01").cast("timestamp"))).unionByName(ledger.decisions(scored, "second")[0].where(held))
+    placed = placed.withColumn("deduction_note", F.lit("old")).unionByName(ledger.decisions(scored, "second")[1].where(held).withColumn("deduction_note", F.lit("second")))
+    both = ledger.replace_allocations(old, placed, results, allocations.withColumn("deduction_note", F.lit("new")))
     said = F.array_join(F.array_sort(F.collect_set("deduction_note")), " and ")
     return both.groupBy("statement_ref", "invoice_number").agg(F.regexp_replace(said, "new and old", "kept and new").alias("origin"))
 

@@ -1,4 +1,4 @@
-"""The eight tables, and the rules that their rows must meet."""
+"""The tables, and the rules that their rows must meet."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ TABLES = {
     "invoices": "invoice_id bigint, invoice_number string, normalized_number string, customer_id bigint, invoice_date date, due_date date, amount_paise bigint, open_amount_paise bigint, currency string, status string, po_number string",
     "bank_transactions": "statement_ref string, value_date date, amount_paise bigint, payer_name_raw string, payer_name_normalized string, narration string, normalized_narration string, bank_account string, status string",
     "remittances": "remittance_id bigint, statement_ref string, source_type string, raw_text string, source_filename string, received_at timestamp, link_source string, extraction_status string, extraction_method string, extracted_payload string, extraction_error string",
-    "match_results": "statement_ref string, decision string, confidence decimal(5,4), strategy string, matched_amount_paise bigint, unapplied_amount_paise bigint, explanation string, reason_text string, engine_version string, reviewed_by string, reviewed_at timestamp, review_action string, review_note string",
-    "match_allocations": "statement_ref string, invoice_id bigint, invoice_number string, allocated_amount_paise bigint, deduction_amount_paise bigint, deduction_reason string, deduction_note string",
+    "match_results": "result_id string, statement_ref string, decision string, confidence decimal(5,4), strategy string, matched_amount_paise bigint, unapplied_amount_paise bigint, explanation string, reason_text string, engine_version string, reviewed_by string, reviewed_at timestamp, review_action string, review_note string",
+    "match_allocations": "result_id string, statement_ref string, invoice_id bigint, invoice_number string, allocated_amount_paise bigint, deduction_amount_paise bigint, deduction_reason string, deduction_note string",
+    "ground_truth": "statement_ref string, scenario string, customer_id bigint, paid_paise bigint, expected array<struct<invoice_number: string, allocated: bigint, deduction: bigint, reason: string>>",
     "audit_log": "entity_type string, entity_id string, action string, actor string, payload_before string, payload_after string",
 }
 # The domains of the status columns.
@@ -23,7 +24,7 @@ DOMAINS = {
     ("match_results", "decision"): ["auto_applied", "needs_review", "unapplied", "manually_applied", "rejected"],
     ("match_allocations", "deduction_reason"): ["damage", "short_ship", "promo", "pricing", "freight", "tds", "unknown"],
 }
-UNIQUE = {"customers": ["code"], "customer_aliases": ["customer_id", "normalized_alias"], "invoices": ["invoice_number"], "bank_transactions": ["statement_ref"], "match_allocations": ["statement_ref", "invoice_id"]}
+UNIQUE = {"customers": ["code"], "customer_aliases": ["customer_id", "normalized_alias"], "invoices": ["invoice_number"], "bank_transactions": ["statement_ref"], "match_results": ["result_id"], "match_allocations": ["result_id", "invoice_id"]}
 RULES = {
     "invoices": {"amount above 0": "amount_paise > 0", "open between 0 and amount": "open_amount_paise between 0 and amount_paise"},
     "bank_transactions": {"amount above 0": "amount_paise > 0"},
@@ -49,22 +50,6 @@ def violations(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.explode(bad).alias("rule")).groupBy("rule").agg(F.count("*").alias("rows"))
 
 
-def write_snapshot(df: DataFrame, folder: str, name: str, version: int) -> str:
-    """A table's next version, beside the ones before; readers name the version, so nobody sees half of one."""
-    path = f"{folder}/{name}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
 #: The tables of a data set, children first: the order in which they are emptied. The audit log is no part of it.
-RESET_ORDER = ["match_allocations", "match_results", "remittances", "bank_transactions", "invoices", "customer_aliases", "customers"]
-
-
-def is_populated(tables: dict[str, DataFrame]) -> bool:
-    """Whether any table of a data set has a row."""
-    return any(name in tables and not tables[name].limit(1).isEmpty() for name in RESET_ORDER)
-
+RESET_ORDER = ["match_allocations", "match_results", "ground_truth", "remittances", "bank_transactions", "invoices", "customer_aliases", "customers"]
 
-def reset(spark: SparkSession, folder: str, version: int) -> dict[str, str]:
-    """Writes an empty next version of every table of a data set; the audit log keeps its own."""
-    return {name: write_snapshot(empty(spark, name), folder, name, version) for name in RESET_ORDER}

@@ -97,17 +97,6 @@ def test_uploads(spark, tmp_path):
         statements.check_upload(spark, str(tmp_path / "b.csv"))
 
 
-def test_generated_set_is_written_once_and_reset(spark, tmp_path):
-    folder, g = str(tmp_path / "set"), generate.Generator(5, 40)
-    row = generate.write(spark, g, folder, 1).first()
-    assert row["action"] == "dataset_generated" and json.loads(row["payload_after"])["digest"] == config.digest(g)
-    with pytest.raises(ValueError):
-        generate.write(spark, g, folder, 2)
-    assert schemas.is_populated({"invoices": spark.read.parquet(f"{folder}/invoices/v=1")})
-    paths = schemas.reset(spark, folder, 2)
-    assert "audit_log" not in paths and not schemas.is_populated({n: spark.read.parquet(p) for n, p in paths.items()})
-
-
 def test_apportion():
     assert generate.apportion({"a": 34, "b": 33, "c": 33}, 10) == {"a": 4, "b": 3, "c": 3}
     assert generate.apportion({"a": 50, "b": 50}, 3) == {"a": 1, "b": 2}
