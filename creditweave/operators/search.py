@@ -1,14 +1,17 @@
 """Bounded search for sets of open items whose total lies in a band.
 
 The pool of a payment is one array of at most `max_pool` items, so a search is a small task of one row; Spark spreads the
-rows. Sets come in the order of a depth-first walk over items from the largest down; a node is an item added to a set."""
+rows. Sets meet in the middle: the sums of a set's first half are held against the sorted sums of all that its second half can be,
+as whole arrays. Sets come in the order of a depth-first walk over items from the largest down."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,42 +19,56 @@ from pyspark.sql import functions as F
 from ..config import Search
 
 FOUND = "struct<solutions: array<array<int>>, nodes: int, exhausted: boolean, capped: boolean>"
+#: Pairs of halves that are looked at in one step.
+STEP = 100_000
+
+
+@lru_cache(maxsize=512)
+def _combinations(n: int, size: int) -> np.ndarray:
+    """All sets of `size` of n places, each ascending, in lexicographic order."""
+    return np.array(list(combinations(range(n), size)), np.int16).reshape(comb(n, size), size)
+
+
+def _of_size(a: np.ndarray, size: int, low: int, high: int, most: int, budget: int) -> tuple[list[list[int]], int, bool]:
+    """The first `most` sets of this size in lexicographic order, how many sums were looked at, and whether the budget ended it."""
+    left, right = _combinations(len(a), (size + 1) // 2), _combinations(len(a), size // 2)
+    totals, rest = a[left].sum(1), a[right].sum(1)
+    order = np.argsort(rest, kind="stable")
+    rest = rest[order]
+    begin, end = np.searchsorted(rest, low - totals, "left"), np.searchsorted(rest, high - totals, "right")
+    cost = np.concatenate([[0], (1 + end - begin).cumsum()])
+    found, at = [], 0
+    while at < len(left) and len(found) < most:
+        room = min(STEP, budget - int(cost[at]))
+        upto = int(np.searchsorted(cost, cost[at] + room, "right")) - 1
+        if upto == at:
+            if cost[at + 1] > budget:
+                return found, int(cost[at]), True
+            upto = at + 1
+        size_of = end[at:upto] - begin[at:upto]
+        first = np.repeat(np.arange(at, upto), size_of)
+        second = order[np.arange(len(first)) - np.repeat(size_of.cumsum() - size_of, size_of) + begin[first]]
+        if size > 1:  # a set has one such pair only: its second half lies behind its first
+            behind = right[second, 0] > left[first, -1]
+            first, second = first[behind], second[behind]
+        turn = np.lexsort((second, first))[: most - len(found)]
+        found += np.hstack([left[first[turn]], right[second[turn]]]).tolist()
+        at = upto
+    return found, int(cost[at]), False
 
 
 def find_sets(amounts: list[int], low: int, high: int, cfg: Search) -> tuple[list[list[int]], int, bool, bool]:
-    """Index sets over amounts (descending), nodes visited, whether the budget ran out, whether the cap was reached."""
-    n, found, nodes = len(amounts), [], 0
-    left = [0] * (n + 1)
-    for i in reversed(range(n)):
-        left[i] = left[i + 1] + amounts[i]
-    falling = [-a for a in amounts]
-    path: list[int] = []  # the set being built
-    sums, at = [0], [0]  # its running totals; the next item to try at each depth
-    while at:
-        total = sums[-1]
-        i = max(at[-1], bisect_left(falling, total - high))  # skips what is too large
-        if i >= n or total + left[i] < low:  # nothing left fits, or all that is left falls short
-            at.pop()
-            sums.pop()
-            if path and len(path) >= len(at):
-                path.pop()
-            continue
-        if nodes >= cfg.budget:
-            return found, nodes, True, False
-        at[-1] = i + 1
-        nodes += 1
-        path.append(i)
-        total += amounts[i]
-        if total >= low and len(path) >= cfg.min_size:
-            found.append(list(path))
-            if len(found) >= cfg.max_solutions:
-                return found, nodes, False, True
-        if len(path) < cfg.max_size:
-            sums.append(total)
-            at.append(i + 1)
-        else:
-            path.pop()
-    return found, nodes, False, False
+    """Index sets over amounts (descending) in the order of a depth-first walk, the sums looked at, whether the budget of these
+    ran out (then sets may be missing), whether there are as many sets as the cap allows."""
+    a, found, nodes = np.asarray(amounts, np.int64), [], 0
+    for size in range(cfg.min_size, min(cfg.max_size, len(a)) + 1):
+        own, some, exhausted = _of_size(a, size, low, high, cfg.max_solutions, cfg.budget - nodes)
+        found += own
+        nodes += some
+        if exhausted:
+            return sorted(found)[: cfg.max_solutions], nodes, True, False
+    found = sorted(found)[: cfg.max_solutions]  # a set comes before those that it begins
+    return found, nodes, False, len(found) == cfg.max_solutions
 
 
 def search(amounts: Column, low: Column, high: Column, cfg: Search) -> Column:

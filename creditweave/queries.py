@@ -597,6 +597,33 @@ def cascade_tiers(spark, d):
     return _mute(spark, d).select("statement_ref", tier.alias("tier"))
 
 
+#: Sets of items in the order of a walk from the largest item down: their places, numbers and amounts.
+_WALK = _MUTE.split(",\ntwo AS", 1)[0] + """, placed AS (SELECT *, row_number() OVER (PARTITION BY statement_ref ORDER BY o DESC, num) AS pos FROM others),
+w1 AS (SELECT statement_ref, amount_paise, [pos] AS path, [num] AS nums, [o] AS opens, o AS t, pos AS last FROM placed),
+""" + ",\n".join(f"""w{k} AS (SELECT a.statement_ref, a.amount_paise, list_append(path, b.pos) AS path, list_append(nums, b.num) AS nums, list_append(opens, b.o) AS opens, t + b.o AS t, b.pos AS last FROM w{k - 1} a JOIN placed b ON a.statement_ref = b.statement_ref AND a.last < b.pos
+  WHERE t + b.o <= a.amount_paise + {'100' if k > 3 else 'greatest(100, least(floor(a.amount_paise * (15.0::DOUBLE / 85.0::DOUBLE)), 15000000))'})""" for k in range(2, 6)) + """,
+tied AS (SELECT *, row_number() OVER (PARTITION BY statement_ref ORDER BY path) AS rn FROM (SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4 UNION ALL SELECT * FROM w5) WHERE abs(t - amount_paise) <= 100),
+near AS (SELECT *, row_number() OVER (PARTITION BY statement_ref ORDER BY path) AS rn, t - amount_paise AS gap FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3) x
+  WHERE t BETWEEN amount_paise + 1 AND amount_paise + least(floor(amount_paise * (15.0::DOUBLE / 85.0::DOUBLE)), 15000000) AND statement_ref NOT IN (SELECT statement_ref FROM tied)),
+borne AS (SELECT *, list_min(list_filter(opens, lambda x: x > gap)) AS bearer FROM near WHERE rn <= 3),
+short AS (SELECT * FROM borne WHERE gap > 100 AND gap <= 15000000 AND gap::DOUBLE / bearer::DOUBLE * 100 BETWEEN 0.5 AND 15)"""
+
+
+@query(_WALK + " SELECT statement_ref, CAST(rn AS INT) AS place, array_to_string(list_sort(nums), ' ') AS numbers FROM tied WHERE rn <= 5")
+def subset_sets(spark, d):
+    """Which sets of up to five items tie with a payment, the first five in the order of the search."""
+    found = _mute(spark, d).where("strategy = 'subset_sum'").select("statement_ref", F.posexplode("candidates").alias("place", "c"))
+    return found.select("statement_ref", (F.col("place") + 1).alias("place"), F.array_join(F.array_sort(F.transform("c.allocations", lambda a: a["invoice_number"])), " ").alias("numbers"))
+
+
+@query(_WALK + " SELECT statement_ref, CAST(row_number() OVER (PARTITION BY statement_ref ORDER BY t, list_sort(nums)) AS INT) AS place, array_to_string(list_sort(nums), ' ') AS numbers, CAST(gap AS BIGINT) AS claim_paise, CAST(bearer AS BIGINT) AS bearer_paise FROM short")
+def short_pay_sets(spark, d):
+    """Which sets of up to three items a payment is short of by a believable claim, and who bears it, smallest total first."""
+    found = _mute(spark, d).where("strategy = 'short_pay'").select("statement_ref", F.posexplode("candidates").alias("place", "c"))
+    claim = F.get(F.filter("c.allocations", lambda a: a["deduction"] > 0), F.lit(0))
+    return found.select("statement_ref", (F.col("place") + 1).alias("place"), F.array_join(F.array_sort(F.transform("c.allocations", lambda a: a["invoice_number"])), " ").alias("numbers"), claim["deduction"].alias("claim_paise"), claim["open_amount_paise"].alias("bearer_paise"))
+
+
 _DOUBT = RESOLVED.replace("round(c, 9) >= 0.9 THEN", "round(c, 9) >= 0.97 THEN")
 _PLACED = "(CASE WHEN shape = 'partial' THEN amount_paise ELSE least(total, amount_paise) END)"
 

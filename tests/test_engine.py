@@ -66,6 +66,28 @@ def test_search_equals_all_combinations():
         assert found == brute_sets(amounts, low, high, cfg) and not exhausted
 
 
+def test_search_of_full_pools():
+    """45 items, sets of up to five: against a walk, with many ties, and with a band that every set is in."""
+    rng = random.Random(2)
+    for low, high, spread in ((300_000, 300_040, 100_000), (40, 44, 12), (1, 10**9, 9)):
+        amounts = sorted((rng.randrange(1, spread) for _ in range(45)), reverse=True)
+        cfg = Search(True, 2, 5, 5, 10**8)
+        found, _, exhausted, _ = find_sets(amounts, low, high, cfg)
+        assert not exhausted and found == list(itertools.islice(walk(amounts, low, high, 2, 5), 5))
+
+
+def walk(amounts, low, high, least, most, path=()):
+    for i in range(path[-1] + 1 if path else 0, len(amounts)):
+        total = sum(amounts[j] for j in path) + amounts[i]
+        if total > high or total + sum(amounts[i + 1 : i + most - len(path)]) < low:
+            continue
+        here = (*path, i)
+        if total >= low and len(here) >= least:
+            yield list(here)
+        if len(here) < most:
+            yield from walk(amounts, low, high, least, most, here)
+
+
 def test_search_budget():
     assert find_sets(list(range(60, 20, -1)), 10**6, 10**6 + 1, Search(True, 2, 5, 5, 100))[1] <= 100
     assert find_sets([9, 8, 7, 6, 5, 4], 10, 12, Search(True, 2, 5, 5, 1))[2]
