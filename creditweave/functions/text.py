@@ -57,6 +57,11 @@ def digits_key(digits: Column) -> Column:
     return F.when(bare == "", "0").otherwise(bare)
 
 
+# What parts the words of a narration, and what is stripped from them.
+BETWEEN_WORDS = r"[\s,;|&+]+|(?<=\d)/(?=\d)|(?<=[A-Za-z])/(?=[A-Za-z])"
+AROUND_WORD = r"^[.,:;()\[\]\-]+|[.,:;()\[\]\-]+$"
+
+
 def _first_of_each(tokens: Column) -> Column:
     names = F.transform(tokens, lambda t: t["normalized"])
     return F.filter(tokens, lambda t, i: F.array_position(names, t["normalized"]) == i + 1)
@@ -64,8 +69,8 @@ def _first_of_each(tokens: Column) -> Column:
 
 def extract_references(narration: Column, cfg: Reference) -> Column:
     """array<struct<raw, normalized, digits>>: the words of a narration that could be invoice references, in order."""
-    words = F.split(F.coalesce(narration, F.lit("")), r"[\s,;|&+]+|(?<=\d)/(?=\d)|(?<=[A-Za-z])/(?=[A-Za-z])")
-    words = F.transform(words, lambda w: F.regexp_replace(w, r"^[.,:;()\[\]\-]+|[.,:;()\[\]\-]+$", ""))
+    words = F.split(F.coalesce(narration, F.lit("")), BETWEEN_WORDS)
+    words = F.transform(words, lambda w: F.regexp_replace(w, AROUND_WORD, ""))
     tokens = F.transform(words, lambda w: F.struct(w.alias("raw"), normalize_reference(w).alias("normalized"), F.regexp_replace(w, "[^0-9]", "").alias("digits")))
 
     def usable(t: Column) -> Column:

@@ -46,10 +46,10 @@ def add_values(outcomes: DataFrame, cfg: Scoring) -> DataFrame:
     })
 
 
-def base_score(weights: Weights) -> Column:
+def base_score(weights: Weights | dict[str, Column]) -> Column:
     """Weighted mean of the signals that apply; the weights of others leave the denominator. Rounded at 12 places, so that
     sums of binary fractions cannot fall beside a threshold."""
-    own = {n: getattr(weights, n) for n in NAMES}
+    own = weights if isinstance(weights, dict) else {n: getattr(weights, n) for n in NAMES}
     top = sum((F.coalesce(F.col(f"v_{n}"), F.lit(0.0)) * w for n, w in own.items()), F.lit(0.0))
     bottom = sum((F.when(F.col(f"v_{n}").isNotNull(), w).otherwise(0.0) for n, w in own.items()), F.lit(0.0))
     return F.when(bottom > 0, F.round(top / bottom, 12)).otherwise(0.0)
@@ -71,7 +71,7 @@ def decide(confidence: Column, auto: float | Column, floor: float) -> Column:
     return F.when(F.size("candidates") == 0, "unapplied").when(confidence >= auto, "auto_applied").when(confidence >= floor, "needs_review").otherwise("unapplied")
 
 
-def with_confidence(valued: DataFrame, cfg: Scoring, weights: Weights | None = None) -> DataFrame:
+def with_confidence(valued: DataFrame, cfg: Scoring, weights: Weights | dict[str, Column] | None = None) -> DataFrame:
     """Values to base_score, penalties, confidence and decision."""
     has = F.size("candidates") > 0
     out = valued.withColumn("base_score", F.when(has, base_score(weights or cfg.weights)).otherwise(0.0))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import Scoring
 from ..operators import score as S
-from ..session import settled
 
 
 def rate(part: Column, whole: Column, empty: float = 0.0) -> Column:
@@ -19,11 +18,19 @@ def compare(scored: DataFrame, truth: DataFrame, tolerance: int = 100) -> DataFr
 
     verdict: correct, wrong, missed or correctly_unapplied; an unapplied decision proposes nothing. A decision without
     truth raises when the result is computed."""
+    return _judged(scored.join(_wanted(truth), "statement_ref", "left"), tolerance)
+
+
+def _wanted(truth: DataFrame) -> DataFrame:
+    return truth.select("statement_ref", "scenario", F.array_sort(F.transform("expected", lambda a: F.struct(a["invoice_number"].alias("n"), a["allocated"].alias("v"), a["deduction"].alias("d"), a["reason"].alias("r")))).alias("wanted"))
+
+
+def _judged(both: DataFrame, tolerance: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Verdicts on decisions that stand beside what was `wanted`."""
     first = F.get("candidates", F.lit(0))["allocations"]
     kept = F.coalesce(F.when(F.col("decision") != "unapplied", first), F.slice(first, 1, 0))
     proposed = F.coalesce(F.array_sort(F.transform(kept, lambda a: F.struct(a["invoice_number"].alias("n"), a["allocated"].alias("v"), a["deduction"].alias("d"), a["reason"].alias("r")))), F.array().cast("array<struct<n: string, v: bigint, d: bigint, r: string>>"))
-    known = truth.select("statement_ref", "scenario", F.array_sort(F.transform("expected", lambda a: F.struct(a["invoice_number"].alias("n"), a["allocated"].alias("v"), a["deduction"].alias("d"), a["reason"].alias("r")))).alias("wanted"))
-    both = scored.withColumn("proposed", proposed).join(known, "statement_ref", "left")
+    both = both.withColumn("proposed", proposed)
     numbers = lambda c: F.transform(c, lambda a: a["n"])
     same = numbers("wanted") == numbers("proposed")
     tie = F.forall(F.zip_with("wanted", "proposed", lambda a, b: F.coalesce(F.abs(a["v"] - b["v"]) <= tolerance, F.lit(False))), lambda x: x)
@@ -34,7 +41,7 @@ def compare(scored: DataFrame, truth: DataFrame, tolerance: int = 100) -> DataFr
     out = both.withColumn("verdict", F.when(F.col("wanted").isNull(), F.raise_error(F.concat(F.lit("no truth for "), F.col("statement_ref")))).otherwise(verdict))
     out = out.withColumns({"invoices_correct": same & ~none & ~nothing, "reason_correct": F.when((F.col("verdict") == "correct") & (F.size(claims) > 0), right)})
     is_correct = F.col("verdict").isin("correct", "correctly_unapplied")
-    return out.withColumns({"is_correct": is_correct, "is_costly": (F.col("decision") == "auto_applied") & ~is_correct}).select("statement_ref", "scenario", "strategy", "decision", "verdict", "confidence", "amount_paise", "invoices_correct", "reason_correct", "is_correct", "is_costly", F.size("candidates").alias("n_candidates"))
+    return out.withColumns({"is_correct": is_correct, "is_costly": (F.col("decision") == "auto_applied") & ~is_correct}).select(*keep, "statement_ref", "scenario", "strategy", "decision", "verdict", "confidence", "amount_paise", "invoices_correct", "reason_correct", "is_correct", "is_costly", F.size("candidates").alias("n_candidates"))
 
 
 def _counts() -> dict[str, Column]:
@@ -92,11 +99,10 @@ def recommend(rows: DataFrame, least_precision: float = 0.99) -> DataFrame:
 
 
 def ablation(outcomes: DataFrame, truth: DataFrame, cfg: Scoring) -> DataFrame:
-    """For each signal left out (and none), the headline counts; the search isn't run again, only the scoring."""
-    valued, truth = settled(S.add_values(outcomes, cfg), "valued"), settled(truth, "truth")
-    out = None
-    for left_out in ["none", *S.NAMES]:
-        weights = cfg.weights if left_out == "none" else cfg.weights.without(left_out)
-        one = report(compare(S.with_confidence(valued, cfg, weights), truth)).withColumn("left_out", F.lit(left_out))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """For each signal left out (and none), the headline counts. The search isn't run again: every outcome is scored with all
+    sets of weights where it stands, so outcomes and truth are read once and only sums move."""
+    sets = {"none": cfg.weights} | {name: cfg.weights.without(name) for name in S.NAMES}
+    rows = F.array(*(F.struct(F.lit(k).alias("left_out"), *(F.lit(float(getattr(w, n))).alias(n) for n in S.NAMES)) for k, w in sets.items()))
+    both = S.add_values(outcomes, cfg).join(_wanted(truth), "statement_ref", "left").withColumn("weights", F.explode(rows))
+    scored = S.with_confidence(both, cfg, {n: F.col(f"weights.{n}") for n in S.NAMES}).withColumn("left_out", F.col("weights.left_out"))
+    return _rates(_judged(scored, keep=("left_out",)).groupBy("left_out").agg(*(v.alias(k) for k, v in _counts().items())))

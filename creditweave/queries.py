@@ -514,24 +514,6 @@ def ablation(spark, d):
     return evaluate.ablation(outcomes(spark, d), star.truth(spark, d), DEFAULT.scoring)
 
 
-_ROI = "SELECT CAST(round(hs, 6) AS DECIMAL(12,6)) AS hours_saved, CAST(round_even(53.333333333333336 * 600 * 100, 0) - round_even(rem * 600 * 100, 0) AS BIGINT) AS gross_saving_paise, CAST(round_even(0.819 * 800 * (1 - p) * 1800 * 100, 0) AS BIGINT) AS expected_error_cost_paise FROM (SELECT 53.333333333333336 - (0.13 * 26.666666666666668 + 0.051 * 53.333333333333336) AS hs, 0.13 * 26.666666666666668 + 0.051 * 53.333333333333336 AS rem, unnest([{p}]) AS p)"
-_ROI = _ROI.replace("53.333333333333336", "53.333333333333336::DOUBLE").replace("26.666666666666668", "26.666666666666668::DOUBLE").replace("0.819", "0.819::DOUBLE").replace("0.13 ", "0.13::DOUBLE ").replace("0.051", "0.051::DOUBLE")
-
-
-def _rates(spark, precision: float) -> DataFrame:
-    return spark.createDataFrame([(0.819, 0.13, 0.051, precision)], "auto_match_rate double, review_rate double, unapplied_rate double, precision double")
-
-
-@query(_ROI.replace("{p}", "0.99::DOUBLE"), name="roi")
-def roi_case(spark, d):
-    return roi.outcome(_rates(spark, 0.99), roi.Assumptions()).select(F.round("hours_saved", 6).cast("decimal(12,6)").alias("hours_saved"), "gross_saving_paise", "expected_error_cost_paise")
-
-
-@query(_ROI.replace("{p}", "1.0::DOUBLE, 0.99::DOUBLE, 0.97::DOUBLE, 0.95::DOUBLE, 0.90::DOUBLE"))
-def roi_sensitivity(spark, d):
-    return roi.sensitivity(_rates(spark, 1.0), roi.Assumptions()).select(F.round("hours_saved", 6).cast("decimal(12,6)").alias("hours_saved"), "gross_saving_paise", "expected_error_cost_paise")
-
-
 # --- ingest and streams
 
 
@@ -700,11 +682,14 @@ def strategy_counts(spark, d):
 _OTHER = _TRUE.replace("- w.allocated) <= 100", "- w.allocated - (CASE WHEN right(d.statement_ref, 1) IN ('0', '5') THEN 500000 ELSE 0 END)) <= 100")
 
 
-def _judged_otherwise(spark: SparkSession, d: str) -> DataFrame:
-    """Against a key in which a fifth of the payments were placed elsewhere, so that decisions are wrong."""
+def _other_truth(spark: SparkSession, d: str) -> DataFrame:
+    """A key in which a fifth of the payments were placed elsewhere, so that decisions are wrong."""
     off = F.when(F.right("statement_ref", F.lit(1)).isin("0", "5"), 500_000).otherwise(0).cast("bigint")
-    truth = star.truth(spark, d).withColumn("expected", F.transform("expected", lambda a, i: a.withField("allocated", a["allocated"] + F.when(i == 0, off).otherwise(0))))
-    return evaluate.compare(_by_reference(spark, d), truth)
+    return star.truth(spark, d).withColumn("expected", F.transform("expected", lambda a, i: a.withField("allocated", a["allocated"] + F.when(i == 0, off).otherwise(0))))
+
+
+def _judged_otherwise(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.compare(_by_reference(spark, d), _other_truth(spark, d))
 
 
 @query(RESOLVED + _OTHER + " SELECT statement_ref, amount_paise, scenario FROM judged WHERE decision = 'auto_applied' AND verdict NOT IN ('correct', 'correctly_unapplied') ORDER BY amount_paise DESC, statement_ref LIMIT 10")
@@ -712,6 +697,62 @@ def costly_errors(spark, d):
     return evaluate.worst_errors(_judged_otherwise(spark, d)).select("statement_ref", "amount_paise", "scenario")
 
 
+#: Confidence without one signal, whose weight the others share in proportion.
+_WEIGHTS = {"reference_match": (0.34, "1.0"), "amount_match": (0.26, "v_amount"), "customer_identity": (0.18, "v_id"), "remittance_agreement": (0.14, None), "date_proximity": (0.08, "v_date")}
+
+
+def _sql_without(left_out: str) -> str:
+    own = [(w, v) for k, (w, v) in _WEIGHTS.items() if v and k != left_out]
+    penalty = "(CASE WHEN n > 1 AND gap > 0 THEN 0.6 ELSE 1.0 END) * (CASE WHEN gap < 0 THEN 0.85 ELSE 1.0 END)"
+    return f"SELECT '{left_out}' AS left_out, * EXCLUDE (c), ({' + '.join(f'{w} * {v}' for w, v in own)}) / {sum(w for w, _ in own)} * {penalty} AS c FROM confident"
+
+
+_ABLATED = RESOLVED.split(",\ndecided AS", 1)[0] + ",\nvaried AS (" + " UNION ALL ".join(map(_sql_without, ["none", *_WEIGHTS])) + "),\ndecided AS" + RESOLVED.split(",\ndecided AS", 1)[1].replace("FROM confident", "FROM varied")
+
+
+@query(_ABLATED + _OTHER + """ SELECT left_out, count(*) AS total, count(*) FILTER (decision = 'auto_applied') AS auto_applied, count(*) FILTER (decision = 'needs_review') AS needs_review, count(*) FILTER (verdict IN ('correct', 'correctly_unapplied')) AS correct,
+  count(*) FILTER (decision = 'auto_applied' AND verdict NOT IN ('correct', 'correctly_unapplied')) AS auto_wrong, CAST(coalesce(sum(amount_paise) FILTER (decision = 'auto_applied'), 0) AS BIGINT) AS auto_value_paise FROM judged GROUP BY 1""")
+def ablation_by_reference(spark, d):
+    """What each signal is worth, where references settle, against the key with errors."""
+    rows = _by_reference(spark, d)
+    out = evaluate.ablation(rows.select(*[c for c in cascade_columns if c in rows.columns]), _other_truth(spark, d), DEFAULT.scoring)
+    return out.select("left_out", "total", "auto_applied", "needs_review", "correct", "auto_wrong", "auto_value_paise")
+
+
+@query(RESOLVED + _OTHER + """ SELECT count(*) AS total, count(*) FILTER (decision = 'auto_applied') AS auto_applied, count(*) FILTER (decision = 'needs_review') AS needs_review, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'missed') AS missed,
+  count(*) FILTER (decision = 'needs_review' AND verdict IN ('correct', 'correctly_unapplied')) AS review_correct, CAST(coalesce(sum(amount_paise) FILTER (decision = 'auto_applied' AND verdict NOT IN ('correct', 'correctly_unapplied')), 0) AS BIGINT) AS auto_wrong_value_paise,
+  CAST(round(count(*) FILTER (verdict IN ('correct', 'correctly_unapplied')) / count(*), 6) AS DECIMAL(9,6)) AS accuracy FROM judged""")
+def report_by_reference(spark, d):
+    """The headline row of an evaluation with errors in it."""
+    r = evaluate.report(_judged_otherwise(spark, d))
+    return r.select("total", "auto_applied", "needs_review", "wrong", "missed", "review_correct", "auto_wrong_value_paise", F.round("accuracy", 6).cast("decimal(9,6)").alias("accuracy"))
+
+
+#: Savings at the rates of decided payments, at some precisions.
+_ROI = """, rates AS (SELECT count(*) FILTER (decision = 'auto_applied')::DOUBLE / count(*) AS auto, count(*) FILTER (decision = 'needs_review')::DOUBLE / count(*) AS review, count(*) FILTER (decision = 'unapplied')::DOUBLE / count(*) AS unapplied,
+  (count(*) FILTER (decision = 'auto_applied') - count(*) FILTER (decision = 'auto_applied' AND verdict NOT IN ('correct', 'correctly_unapplied')))::DOUBLE / count(*) FILTER (decision = 'auto_applied') AS own FROM judged),
+months AS (SELECT auto, review * 26.666666666666668::DOUBLE + unapplied * 53.333333333333336::DOUBLE AS rem, unnest([{p}]) AS p FROM rates)
+SELECT CAST(round(53.333333333333336::DOUBLE - rem, 6) AS DECIMAL(12,6)) AS hours_saved, CAST(round_even(53.333333333333336::DOUBLE * 600 * 100, 0) - round_even(rem * 600 * 100, 0) AS BIGINT) AS gross_saving_paise, CAST(round_even(auto * 800 * (1 - p) * 1800 * 100, 0) AS BIGINT) AS expected_error_cost_paise FROM months"""
+
+
+def _saved(rows: DataFrame) -> DataFrame:
+    return rows.select(F.round("hours_saved", 6).cast("decimal(12,6)").alias("hours_saved"), "gross_saving_paise", "expected_error_cost_paise")
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.report(_judged_otherwise(spark, d)).select("auto_match_rate", "review_rate", "unapplied_rate", F.col("auto_precision").alias("precision"))
+
+
+@query(RESOLVED + _OTHER + _ROI.replace("{p}", "own"), name="roi")
+def roi_case(spark, d):
+    return _saved(roi.outcome(_measured(spark, d), roi.Assumptions()))
+
+
+@query(RESOLVED + _OTHER + _ROI.replace("{p}", "1.0::DOUBLE, 0.99::DOUBLE, 0.97::DOUBLE, 0.95::DOUBLE, 0.90::DOUBLE"))
+def roi_sensitivity(spark, d):
+    return _saved(roi.sensitivity(_measured(spark, d), roi.Assumptions()))
+
+
 _PRECISION = "CAST(round(count(*) FILTER (decision = 'auto_applied' AND verdict IN ('correct', 'correctly_unapplied')) / count(*) FILTER (decision = 'auto_applied'), 6) AS DECIMAL(9,6))"
 
 
