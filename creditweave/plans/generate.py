@@ -1,4 +1,4 @@
-"""A seeded data set of any size: customers and invoices come from hashes of a range, everything else from sources.star.
+"""A seeded data set of any size: customers and invoices come from hashes of a range, payments and advice from plans.scenarios.
 
 The same seed gives the same rows on any cluster. Nothing is generated on the driver."""
 
@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators import ledger
+from ..operators import book, ledger
 from ..schemas import empty
+from ..session import settled
 from ..sources import star
 from ..store import Store
+from . import scenarios
+from .scenarios import apportion  # noqa: F401
 
 CITIES = ["PUNE", "MUMBAI", "DELHI", "CHENNAI", "KOLKATA", "HYDERABAD", "JAIPUR", "SURAT", "INDORE", "NAGPUR"]
 
@@ -29,16 +32,6 @@ class Generator:
             raise ValueError("there must be customers, and an invoice for each")
 
 
-def apportion(weights: dict[str, int], total: int) -> dict[str, int]:
-    """Counts in proportion to weights (percent) that sum to total: floors, then one more for the largest remainders, of equal
-    ones the name that sorts last."""
-    left = {k: total * w % 100 for k, w in weights.items()}
-    out = {k: total * w // 100 for k, w in weights.items()}
-    for k in sorted(left, key=lambda k: (left[k], k), reverse=True)[: max(0, total - sum(out.values()))]:
-        out[k] += 1
-    return out
-
-
 def scenario_counts(truth: DataFrame) -> DataFrame:
     """(scenario, n) of every scenario, also of those that no payment has."""
     names = truth.sparkSession.createDataFrame([(s,) for s, _ in star.SCENARIOS], "scenario string")
@@ -84,5 +77,9 @@ def tables(spark: SparkSession, g: Generator) -> dict[str, DataFrame]:
         F.date_add(F.lit("2025-07-01").cast("date"), (h("day") % 240).cast("int")).cast("timestamp").alias("o_orderdate"),
     )
     own = {"customer": customer, "nation": nation, "orders": orders}
-    built = {"customers": star.customers, "customer_aliases": star.aliases, "invoices": star.invoices, "bank_transactions": star.payments, "remittances": star.remittances, "ground_truth": star.truth}
-    return {name: make(spark, own) for name, make in built.items()}
+    named, spelt, invoices = star.customers(spark, own), star.aliases(spark, own), star.invoices(spark, own)
+    paid = settled(scenarios.amounts(scenarios.plan(book.open_items(invoices))), "paid")
+    return {
+        "customers": named, "customer_aliases": spelt.withColumn("source", F.lit("erp")), "invoices": invoices, "bank_transactions": scenarios.payments(paid, named, spelt),
+        "remittances": scenarios.advice(paid), "ground_truth": scenarios.truth(paid),
+    }

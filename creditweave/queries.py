@@ -12,7 +12,7 @@ from .config import DEFAULT, Search
 from .functions import money as M
 from .functions import text as T
 from .operators import book, identity, ledger, resolve, score, search, settle
-from .plans import cascade, evaluate, extract, generate, metrics, reports, roi
+from .plans import cascade, evaluate, extract, generate, metrics, reports, roi, scenarios
 from .session import ship
 from .sources import star, statements
 from .streaming import ingest
@@ -818,3 +818,51 @@ def extract_with_model(spark, d):
     read = extract.extract_with(star.remittances(spark, d), scripted_model)
     paid = F.when(F.col("method") == "llm", F.get("lines", F.lit(0))["paid_amount_paise"].cast("int"))
     return read.select("remittance_id", "method", "attempts", F.array_join("references", " ").alias("refs"), paid.alias("paid_paise"), "error")
+
+
+# --- payments planned for the open book: exact shares, disjoint runs of invoices
+
+_SHARES = f"unnest([{_list(list(scenarios.SCENARIOS))}]) AS name, unnest([{', '.join(map(str, scenarios.SCENARIOS.values()))}]) AS w, unnest(range({len(scenarios.SCENARIOS)})) AS k"
+_PLAN = DOMAIN + f""", in_row AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY invoice_date, invoice_number, invoice_id) AS place, count(*) OVER (PARTITION BY customer_id) AS n FROM items),
+bring AS (SELECT invoice_id AS payment_id, customer_id, n, place // 3 AS turn FROM in_row WHERE place % 3 = 0),
+counts AS (SELECT name, k, t * w // 100 + CASE WHEN row_number() OVER (ORDER BY t * w % 100 DESC, name DESC) <= t - sum(t * w // 100) OVER () THEN 1 ELSE 0 END AS c FROM (SELECT {_SHARES}), (SELECT count(*) AS t FROM bring)),
+cuts AS (SELECT name, sum(c) OVER (ORDER BY k) - c AS lo, sum(c) OVER (ORDER BY k) AS hi FROM counts),
+deal AS (SELECT *, row_number() OVER (ORDER BY md5(payment_id || ':deal'), payment_id) AS pl FROM bring),
+said AS (SELECT d.*, c.name AS scenario, CASE WHEN name = 'bundled_multi' THEN 2 ELSE 1 END AS need, CASE WHEN name = 'bundled_multi' THEN CAST('0x' || substr(md5(payment_id || ':size'), 1, 8) AS BIGINT) % 4 ELSE 0 END AS more FROM deal d JOIN cuts c ON d.pl > c.lo AND d.pl <= c.hi),
+spared AS (SELECT *, n - sum(need) OVER (PARTITION BY customer_id) AS spare, coalesce(sum(more) OVER (PARTITION BY customer_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given FROM said),
+wanted AS (SELECT *, CASE WHEN scenario = 'no_matching_invoice' THEN 0 ELSE need + greatest(0, least(more, spare - given)) END AS wants FROM spared),
+runs AS (SELECT *, coalesce(sum(wants) OVER (PARTITION BY customer_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS behind FROM wanted),
+taken AS (SELECT r.payment_id, list(i.invoice_number ORDER BY i.place) AS numbers, CAST(sum(i.open_amount_paise) AS BIGINT) AS open_paise FROM runs r JOIN in_row i ON i.customer_id = r.customer_id AND i.place > r.behind AND i.place <= r.behind + r.wants GROUP BY 1),
+planned AS (SELECT r.payment_id, r.customer_id, r.scenario, coalesce(t.numbers, []) AS numbers, coalesce(t.open_paise, 0) AS open_paise FROM runs r LEFT JOIN taken t USING (payment_id))"""
+
+
+def _planned(spark: SparkSession, d: str) -> DataFrame:
+    return scenarios.plan(_items(spark, d))
+
+
+@query(_PLAN + " SELECT payment_id, scenario, array_to_string(numbers, ' ') AS numbers FROM planned")
+def planned_payments(spark, d):
+    return _planned(spark, d).select("payment_id", "scenario", F.array_join(F.transform("invoices", lambda i: i["invoice_number"]), " ").alias("numbers"))
+
+
+@query(_PLAN + " SELECT scenario, count(*) AS payments, CAST(sum(len(numbers)) AS BIGINT) AS invoices, CAST(max(len(numbers)) AS INT) AS most, CAST((SELECT count(*) FROM (SELECT 1 FROM (SELECT unnest(numbers) AS x FROM planned) GROUP BY x HAVING count(*) > 1)) AS BIGINT) AS twice FROM planned GROUP BY 1")
+def exclusive_use(spark, d):
+    """How many invoices each scenario uses, and how many invoices any two payments share: none."""
+    planned = _planned(spark, d)
+    used = planned.select(F.explode("invoices.invoice_id").alias("x")).groupBy("x").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("twice"))
+    own = planned.groupBy("scenario").agg(F.count("*").alias("payments"), F.sum(F.size("invoices")).cast("bigint").alias("invoices"), F.max(F.size("invoices")).alias("most"))
+    return own.join(F.broadcast(used))  # one row
+
+
+_DRAW = "(CAST('0x' || substr(md5(payment_id || ':{salt}'), 1, 8) AS BIGINT) % {n})"
+_REASON_DRAW = _DRAW.format(salt="reason", n=100)
+_BELOW = [sum(list(scenarios.REASONS.values())[: i + 1]) for i in range(len(scenarios.REASONS))]
+_CLAIMED = f"""{_PLAN}, claimed AS (SELECT *, CASE WHEN scenario = 'short_pay_deduction' THEN greatest(0, least(greatest(5000, open_paise * (2 + {_DRAW.format(salt='claim', n=11)}) // 100 // 5000 * 5000), open_paise - 100)) ELSE 0 END AS claim_paise FROM planned)
+SELECT payment_id, CAST(claim_paise AS BIGINT) AS claim_paise, CASE WHEN claim_paise > 0 THEN (CASE {' '.join(f"WHEN {_REASON_DRAW} < {b} THEN '{r}'" for r, b in zip(scenarios.REASONS, _BELOW, strict=True))} END) END AS reason,
+  CAST(CASE scenario WHEN 'no_matching_invoice' THEN 800000 + {_DRAW.format(salt='stray', n=94_200_001)} WHEN 'partial_payment' THEN open_paise * (25 + {_DRAW.format(salt='part', n=61)}) // 100 ELSE open_paise - claim_paise END AS BIGINT) AS amount_paise FROM claimed"""
+
+
+@query(_CLAIMED)
+def planned_claims(spark, d):
+    """What each planned payment pays, holds back, and why."""
+    return scenarios.amounts(_planned(spark, d)).select("payment_id", "claim_paise", "reason", "amount_paise")
