@@ -866,3 +866,46 @@ SELECT payment_id, CAST(claim_paise AS BIGINT) AS claim_paise, CASE WHEN claim_p
 def planned_claims(spark, d):
     """What each planned payment pays, holds back, and why."""
     return scenarios.amounts(_planned(spark, d)).select("payment_id", "claim_paise", "reason", "amount_paise")
+
+
+# --- advice that names, conflicts, names nobody or does not reconcile
+
+_DOCS = DOMAIN + """, asked AS (SELECT k.*, CAST(substr(statement_ref, 4) AS BIGINT) AS id FROM known k),
+refs AS (SELECT statement_ref, id * 2 AS doc, id AS ref FROM asked WHERE id % 6 IN (0, 2, 4) UNION ALL SELECT statement_ref, id * 2 AS doc, id + 2 FROM asked WHERE id % 6 IN (1, 4)
+  UNION ALL SELECT statement_ref, id * 2 + 1, id FROM asked WHERE id % 6 IN (1, 4) UNION ALL SELECT statement_ref, id * 2, id + 100000000 FROM asked WHERE id % 6 = 3),
+read AS (SELECT statement_ref, doc, count(i.invoice_id) AS n, count(DISTINCT i.customer_id) AS owners, min(i.customer_id) AS owner, sum(i.open_amount_paise) AS total, list(i.open_amount_paise) AS opens, list(i.due_date) AS dues, list_sort(list(i.invoice_number)) AS numbers FROM refs r JOIN items i ON i.invoice_id = r.ref GROUP BY 1, 2),
+first_named AS (SELECT r.statement_ref, arg_min(owner, doc) AS named FROM read r JOIN asked a USING (statement_ref) WHERE a.customer_id IS NULL AND owners = 1 GROUP BY 1),
+mine AS (SELECT r.*, a.id, a.amount_paise, a.value_date, coalesce(a.customer_id, f.named) AS customer_id, CASE WHEN a.customer_id IS NULL THEN 'reference' ELSE a.method END AS method, total - a.amount_paise AS gap FROM read r JOIN asked a USING (statement_ref) LEFT JOIN first_named f USING (statement_ref)),
+borne AS (SELECT *, list_min(list_filter(opens, lambda o: o > gap)) AS bearer, list_max(list_transform(dues, lambda x: abs(value_date - x))) AS worst FROM mine WHERE owners = 1 AND owner = customer_id),
+fits AS (SELECT *, CASE WHEN abs(gap) <= 100 THEN 'exact' WHEN gap > 0 AND bearer IS NOT NULL AND gap <= 15000000 AND gap::DOUBLE / bearer::DOUBLE * 100 BETWEEN 0.5 AND 15 THEN 'short_pay' WHEN n = 1 AND gap > 100 THEN 'partial' END AS shape FROM borne),
+guided AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY statement_ref ORDER BY doc) AS rn FROM fits WHERE shape IS NOT NULL) WHERE rn = 1),
+sure AS (SELECT *, (0.34 + 0.26 * (CASE shape WHEN 'partial' THEN 0.7 WHEN 'short_pay' THEN 0.88 ELSE 1.0 END) + 0.18 * (CASE WHEN method = 'reference' THEN 0.9 ELSE 1.0 END) + 0.14 * (CASE WHEN id % 6 = 2 THEN 0.65 ELSE 1.0 END)
+  + 0.08 * (CASE WHEN worst <= 35 THEN 1.0 WHEN worst >= 200 THEN 0.0 ELSE 1.0 - (worst - 35) / 165.0 END)) * (CASE WHEN id % 6 = 2 THEN 0.92 ELSE 1.0 END) * (CASE WHEN n > 1 AND gap > 0 THEN 0.6 ELSE 1.0 END) * (CASE WHEN gap < 0 THEN 0.85 ELSE 1.0 END) AS c FROM guided)
+SELECT statement_ref, array_to_string(numbers, ' ') AS numbers, shape, method, CASE WHEN gap > 0 AND shape <> 'partial' THEN (CASE id % 6 WHEN 0 THEN 'pricing' WHEN 2 THEN 'freight' ELSE 'unknown' END) END AS reason, CAST(round(c, 6) AS DECIMAL(9,6)) AS confidence,
+  CASE WHEN round(c, 9) >= 0.9 THEN 'auto_applied' WHEN round(c, 9) >= 0.45 THEN 'needs_review' ELSE 'unapplied' END AS decision FROM sure"""
+
+
+def _advice_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Advice by payment: its own invoice, with a claim; another customer's first; its own, unreconciled; one that nobody has; its own beside
+    another's, then alone; none."""
+    p = star.payments(spark, d).select("statement_ref", F.expr("cast(substring(statement_ref, 4) as bigint)").alias("id"))
+    k, own, other = F.col("id") % 6, F.col("id"), F.col("id") + 2
+    first = F.when(k.isin(0, 2), F.array(own)).when(k == 1, F.array(other)).when(k == 3, F.array(own + 100_000_000)).when(k == 4, F.array(own, other))
+    docs = F.array(F.struct((own * 2).alias("remittance_id"), first.alias("ids")), F.struct((own * 2 + 1).alias("remittance_id"), F.when(k.isin(1, 4), F.array(own)).alias("ids")))
+    p = p.select("statement_ref", "id", F.explode(docs).alias("doc")).where("doc.ids is not null").select("statement_ref", "id", "doc.*")
+    named = lambda i: F.concat(F.lit("INV"), i.cast("string"))
+    none = F.lit(None).cast("bigint")
+    claim = F.when(k == 0, 100).otherwise(0).cast("bigint")
+    line = lambda i: F.struct(named(i).alias("invoice_reference"), named(i).alias("normalized_reference"), none.alias("gross_amount_paise"), none.alias("paid_amount_paise"), claim.alias("deduction_amount_paise"), F.when(k == 0, "pricing").alias("deduction_reason"), F.lit(None).cast("string").alias("deduction_note"))
+    return p.select("remittance_id", "statement_ref", F.lit("mock").alias("method"), (k != 2).alias("reconciled"), F.transform("ids", named).alias("references"), F.transform("ids", line).cast(f"array<{extract.LINE}>").alias("lines"), F.when(k == 0, "promo").when(k == 2, "freight").alias("claimed_reason"))
+
+
+@query(_DOCS)
+def cascade_by_advice(spark, d):
+    """What advice settles, its reasons, and how sure that is."""
+    out = cascade.match(star.payments(spark, d), _items(spark, d), book.names(star.customers(spark, d)), book.alias_names(star.aliases(spark, d)), _advice_cases(spark, d), DEFAULT, fuzzy=False)
+    out = score.score(out.where("strategy = 'remittance_guided'"), DEFAULT.scoring)
+    first = F.get("candidates", F.lit(0))
+    numbers = F.array_sort(F.transform(first["allocations"], lambda a: a["invoice_number"]))
+    reason = F.get(F.filter(first["allocations"], lambda a: a["deduction"] > 0), F.lit(0))["reason"]
+    return out.select("statement_ref", F.array_join(numbers, " ").alias("numbers"), first["shape"].alias("shape"), "method", reason.alias("reason"), F.round("confidence", 6).cast("decimal(9,6)").alias("confidence"), "decision")
