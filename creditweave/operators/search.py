@@ -13,7 +13,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Search
@@ -86,6 +86,36 @@ def search(amounts: Column, low: Column, high: Column, cfg: Search) -> Column:
     return run(amounts, low, high)
 
 
+class FindSets:
+    """The search as a table function: find_sets(TABLE(...) PARTITION BY statement_ref) over the items of payments' pools.
+
+    Its table has statement_ref, amount_paise, invoice_number and open_amount_paise, in any order of rows; a partition is one payment's
+    pool, of max_pool items at most. Gives each set with its place in the order of the search."""
+
+    cfg, tolerance = Search(), 100
+
+    def __init__(self) -> None:
+        self.pool: list[tuple[int, str]] = []
+        self.ref, self.amount = None, 0
+
+    def eval(self, row: Row) -> None:
+        self.ref, self.amount = row["statement_ref"], row["amount_paise"]
+        self.pool.append((-row["open_amount_paise"], row["invoice_number"]))
+
+    def terminate(self) -> Iterator[tuple[str, int, str, int]]:
+        self.pool.sort()
+        opens = [-o for o, _ in self.pool]
+        found = find_sets(opens, self.amount - self.tolerance, self.amount + self.tolerance, self.cfg)[0] if self.cfg.enabled else []
+        for place, s in enumerate(found, 1):
+            yield self.ref, place, " ".join(sorted(self.pool[i][1] for i in s)), sum(opens[i] for i in s)
+
+
+def register(spark: SparkSession, cfg: Search, tolerance: int, name: str = "find_sets") -> None:
+    """Makes the search known to SQL under this name."""
+    kind = type("FindSets", (FindSets,), {"cfg": cfg, "tolerance": tolerance})
+    spark.udtf.register(name, F.udtf(kind, returnType="statement_ref string, place int, numbers string, total_paise bigint"))
+
+
 def search_space(n: Column, max_size: int) -> Column:
     """Number of sets of 1 to max_size of n items (n up to 60)."""
     table = F.array(*(F.lit(sum(comb(k, i) for i in range(1, max_size + 1))).cast("bigint") for k in range(61)))

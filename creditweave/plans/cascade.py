@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Matching
 from ..functions import text as T
 from ..operators import book, resolve, settle
-from ..operators.identity import identify
+from ..operators.identity import identify, similar_names
 from ..operators.search import search
 from ..session import discard, settled
 
@@ -152,6 +152,32 @@ def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: Data
     return out
 
 
+def touched(payments: DataFrame, names: DataFrame, aliases: DataFrame, learned: DataFrame, cfg: Matching = DEFAULT, fuzzy: bool = True) -> DataFrame:
+    """The payments whose identity may change with learned aliases (customer_id, normalized_alias).
+
+    A payer that is a name or an alias already stays what it is. Of the others, those change that the new alias spells, and with `fuzzy` those
+    that come near enough to one to be matched by it, or to have it as a rival: only payers left over meet only new aliases."""
+    payers = payments.select(F.col("payer_name_normalized").alias("payer")).where("payer <> ''").distinct()
+    left = payers.join(names.select(F.col("normalized_name").alias("payer")), "payer", "left_anti").join(aliases.select(F.col("normalized_alias").alias("payer")), "payer", "left_anti")
+    spelt = left.join(learned.select(F.col("normalized_alias").alias("payer")), "payer", "left_semi")
+    if fuzzy:
+        near = similar_names(left, names.limit(0), learned.select("normalized_alias", "customer_id"), cfg.identification)
+        spelt = spelt.unionByName(near.where("matched_on is not null").select("payer")).distinct()
+    return payments.join(spelt.select(F.col("payer").alias("payer_name_normalized")), "payer_name_normalized", "left_semi")
+
+
+def rematch(outcomes: DataFrame, payments: DataFrame, items: DataFrame, names: DataFrame, aliases: DataFrame, learned: DataFrame, advice: DataFrame | None = None, cfg: Matching = DEFAULT, fuzzy: bool = True) -> DataFrame:
+    """outcomes as match() would give them with the learned aliases as well: only payments that these touch are matched again.
+
+    outcomes come from match() with these payments, items, names, aliases and advice. `again` tells which rows are new."""
+    again = settled(touched(payments, names, aliases, learned, cfg, fuzzy), "touched")
+    ref = again.select("statement_ref")
+    both = aliases.select("normalized_alias", "customer_id").unionByName(learned.select("normalized_alias", "customer_id"))
+    new = match(again, items, names, both, None if advice is None else advice.join(ref, "statement_ref", "left_semi"), cfg, fuzzy)
+    old = outcomes.join(ref, "statement_ref", "left_anti")
+    return old.withColumn("again", F.lit(False)).unionByName(new.withColumn("again", F.lit(True)))
+
+
 def _trail(cfg: Matching) -> Column:
     """What was tried, in order, and whether it fired; steps that were not reached are absent."""
     refs = F.transform("references", lambda t: t["normalized"])

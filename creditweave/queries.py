@@ -15,6 +15,7 @@ from .operators import book, identity, ledger, resolve, score, search, settle
 from .plans import cascade, evaluate, extract, generate, metrics, reports, roi, scenarios
 from .session import ship
 from .sources import star, statements
+from .streaming import advice as late_advice
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,6 +303,14 @@ def subset_triples(spark, d):
     return _sets(spark, d, a - 200_000, a + 200_000, Search(True, 2, 3, 1000, 400_000))
 
 
+@query(_POOL.replace("{cap}", "45") + _PAIRS.replace("{tolerance}", "100"))
+def subset_pairs_sql(spark, d):
+    """The search as a table function in SQL, a partition a payment."""
+    search.register(spark, Search(True, 2, 2, 1000, 400_000), 100, "find_pairs")
+    _pool(spark, d).select("statement_ref", "amount_paise", "invoice_number", "open_amount_paise").createOrReplaceTempView("payment_pools")
+    return spark.sql("SELECT statement_ref, numbers, total_paise FROM find_pairs(TABLE(payment_pools) PARTITION BY statement_ref)")
+
+
 @query()
 def subset_sum_full(spark, d):
     a = F.col("amount_paise")
@@ -909,3 +918,24 @@ def cascade_by_advice(spark, d):
     numbers = F.array_sort(F.transform(first["allocations"], lambda a: a["invoice_number"]))
     reason = F.get(F.filter(first["allocations"], lambda a: a["deduction"] > 0), F.lit(0))["reason"]
     return out.select("statement_ref", F.array_join(numbers, " ").alias("numbers"), first["shape"].alias("shape"), "method", reason.alias("reason"), F.round("confidence", 6).cast("decimal(9,6)").alias("confidence"), "decision")
+
+
+@query(_DOCS.split(",\nread AS", 1)[0] + """ SELECT a.statement_ref, count(r.doc) AS documents FROM asked a LEFT JOIN (SELECT DISTINCT statement_ref, doc FROM refs WHERE doc % 9 BETWEEN 2 AND 7) r USING (statement_ref) GROUP BY 1""")
+def held_credits(spark, d):
+    """Credits with the advice that came from two days before them to three days after, some of it four days off."""
+    pay = star.payments(spark, d)
+    advice = _advice_cases(spark, d).join(pay.select("statement_ref", "value_date"), "statement_ref")
+    advice = advice.withColumn("received_at", F.date_add("value_date", F.expr("cast(remittance_id % 9 - 4 as int)")).cast("timestamp"))
+    held = late_advice.hold(pay.select("statement_ref", "amount_paise", "value_date", "payer_name_normalized", "normalized_narration"), advice.drop("value_date"))
+    return held.select("statement_ref", F.size("documents").cast("bigint").alias("documents"))
+
+
+@query(RESOLVED + """, learned AS (SELECT payer_name_normalized AS alias, min(c.customer_id) AS owner FROM known k JOIN paid p ON k.statement_ref = 'UTR' || lpad(CAST(p.invoice_id AS VARCHAR), 12, '0') JOIN customers c ON c.customer_id = p.customer_id WHERE k.method = 'none' AND payer_name_normalized <> '' AND p.customer_id % 2 = 0 GROUP BY 1)
+SELECT k.statement_ref, l.alias IS NOT NULL AS again, CASE WHEN k.method <> 'none' THEN k.method WHEN l.alias IS NOT NULL THEN 'alias' WHEN s.owners = 1 THEN 'reference' ELSE 'none' END AS method, coalesce(k.customer_id, l.owner, CASE WHEN s.owners = 1 THEN s.owner END) AS customer_id
+FROM known k LEFT JOIN learned l ON l.alias = k.payer_name_normalized AND k.method = 'none' LEFT JOIN sets s USING (statement_ref)""")
+def rematch_learned(spark, d):
+    """Half of the unknown payers become aliases; only their payments are matched again."""
+    pay, names, aliases = star.payments(spark, d), book.names(star.customers(spark, d)), book.alias_names(star.aliases(spark, d))
+    reviewed = pay.select("statement_ref", "payer_name_normalized").join(star.truth(spark, d).where("customer_id % 2 = 0").select("statement_ref", "customer_id"), "statement_ref")
+    out = cascade.rematch(_plain(spark, d), pay, _items(spark, d), names, aliases, ledger.learn_aliases(reviewed, names, aliases), fuzzy=False)
+    return out.select("statement_ref", "again", "method", "customer_id")

@@ -180,3 +180,16 @@ def test_advice_layouts(spark):
 def test_config_is_strict():
     with pytest.raises((ValueError, TypeError)):
         dataclasses.replace(DEFAULT.scoring, auto_apply=0.1, review_floor=0.5)
+
+
+def test_only_what_a_new_alias_touches_is_matched_again(spark):
+    payers = ["abc traders", "abc trdrs", "zenith fds", "zenith fd", "zenith foods", "konark stores puna", "nobody at all", ""]
+    inv, pay, names, al = make(spark, [(42, 1, 100), (43, 2, 200), (44, 3, 300)], [(k + 1, p, "NEFT") for k, p in enumerate(payers)] + [(200, "zenith fds", "cash"), (300, "konark stores puna", "cash")], customers=((1, "abc traders"), (2, "zenith foods"), (3, "konark stores pune")))
+    items = book.open_items(inv)
+    old = cascade.match(pay, items, names, al)
+    learned = spark.createDataFrame([(2, "zenith fds", "learned"), (3, "konark stores puna branch", "learned")], "customer_id long, normalized_alias string, source string")
+    got = cascade.rematch(old, pay, items, names, al, learned)
+    both = al.unionByName(learned.select("normalized_alias", "customer_id"))
+    whole = cascade.match(pay, items, names, both)
+    assert got.drop("again").select(whole.columns).withColumn("trail", F.to_json("trail")).exceptAll(whole.withColumn("trail", F.to_json("trail"))).count() == 0 and got.count() == whole.count()
+    assert {r["statement_ref"] for r in got.where("again").collect()} == {"U2", "U3", "U5", "U8", "U9"}  # spelt so, near to it, or with it as a rival
