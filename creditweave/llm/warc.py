@@ -10,20 +10,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, new_folder
 
 SKIPPABLE_MAP, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 128 << 20
-FRAMES_A_TASK, MOST_TASKS = 64, 10_000
+FRAMES_A_TASK = 64
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -64,8 +65,16 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http), payload
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """folder with its scheme: one without belongs to the default file system, for executors as for Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", found)
+
+
 def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    """The file system of a folder that names its scheme."""
+    return pyarrow.fs.FileSystem.from_uri(folder)
 
 
 class Bundle:
@@ -144,7 +153,7 @@ def write_archives(pages: DataFrame, least: int = 0, folder: str | None = None)
     and is kept as null. The folder is new unless given, inside spark.checkpoint.dir; a task that runs again writes new
     bundles, and only those of the attempt that Spark kept are listed. A bundle's map has the records' WARC-Record-IDs; rows that
     repeat page_id and payload in several bundles have one identifier in each."""
-    folder = folder or new_folder(pages.sparkSession, "warc")
+    folder = _qualified(pages.sparkSession, folder or new_folder(pages.sparkSession, "warc"))
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("_sha", F.sha1(F.col("html").cast("binary"))).withColumn("_size", F.octet_length("html").cast("bigint"))
     last = base.where(F.col("_size") >= least).groupBy("_sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
@@ -198,6 +207,6 @@ def read_archives(folder: str, frames: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    tasks = min(MOST_TASKS, max(1, -(-frames.count() // FRAMES_A_TASK)))
+    tasks = max(1, -(-frames.count() // FRAMES_A_TASK))
     dealt = frames.repartition(tasks, "bundle", F.expr(f"frame div {FRAMES_A_TASK}")).sortWithinPartitions("bundle", "frame")
     return dealt.mapInArrow(read, RECORD)
