@@ -939,3 +939,59 @@ def rematch_learned(spark, d):
     reviewed = pay.select("statement_ref", "payer_name_normalized").join(star.truth(spark, d).where("customer_id % 2 = 0").select("statement_ref", "customer_id"), "statement_ref")
     out = cascade.rematch(_plain(spark, d), pay, _items(spark, d), names, aliases, ledger.learn_aliases(reviewed, names, aliases), fuzzy=False)
     return out.select("statement_ref", "again", "method", "customer_id")
+
+
+# --- reviews that reassign, summaries
+
+_ASK = f"""{_DOUBT}, asked AS (SELECT d.*, CAST(substr(statement_ref, 4) AS BIGINT) % 6 AS k, i.open_amount_paise AS first_open FROM decided d JOIN items i ON i.invoice_number = d.numbers[1] WHERE decision = 'needs_review'),
+said AS (SELECT *, CASE WHEN k = 1 THEN 'no such invoice' WHEN k = 2 THEN 'an invoice is named twice' WHEN k = 3 THEN 'an amount must be above 0' WHEN k = 4 THEN 'more than the invoice has open' WHEN k = 5 THEN 'no invoice is named' WHEN amount_paise < 100 THEN 'more than was received' END AS error FROM asked)
+SELECT statement_ref, CASE WHEN error IS NULL THEN 'manually_applied' ELSE 'needs_review' END AS decision, CASE WHEN error IS NULL THEN 'manual' ELSE 'reference_exact' END AS strategy, CAST(CASE WHEN error IS NULL THEN 100 ELSE {_PLACED} END AS BIGINT) AS matched_amount_paise, error, CASE WHEN error IS NULL THEN numbers[1] ELSE array_to_string(numbers, ' ') END AS numbers FROM said"""
+
+
+@query(_ASK)
+def review_reassigned(spark, d):
+    """Doubtful results reassigned to one rupee of their first invoice, and five ways in which that is refused."""
+    results, allocations = ledger.decisions(_doubtful(spark, d).where("decision = 'needs_review'"))
+    invoices, payments = star.invoices(spark, d), star.payments(spark, d)
+    k = F.expr("cast(substring(statement_ref, 4) as bigint) % 6")
+    first = allocations.groupBy("statement_ref").agg(F.min("invoice_number").alias("invoice_number")).join(invoices.select("invoice_number", "open_amount_paise"), "invoice_number")
+    amount = F.when(k == 3, 0).when(k == 4, F.col("open_amount_paise") + 1).otherwise(100).cast("bigint")
+    lines = first.where(k != 5).select("statement_ref", F.when(k == 1, "INV-none").otherwise(F.col("invoice_number")).alias("invoice_number"), amount.alias("allocated_amount_paise"))
+    lines = lines.unionByName(lines.where(k == 2))
+    actions = results.select("statement_ref", F.lit("reassign").alias("action"), F.lit("reviewer").alias("reviewer"), F.lit("").alias("note"), F.lit("2026-01-02").cast("timestamp").alias("at"))
+    after, placed, errors = ledger.apply_reviews(results, allocations, actions, lines, invoices, payments)
+    numbers = placed.groupBy("statement_ref").agg(F.array_join(F.array_sort(F.collect_list("invoice_number")), " ").alias("numbers"))
+    return after.join(errors.select("statement_ref", "error"), "statement_ref", "left").join(numbers, "statement_ref", "left").select("statement_ref", "decision", "strategy", "matched_amount_paise", "error", "numbers")
+
+
+@query(_WALK + """, whole AS (SELECT k.statement_ref, k.method, k.customer_id, CASE WHEN h.statement_ref IS NOT NULL THEN 'amount_exact' WHEN t.statement_ref IS NOT NULL THEN 'subset_sum' WHEN s.statement_ref IS NOT NULL THEN 'short_pay' ELSE 'none' END AS strategy,
+  CASE WHEN h.statement_ref IS NOT NULL THEN h.n WHEN t.statement_ref IS NOT NULL THEN t.n ELSE coalesce(s.n, 0) END AS readings, coalesce(p.n, 0) AS pool FROM known k LEFT JOIN hits h USING (statement_ref)
+  LEFT JOIN (SELECT statement_ref, count(*) AS n FROM tied WHERE rn <= 5 GROUP BY 1) t USING (statement_ref) LEFT JOIN (SELECT statement_ref, count(*) AS n FROM short GROUP BY 1) s USING (statement_ref) LEFT JOIN (SELECT statement_ref, count(*) AS n FROM pool GROUP BY 1) p USING (statement_ref))
+SELECT strategy, method, count(*) AS n, count(*) FILTER (readings > 1) AS ambiguous, CAST(max(pool) AS INT) AS largest_pool FROM whole GROUP BY 1, 2""")
+def match_summary_by_amount(spark, d):
+    """Payments by strategy and identification where amounts alone decide, ties among them and the largest pool."""
+    return metrics.match_summary(_mute(spark, d)).select("strategy", "method", "n", "ambiguous", "largest_pool")
+
+
+@query(_ADVICE + """, told AS (SELECT *, CASE WHEN layout = 0 THEN 0 WHEN layout IN (1, 2) THEN abs(open_amount_paise - claim_paise + (CASE WHEN scenario = 'bundled_multi' THEN next_open ELSE 0 END) - amount_paise) ELSE abs((CASE WHEN scenario = 'bundled_multi' THEN next_open ELSE 0 END)) END AS g FROM adv)
+SELECT 'mock' AS method, count(*) AS documents, count(*) AS with_lines, count(*) FILTER (g <= 100) AS ties, count(*) FILTER (g > 100) AS does_not_tie, CAST(0 AS BIGINT) AS not_checked, CAST(round(count(*) FILTER (g <= 100) / count(*), 6) AS DECIMAL(9,6)) AS reconciled_rate FROM told""")
+def extraction_counts(spark, d):
+    """Documents by how they reconcile."""
+    s = extract.summary(extract.extract(star.remittances(spark, d)))
+    return s.select("method", "documents", "with_lines", "ties", "does_not_tie", "not_checked", F.round("reconciled_rate", 6).cast("decimal(9,6)").alias("reconciled_rate"))
+
+
+@query(_WALK + """, given AS (SELECT k.statement_ref, k.method, k.value_date, CASE WHEN h.statement_ref IS NOT NULL THEN 'amount_exact' WHEN t.statement_ref IS NOT NULL THEN 'subset_sum' WHEN s.statement_ref IS NOT NULL THEN 'short_pay' END AS strategy,
+  CASE WHEN h.statement_ref IS NOT NULL THEN h.n WHEN t.statement_ref IS NOT NULL THEN t.n ELSE s.n END AS readings, CASE WHEN h.statement_ref IS NOT NULL THEN [h.first_number] WHEN t.statement_ref IS NOT NULL THEN t.nums ELSE s.nums END AS nums,
+  CASE WHEN h.statement_ref IS NOT NULL THEN i.open_amount_paise - k.amount_paise WHEN t.statement_ref IS NOT NULL THEN t.gap ELSE s.gap END AS gap
+  FROM known k LEFT JOIN hits h USING (statement_ref) LEFT JOIN items i ON i.invoice_number = h.first_number
+  LEFT JOIN (SELECT statement_ref, count(*) AS n, arg_min(nums, rn) AS nums, arg_min(t - amount_paise, rn) AS gap FROM tied WHERE rn <= 5 GROUP BY 1) t USING (statement_ref)
+  LEFT JOIN (SELECT statement_ref, count(*) AS n, arg_min(nums, pl) AS nums, arg_min(gap, pl) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY statement_ref ORDER BY t, list_sort(nums)) AS pl FROM short) GROUP BY 1) s USING (statement_ref)),
+dated AS (SELECT g.statement_ref, any_value(method) AS method, any_value(strategy) AS strategy, any_value(readings) AS readings, any_value(gap) AS gap, count(*) AS n, max(abs(g.value_date - i.due_date)) AS worst FROM (SELECT *, unnest(nums) AS num FROM given WHERE strategy IS NOT NULL) g JOIN items i ON i.invoice_number = g.num GROUP BY 1),
+weighed AS (SELECT *, round((0.26 * (CASE strategy WHEN 'amount_exact' THEN 1.0 WHEN 'subset_sum' THEN 0.8 ELSE 0.55 END) + 0.18 + 0.08 * (CASE WHEN worst <= 35 THEN 1.0 WHEN worst >= 200 THEN 0.0 ELSE 1.0 - (worst - 35) / 165.0 END)) / 0.86, 12)
+  * (CASE WHEN readings > 1 THEN 0.55 ELSE 1.0 END) * (CASE WHEN n > 1 AND gap > 0 THEN 0.6 ELSE 1.0 END) * (CASE WHEN gap < 0 THEN 0.85 ELSE 1.0 END) AS c FROM dated)
+SELECT statement_ref, strategy, CAST(round(c, 6) AS DECIMAL(9,6)) AS confidence, concat_ws(' ', CASE WHEN readings > 1 THEN 'ambiguous' END, CASE WHEN n > 1 AND gap > 0 THEN 'guessed_claim_bearer' END, CASE WHEN gap < 0 THEN 'residual_cash' END) AS penalties FROM weighed""")
+def confidence_by_amount(spark, d):
+    """How sure amounts alone are: ties, guessed bearers and cash that is left all cost."""
+    out = score.score(_mute(spark, d).where("strategy <> 'none'"), DEFAULT.scoring)
+    return out.select("statement_ref", "strategy", F.round("confidence", 6).cast("decimal(9,6)").alias("confidence"), F.array_join(F.transform("penalties", lambda p: p["name"]), " ").alias("penalties"))
