@@ -101,8 +101,8 @@ def review_queue(results: DataFrame, payments: DataFrame, allocations: DataFrame
     def deducted(df: DataFrame) -> DataFrame:
         if has_deduction is None or allocations is None:
             return df
-        some = allocations.where("deduction_amount_paise > 0").select("statement_ref").distinct()
-        return df.join(some, "statement_ref", "left_semi" if has_deduction else "left_anti")
+        some = allocations.where("deduction_amount_paise > 0").select("result_id").distinct()
+        return df.join(some, "result_id", "left_semi" if has_deduction else "left_anti")
 
     order = [F.desc("value_date"), F.desc("statement_ref")]
     if legacy_paging:
@@ -114,8 +114,8 @@ def review_queue(results: DataFrame, payments: DataFrame, allocations: DataFrame
 def result_detail(results: DataFrame, payments: DataFrame, allocations: DataFrame, invoices: DataFrame, customers: DataFrame, advice: DataFrame | None = None) -> DataFrame:
     """Each result with its payment, its allocations (invoice and customer inside) and the first linked advice's text."""
     own = allocations.join(invoices.select("invoice_id", "customer_id", "due_date", F.col("amount_paise").alias("invoice_paise")), "invoice_id", "left").join(customers.select("customer_id", "legal_name"), "customer_id", "left")
-    own = own.groupBy("statement_ref").agg(F.array_sort(F.collect_list(F.struct("invoice_number", "allocated_amount_paise", "deduction_amount_paise", "deduction_reason", "due_date", "invoice_paise", "legal_name"))).alias("allocations"))
-    out = results.join(payments.drop("status"), "statement_ref").join(own, "statement_ref", "left")
+    own = own.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct("invoice_number", "allocated_amount_paise", "deduction_amount_paise", "deduction_reason", "due_date", "invoice_paise", "legal_name"))).alias("allocations"))
+    out = results.join(payments.drop("status"), "statement_ref").join(own, "result_id", "left")
     if advice is not None:
         text = advice.where("statement_ref is not null").groupBy("statement_ref").agg(F.min_by("raw_text", "remittance_id").alias("advice_text"))
         out = out.join(text, "statement_ref", "left")

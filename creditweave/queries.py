@@ -995,3 +995,46 @@ def confidence_by_amount(spark, d):
     """How sure amounts alone are: ties, guessed bearers and cash that is left all cost."""
     out = score.score(_mute(spark, d).where("strategy <> 'none'"), DEFAULT.scoring)
     return out.select("statement_ref", "strategy", F.round("confidence", 6).cast("decimal(9,6)").alias("confidence"), F.array_join(F.transform("penalties", lambda p: p["name"]), " ").alias("penalties"))
+
+
+# --- the wire: one result with all that belongs to it, the queue's filters, which text is read
+
+
+@query(RESOLVED + ", documents_of AS (SELECT 'UTR' || lpad(CAST(invoice_id AS VARCHAR), 12, '0') AS statement_ref FROM paid WHERE scenario <> 'no_matching_invoice' AND invoice_id % 20 < 11 AND invoice_id % 7 <> 0)" + f"""
+SELECT d.statement_ref, d.decision, p.payer_name_raw, array_to_string(numbers, ' ') AS numbers, c.legal_name, CAST(n AS INT) AS lines, CAST({_PLACED.replace('amount_paise', 'd.amount_paise')} AS BIGINT) AS placed_paise, x.statement_ref IS NOT NULL AS has_advice
+FROM decided d JOIN payments p USING (statement_ref) JOIN customers c ON c.customer_id = d.owner LEFT JOIN documents_of x USING (statement_ref)""")
+def result_details(spark, d):
+    """Each result with its payment, its invoices and their customer, and whether advice is linked to it."""
+    results, allocations = ledger.decisions(_by_reference(spark, d))
+    out = metrics.result_detail(results, star.payments(spark, d), allocations, star.invoices(spark, d), star.customers(spark, d), star.remittances(spark, d))
+    first = F.get("allocations", F.lit(0))
+    placed = F.aggregate("allocations", F.lit(0).cast("bigint"), lambda t, a: t + a["allocated_amount_paise"])
+    numbers = F.array_join(F.transform("allocations", lambda a: a["invoice_number"]), " ")
+    return out.select("statement_ref", "decision", "payer_name_raw", numbers.alias("numbers"), first["legal_name"].alias("legal_name"), F.size("allocations").alias("lines"), placed.alias("placed_paise"), F.col("advice_text").isNotNull().alias("has_advice"))
+
+
+_DEDUCTED = "(shape <> 'partial' AND gap > 0)"
+
+
+@query(RESOLVED + f""", page AS (SELECT d.statement_ref, d.value_date, {_DEDUCTED} AS cut FROM decided d JOIN payments p USING (statement_ref) WHERE decision = 'auto_applied' AND round(c, 4) BETWEEN 0.9 AND 0.9999 AND (contains(lower(payer_name_raw), 'traders') OR contains(lower(narration), 'traders') OR contains(lower(statement_ref), 'traders')))
+SELECT 'narrowed' AS paging, statement_ref, (SELECT count(*) FROM page WHERE cut) AS total FROM (SELECT * FROM page WHERE cut ORDER BY value_date DESC, statement_ref DESC LIMIT 30) UNION ALL
+SELECT 'legacy', statement_ref, (SELECT count(*) FROM page) FROM (SELECT * FROM page ORDER BY value_date DESC, statement_ref DESC LIMIT 30) WHERE cut""")
+def queue_filters(spark, d):
+    """The queue narrowed by decision, confidence, text and deduction; beside it the older paging, which looks for deductions on the page alone."""
+    results, allocations = ledger.decisions(_by_reference(spark, d))
+    ask = {"decision": "auto_applied", "least": 0.9, "most": 0.9999, "text": "Traders", "has_deduction": True, "limit": 30}
+    out = None
+    for name, legacy in (("narrowed", False), ("legacy", True)):
+        page, total = metrics.review_queue(results, star.payments(spark, d), allocations, legacy_paging=legacy, **ask)
+        one = page.join(F.broadcast(total)).select(F.lit(name).alias("paging"), "statement_ref", "total")  # total is one row
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(_ADVICE + " SELECT invoice_id AS remittance_id, CASE WHEN invoice_id % 3 = 0 THEN 'INV' || (invoice_id + 1) WHEN invoice_id % 3 = 1 AND invoice_id % 2 = 0 THEN '' ELSE 'stored' END AS said FROM adv")
+def advice_text_preferred(spark, d):
+    """Which text of a document is read: its file's, else the stored one, else none."""
+    k = F.col("remittance_id")
+    stored = star.remittances(spark, d).withColumn("raw_text", F.when((k % 3 == 1) & (k % 2 == 0), F.lit(None)).otherwise("stored").cast("string"))
+    files = star.remittances(spark, d).where("remittance_id % 3 <> 2").select("source_filename", F.when(k % 3 == 0, F.concat(F.lit("INV"), (k + 1).cast("string"))).otherwise("  ").alias("raw_text"))
+    return statements.with_text(stored, files).select("remittance_id", F.col("raw_text").alias("said"))

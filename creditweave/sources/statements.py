@@ -92,3 +92,12 @@ def read_advice(spark: SparkSession, path: str) -> DataFrame:
     out = files.select(F.element_at(F.split("path", "/"), -1).alias("source_filename"), F.when(F.lower("path").endswith(".pdf"), "pdf").otherwise("email").alias("source_type"), F.col("modificationTime").alias("received_at"), text.alias("raw_text"), F.col("length").alias("size"))
     error = F.when(F.col("size") > MAX_BYTES, "larger than 16 MB").when(F.trim(F.coalesce("raw_text", F.lit(""))) == "", "no text")
     return out.withColumn("statement_ref", F.lit(None).cast("string")).withColumn("error", error)
+
+
+def with_text(remittances: DataFrame, files: DataFrame) -> DataFrame:
+    """remittances with the text to read: that of the file of their source_filename, where one has any, else the stored raw_text, else
+    an empty one. files have source_filename and raw_text (as read_advice gives, or from any extractor of PDF text); of several files of a
+    name the one with the largest text counts."""
+    known = files.where(F.trim(F.coalesce("raw_text", F.lit(""))) != "").groupBy("source_filename").agg(F.max("raw_text").alias("_text"))
+    out = remittances.join(known, "source_filename", "left")
+    return out.withColumn("raw_text", F.coalesce("_text", "raw_text", F.lit(""))).select(*remittances.columns)
