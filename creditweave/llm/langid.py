@@ -81,11 +81,13 @@ class LanguageFilter:
         return best, np.clip(share, 0, 1)
 
 
-def train(docs: DataFrame, sample: int = 12_000, grams_a_language: int = 60_000, least: int = 3, lead: float = 0.2, log_slots: int = 20) -> LanguageFilter:
+def train(docs: DataFrame, sample: int = 12_000, least: int = 5, grams_a_language: int = 1_000_000, log_slots: int = 22) -> LanguageFilter:
     """Learns from text and lang of the documents whose crc32(doc_id) mod 4 is not 2: a hash sample of about `sample`.
 
-    A language keeps its `grams_a_language` commonest n-grams seen `least` times or more, and at least `lead` times as
-    frequent in it as in any language. So the filter is bounded, whatever the corpus. Nulls are left out."""
+    Every n-gram that a language has `least` times or more in the sample is in its filter, whatever other languages have it too:
+    popcounts decide. The filter has about eight slots for each n-gram of the largest language, 2**log_slots at most; its false positives
+    are known and corrected. A sample of very long texts could have more than `grams_a_language` of them: then the commonest count. Nulls
+    are left out."""
     known = bounded(docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2)), "doc_id", sample)
 
     def count(batches):
@@ -100,13 +102,13 @@ def train(docs: DataFrame, sample: int = 12_000, grams_a_language: int = 60_000,
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "g", "n"])
 
     seen = known.select("text", "lang").mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    ranked = seen.withColumn("share", share).where(F.col("n") >= least).withColumn("most", F.max("share").over(Window.partitionBy("g")))
-    ranked = ranked.where(F.col("share") >= lead * F.col("most")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g")))
+    ranked = seen.where(F.col("n") >= least).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g")))
     rows = ranked.where(F.col("k") <= grams_a_language).select("lang", "g").toPandas()
     languages = sorted(set(rows["lang"]))
     some = len(languages)
     kind, width = (np.uint8, 1) if some <= 8 else (np.uint64, -(-some // 64))
+    largest = int(rows.groupby("lang").size().max()) if some else 0
+    log_slots = min(log_slots, max(10, (8 * largest).bit_length()))
     slots = np.zeros((1 << log_slots, width), kind)
     top, bits = np.uint64(64 - log_slots), np.dtype(kind).itemsize * 8
     for i, lang in enumerate(languages):

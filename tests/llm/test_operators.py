@@ -711,6 +711,20 @@ def test_jaccard_names_that_clash(spark, docs, rows):
     assert got == brute_jaccard(rows, 4, 85, 100)
 
 
+def test_every_ngram_of_a_language_is_in_its_filter(spark):
+    """One that all languages share too, by a count of its own."""
+    texts = {"en": "the cat sat on the mat here", "de": "der hund sat on die matte", "fr": "le chat sat on la table"}
+    df = spark.createDataFrame([(i, t, lang) for i in range(40) for lang, t in texts.items()], "doc_id long, text string, lang string")
+    known = langid.train(df, least=1)
+    for i, lang in enumerate(known.languages):
+        own = texts[lang].encode()
+        buf, off = np.frombuffer(own, np.uint8), np.array([0, len(own)])
+        found, total = known.hits(buf, off)
+        assert found[0, i] == total[0]  # all that it has
+    shared, n = known.hits(np.frombuffer(b"sat on", np.uint8), np.array([0, 6]))
+    assert n[0] > 0 and (shared[0] == n[0]).all()
+
+
 def test_archives_go_to_the_default_file_system(spark, tmp_path):
     assert warc._qualified(spark, str(tmp_path)) == f"file://{tmp_path}" and warc._qualified(spark, f"file:{tmp_path}") == f"file://{tmp_path}"
     conf = spark.sparkContext._jsc.hadoopConfiguration()
