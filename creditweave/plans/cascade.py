@@ -15,7 +15,7 @@ from ..config import DEFAULT, Matching
 from ..functions import text as T
 from ..operators import book, resolve, settle
 from ..operators.identity import identify, similar_names
-from ..operators.search import search
+from ..operators.search import FOUND, search
 from ..session import discard, settled
 
 SIGNAL = "struct<name: string, fired: boolean, detail: string, raw: string>"
@@ -70,9 +70,34 @@ def apply_advice_reasons(settlement: Column, lines: Column, claimed: Column) ->
     return F.when(settlement.isNotNull(), settlement.withField("allocations", F.transform(settlement["allocations"], one))).cast(settle.SETTLEMENT)
 
 
-def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: DataFrame, advice: DataFrame | None = None, cfg: Matching = DEFAULT, fuzzy: bool = True) -> DataFrame:
+def _search_amounts(base: DataFrame, items: DataFrame, cfg: Matching) -> DataFrame:
+    """base with the pool of each payment that nothing settled yet, its items of the very amount, and the sets that the searches find."""
+    left = base.where("guided is null and by_reference is null and customer_id is not null").select("statement_ref", "value_date", "customer_id", "amount_paise")
+    pool = book.candidate_pool(left, items, cfg).groupBy("statement_ref").agg(F.collect_list(F.struct((-F.col("open_amount_paise")).alias("o"), "invoice_number", F.struct(*book.ITEM).alias("item"))).alias("p"))
+    pool = pool.select("statement_ref", F.transform(F.array_sort("p"), lambda x: x["item"]).alias("pool"))
+    base = base.join(pool, "statement_ref", "left")
+
+    hits = F.filter("pool", lambda i: F.abs(i["open_amount_paise"] - F.col("amount_paise")) <= cfg.tolerance_paise)
+    base = base.withColumn("hits", F.array_sort(F.transform(hits, lambda i: F.struct(i["invoice_number"].alias("n"), i.alias("item")))))
+    amounts = F.transform("pool", lambda i: i["open_amount_paise"])
+    base = base.withColumn("subset", search(F.when(F.size("hits") == 0, amounts), F.col("amount_paise") - cfg.tolerance_paise, F.col("amount_paise") + cfg.tolerance_paise, cfg.subset_sum))
+    low, high = settle.deduction_band(F.col("amount_paise"), cfg)
+    base = base.withColumn("short", search(F.when((F.size("hits") == 0) & (F.size("subset.solutions") == 0), amounts), low, high, cfg.short_pay.search))
+    return base
+
+
+def _no_amounts(base: DataFrame, items: DataFrame) -> DataFrame:
+    """The columns of _search_amounts, all null."""
+    item = items.select(F.struct(*book.ITEM).alias("item")).schema["item"].dataType.simpleString()
+    kinds = {"pool": f"array<{item}>", "hits": f"array<struct<n: string, item: {item}>>", "subset": FOUND, "short": FOUND}
+    return base.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items()})
+
+
+def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: DataFrame, advice: DataFrame | None = None, cfg: Matching = DEFAULT, fuzzy: bool = True, by_amounts: bool = True) -> DataFrame:
     """One row for each payment: identity, references, strategy, candidates (all readings that tie), trail and diagnostics.
 
+    Without `by_amounts` the cascade ends behind the references: no pools are built and nothing is searched.
+
     Payments need a unique statement_ref. Amounts of 0 or less, unknown payers and customers without open items end with
     strategy `none` and a trail that says why. What the tiers wrote on the way is removed at the end."""
     steps: list[DataFrame] = []
@@ -104,18 +129,7 @@ def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: Data
     })
     base = keep(base.withColumn("customer_id", F.coalesce("customer_id", "owner")), "referred")
 
-    left = base.where("guided is null and by_reference is null and customer_id is not null").select("statement_ref", "value_date", "customer_id", "amount_paise")
-    pool = book.candidate_pool(left, items, cfg).groupBy("statement_ref").agg(F.collect_list(F.struct((-F.col("open_amount_paise")).alias("o"), "invoice_number", F.struct(*book.ITEM).alias("item"))).alias("p"))
-    pool = pool.select("statement_ref", F.transform(F.array_sort("p"), lambda x: x["item"]).alias("pool"))
-    base = base.join(pool, "statement_ref", "left")
-
-    hits = F.filter("pool", lambda i: F.abs(i["open_amount_paise"] - F.col("amount_paise")) <= cfg.tolerance_paise)
-    base = base.withColumn("hits", F.array_sort(F.transform(hits, lambda i: F.struct(i["invoice_number"].alias("n"), i.alias("item")))))
-    amounts = F.transform("pool", lambda i: i["open_amount_paise"])
-    base = base.withColumn("subset", search(F.when(F.size("hits") == 0, amounts), F.col("amount_paise") - cfg.tolerance_paise, F.col("amount_paise") + cfg.tolerance_paise, cfg.subset_sum))
-    low, high = settle.deduction_band(F.col("amount_paise"), cfg)
-    base = base.withColumn("short", search(F.when((F.size("hits") == 0) & (F.size("subset.solutions") == 0), amounts), low, high, cfg.short_pay.search))
-    base = keep(base, "searched")
+    base = keep(_search_amounts(base, items, cfg) if by_amounts else _no_amounts(base, items), "searched")
 
     def sets(found: str, partial: bool = False) -> Column:
         """Settled sets of a search, in the order of (total, invoice numbers) for short payments, else as found."""
@@ -141,7 +155,7 @@ def match(payments: DataFrame, items: DataFrame, names: DataFrame, aliases: Data
     first = F.get("candidates", F.lit(0))["allocations"]
     placed = F.aggregate(F.coalesce(first, F.array().cast(f"array<{settle.ALLOCATION}>")), F.lit(0).cast("bigint"), lambda t, a: t + a["allocated"])
     base = base.withColumn("residual_paise", F.when(F.size("candidates") > 0, F.col("amount_paise") - placed).otherwise(F.lit(0).cast("bigint")))
-    out = base.withColumn("trail", _trail(cfg)).withColumn("pool_size", F.coalesce(F.size("pool"), F.lit(0))).select(
+    out = base.withColumn("trail", _trail(cfg, by_amounts)).withColumn("pool_size", F.coalesce(F.size("pool"), F.lit(0))).select(
         "statement_ref", "amount_paise", "value_date", "customer_id", "method", "identity_score", F.col("identity.matched_on").alias("matched_on"), "references", "strategy", "candidates", "residual_paise", "trail",
         "pool_size", F.col("subset.nodes").alias("subset_nodes"), F.col("subset.exhausted").alias("subset_exhausted"), F.col("short.nodes").alias("short_nodes"), F.col("short.exhausted").alias("short_exhausted"),
         F.col("advice.reconciled").alias("advice_reconciled"), F.col("n_documents"),
@@ -178,12 +192,12 @@ def rematch(outcomes: DataFrame, payments: DataFrame, items: DataFrame, names: D
     return old.withColumn("again", F.lit(False)).unionByName(new.withColumn("again", F.lit(True)))
 
 
-def _trail(cfg: Matching) -> Column:
+def _trail(cfg: Matching, by_amounts: bool) -> Column:
     """What was tried, in order, and whether it fired; steps that were not reached are absent."""
     refs = F.transform("references", lambda t: t["normalized"])
     many = lambda c: F.to_json(c)
     guided, by_ref = F.col("guided").isNotNull(), F.col("by_reference").isNotNull()
-    asked, known = ~guided & ~by_ref, F.col("customer_id").isNotNull()
+    asked, known = ~guided & ~by_ref & F.lit(by_amounts), F.col("customer_id").isNotNull()
     pooled = asked & known & F.col("pool").isNotNull()
     hit, sub, short = (F.coalesce(F.size(c) > 0, F.lit(False)) for c in ("by_amount", "by_subset", "by_short"))
     steps = [

@@ -117,7 +117,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 def _by_reference(spark: SparkSession, d: str) -> DataFrame:
     """The cascade for payments that references settle, without advice or similarity."""
-    out = cascade.match(star.payments(spark, d), _items(spark, d), book.names(star.customers(spark, d)), book.alias_names(star.aliases(spark, d)), None, DEFAULT, fuzzy=False)
+    out = cascade.match(star.payments(spark, d), _items(spark, d), book.names(star.customers(spark, d)), book.alias_names(star.aliases(spark, d)), None, DEFAULT, fuzzy=False, by_amounts=False)
     return score.score(out.where("strategy = 'reference_exact'"), DEFAULT.scoring)
 
 
