@@ -964,15 +964,23 @@ def review_reassigned(spark, d):
     return after.join(errors.select("statement_ref", "error"), "statement_ref", "left").join(numbers, "statement_ref", "left").select("statement_ref", "decision", "strategy", "matched_amount_paise", "error", "numbers")
 
 
-@query(_WALK + """, whole AS (SELECT k.statement_ref, k.method, k.customer_id, CASE WHEN h.statement_ref IS NOT NULL THEN 'amount_exact' WHEN t.statement_ref IS NOT NULL THEN 'subset_sum' WHEN s.statement_ref IS NOT NULL THEN 'short_pay' ELSE 'none' END AS strategy,
+_WHOLE = _WALK + """, whole AS (SELECT k.statement_ref, k.method, k.customer_id, CASE WHEN h.statement_ref IS NOT NULL THEN 'amount_exact' WHEN t.statement_ref IS NOT NULL THEN 'subset_sum' WHEN s.statement_ref IS NOT NULL THEN 'short_pay' ELSE 'none' END AS strategy,
   CASE WHEN h.statement_ref IS NOT NULL THEN h.n WHEN t.statement_ref IS NOT NULL THEN t.n ELSE coalesce(s.n, 0) END AS readings, coalesce(p.n, 0) AS pool FROM known k LEFT JOIN hits h USING (statement_ref)
-  LEFT JOIN (SELECT statement_ref, count(*) AS n FROM tied WHERE rn <= 5 GROUP BY 1) t USING (statement_ref) LEFT JOIN (SELECT statement_ref, count(*) AS n FROM short GROUP BY 1) s USING (statement_ref) LEFT JOIN (SELECT statement_ref, count(*) AS n FROM pool GROUP BY 1) p USING (statement_ref))
-SELECT strategy, method, count(*) AS n, count(*) FILTER (readings > 1) AS ambiguous, CAST(max(pool) AS INT) AS largest_pool FROM whole GROUP BY 1, 2""")
+  LEFT JOIN (SELECT statement_ref, count(*) AS n FROM tied WHERE rn <= 5 GROUP BY 1) t USING (statement_ref) LEFT JOIN (SELECT statement_ref, count(*) AS n FROM short GROUP BY 1) s USING (statement_ref) LEFT JOIN (SELECT statement_ref, count(*) AS n FROM pool GROUP BY 1) p USING (statement_ref))"""
+
+
+@query(_WHOLE + """ SELECT strategy, method, count(*) AS n, count(*) FILTER (readings > 1) AS ambiguous, CAST(max(pool) AS INT) AS largest_pool FROM whole GROUP BY 1, 2""")
 def match_summary_by_amount(spark, d):
     """Payments by strategy and identification where amounts alone decide, ties among them and the largest pool."""
     return metrics.match_summary(_mute(spark, d)).select("strategy", "method", "n", "ambiguous", "largest_pool")
 
 
+@query(_WHOLE + " SELECT strategy, count(*) AS n FROM whole GROUP BY 1")
+def strategy_counts_by_amount(spark, d):
+    """Results by strategy where amounts alone decide."""
+    return metrics.by_strategy(ledger.decisions(score.score(_mute(spark, d), DEFAULT.scoring))[0])
+
+
 @query(_ADVICE + """, told AS (SELECT *, CASE WHEN layout = 0 THEN 0 WHEN layout IN (1, 2) THEN abs(open_amount_paise - claim_paise + (CASE WHEN scenario = 'bundled_multi' THEN next_open ELSE 0 END) - amount_paise) ELSE abs((CASE WHEN scenario = 'bundled_multi' THEN next_open ELSE 0 END)) END AS g FROM adv)
 SELECT 'mock' AS method, count(*) AS documents, count(*) AS with_lines, count(*) FILTER (g <= 100) AS ties, count(*) FILTER (g > 100) AS does_not_tie, CAST(0 AS BIGINT) AS not_checked, CAST(round(count(*) FILTER (g <= 100) / count(*), 6) AS DECIMAL(9,6)) AS reconciled_rate FROM told""")
 def extraction_counts(spark, d):
