@@ -15,10 +15,13 @@ shingle is a part of its own). Both documents of a pair fall back alike.
 
 Documents with the same set (two 64-bit hashes agree) are one node. Only components are asked for, so the nodes that share
 a part are first held against one leader among them; pairs inside a group are compared only while their components differ.
-Of more than GROUP nodes that share a part, those meet that agree in a second part too: a linked pair does in `need`."""
+A group of more than GROUP nodes is split by the next part that its nodes share, then by the one after, up to SPLITS parts in all.
+A linked pair agrees in SPLITS parts of one kind at least, as a document with fewer than that to spare falls back to the next kind."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +33,8 @@ from .components import connected_components
 
 SHORT, RATIO = 48, 1.25
 BROADCAST_IDS, FOLDED = 200_000, 64
-#: Nodes that meet in one part before a second part must agree as well; names that a task remembers.
-GROUP, REMEMBERED = 1000, 50_000
+#: Nodes that meet in one part before a further part must agree as well; parts by which groups are split; names that a task remembers.
+GROUP, SPLITS, REMEMBERED = 1000, 4, 50_000
 _RARE, _FULL, _EACH = 1, 2, 3
 _NULL = -(2**63)
 
@@ -101,7 +104,7 @@ def part_keys(u: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np
                 out.append(_keys(sketch, 4 * band + kind))
                 tags.append(4 * band + kind)
                 needs.append(max(1, int(more)))
-                if more > 1:
+                if more >= SPLITS:
                     break
             else:
                 if _EACH not in tags:
@@ -190,10 +193,10 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     met = durable(found.join(shared, "k").distinct(), "met")
     drop(shared)
     need = sets.select("s", F.explode(F.arrays_zip("tags", "needs")).alias("t")).select("s", F.col("t.tags").alias("tag"), F.col("t.needs").alias("need")).distinct()
-    # A linked set agrees in `need` keys at least, so in one of all but the need - 1 commonest, and in two of all but need - 2.
+    # A linked set agrees in `need` keys at least, so in one of all but the need - 1 commonest, and in i of all but need - i.
     own = Window.partitionBy("s", "tag")
     ranked = met.withColumn("tag", F.expr("k & 255")).withColumns({"rank": F.row_number().over(own.orderBy("m", "k")), "all": F.count("*").over(own)})
-    ranked = ranked.join(need, ["s", "tag"]).where("rank <= all - need + 2")
+    ranked = ranked.join(need, ["s", "tag"]).where(F.expr("all >= need") & (F.col("rank") <= F.col("all") - F.col("need") + SPLITS))
     rare = durable(ranked.select("k", "s", "all", "need", "rank", F.expr("rank <= all - need + 1").alias("first")), "rare")
     drop(met)
     # The leader of a group is what shares most of its parts: an original that the others were edited from, if it is there.
@@ -256,14 +259,25 @@ def similar_documents(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     apart = group.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
     group = durable(group.join(durable(apart, "apart"), "k"), "open")
     drop(met)
-    group = group.withColumn("tag", F.expr("k & 255"))
-    alone = group.where((F.col("m") <= GROUP) | (F.col("need") < 2)).select(F.xxhash64(F.array("k")).alias("k"), F.lit(1).alias("deep"), "s", "tag", "component")
-    second = rare.select(F.col("k").alias("k2"), "s", F.col("rank").alias("rank2"), F.expr("k & 255").alias("tag"))
-    twice = group.where(F.col("m") > GROUP).join(second, ["s", "tag"]).where("rank2 > rank")
-    group = durable(alone.unionByName(twice.select(F.xxhash64(F.array("k", "k2")).alias("k"), F.lit(2).alias("deep"), "s", "tag", "component")), "groups")
+    later = rare.select(F.col("k").alias("next"), "s", F.col("rank").alias("rank_next"), F.expr("k & 255").alias("tag"))
+    large = group.withColumns({"tag": F.expr("k & 255"), "path": F.array("k")}).drop("k")
+    split = []
+    for deep in range(1, SPLITS + 1):
+        # Shingles have nothing to fall back to, so documents that need no more of them than this stay here as well.
+        stays = (F.col("m") <= GROUP) | (F.lit(deep) == SPLITS) | ((F.col("tag") == _EACH) & (F.col("need") <= deep))
+        split.append(large.where(stays).select(F.xxhash64("path").alias("k"), F.lit(deep).alias("deep"), "s", "tag", "component"))
+        large = large.where(F.col("m") > GROUP)
+        if deep == SPLITS or not large.limit(1).count():
+            break
+        large = large.drop("m").join(later, ["s", "tag"]).where("rank_next > rank")
+        large = large.select("s", "tag", "need", "component", F.concat("path", F.array("next")).alias("path"), F.col("rank_next").alias("rank"))
+        large = durable(large, f"split-{deep}")
+        sizes = large.groupBy("path").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        large = durable(large.join(sizes.select("path", "m"), "path"), f"large-{deep}")
+    group = durable(reduce(DataFrame.unionByName, split), "groups")
     apart = group.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
     group = group.join(apart, "k")
-    # Each pair counts at its first shared part (or first two) only, so it is given once however many parts it shares.
+    # Each pair counts at its first shared part (or first few, where its group is split) only, so it is given once however many parts it shares.
     own_keys = rare.withColumn("tag", F.expr("k & 255")).join(group.select("s", "tag").distinct(), ["s", "tag"], "left_semi")
     own_keys = durable(own_keys.groupBy("s", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "k"))), lambda x: x["k"]).alias("keys")), "keys")
     # Sketches go with the groups (of long texts folded to FOLDED words), so the join itself gives only pairs that they allow.

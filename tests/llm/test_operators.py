@@ -706,6 +706,29 @@ def test_jaccard_one_part_of_thousands_of_nodes(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize("num", [85, 45])
+def test_jaccard_groups_split_by_further_parts(spark, monkeypatch, num):
+    """Documents of one boilerplate with edits of their own, in which parts, and pairs of parts, are shared by far more nodes than may meet."""
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    seen = []
+    monkeypatch.setattr(jaccard, "durable", lambda df, name="step": (seen.append(name), common.durable(df, name))[1])
+    rng = np.random.default_rng(3)
+    plate = [f"p{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(plate)
+        for j in rng.choice(len(plate), int(rng.integers(4, 14)), replace=False):
+            words[j] = f"own{i}x{j}" if rng.random() < 0.7 else f"kind{rng.integers(3)}x{j}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join([*(f"q{j}" for j in range(12)), f"end{i}"])) for i in range(40)]
+    rows += [(300 + i, " ".join([*(f"r{j}" for j in range(i % 4 + 3)), *(["z"] * (i % 3))])) for i in range(24)]
+    rows += [(400 + i, f"a b c d own{i}") for i in range(40)] + [(450, "a b c d")]  # need one shingle of two, or the only one
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in jaccard.similar_documents(df, 4, num, 100).collect()}
+    assert got == set(brute_jaccard(rows, 4, num, 100).elements())
+    assert ("split-3" if num == 85 else "split-1") in seen  # at 45 a leader ties the documents of the boilerplate
+
+
 def test_jaccard_names_that_clash(spark, docs, rows):
     got = Counter((low(r["doc_id"]), r["n_shingles"], low(r["component_id"])) for r in jaccard.similar_documents(docs, 4, 85, 100, name_bits=5).collect())
     assert got == brute_jaccard(rows, 4, 85, 100)
