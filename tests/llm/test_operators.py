@@ -776,3 +776,24 @@ def test_words_that_differ_have_hashes_that_differ(spark):
     assert {r["n_removed"] for r in substrings.remove_repeats(df).collect()} == {0}
     alone = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
     assert {(r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(alone).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_repeats_go_only_where_the_words_agree():
+    rng = random.Random(9)
+    passage = " ".join(f"w{rng.randrange(500)}" for _ in range(200))
+    texts = [f"{passage} own words", f"others before \t{passage.replace(' ', '  ')}", passage.replace("w", "v")]
+    raw = [t.encode() for t in texts]
+    p = substrings.Paths(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    source = np.arange(p.offsets[0], p.offsets[1])
+    shared = source[np.isin(p.hash[source], p.hash[p.offsets[1] : p.offsets[2]])]
+    head, tail = shared[0], shared[-1]
+    assert (np.diff(shared) == 1).all() and tail - head > 10  # one chain, whatever stands between the words
+    start, end = p.first[[head]], p.last[[tail]] + p.window
+    size, digest = (end - start).astype(np.uint64), p.digests(start, end)
+    lo, hi, stop = p.offsets[1], p.offsets[2], p.at[2]
+    begin, finish = p.spans(lo, hi, stop, p.hash[[head]], size, digest)
+    assert finish - begin == end - start and bytes(p.text[p.place[begin[0]] : p.place[finish[0]] - 1]) == bytes(p.text[p.place[start[0]] : p.place[end[0]] - 1])
+    assert not len(p.spans(lo, hi, stop, p.hash[[head]], size, digest ^ np.uint64(1))[0])  # a hash alone removes nothing
+    p.hash[p.offsets[2]] = p.hash[head]  # a path whose hash agrees by chance
+    assert not len(p.spans(p.offsets[2], p.offsets[3], p.at[3], p.hash[[head]], size, digest)[0])
+    assert not len(p.spans(lo, hi, stop, p.hash[[head]], size + np.uint64(10**6), digest)[0])
