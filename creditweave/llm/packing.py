@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import drop, durable
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SHARD_DOCS, SHARD_TOKENS = 1000, 1 << 19
@@ -62,7 +62,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Bm25:
-    """An inverted index of one shard: for each term its documents and their weights.
+    """An index of one shard: terms of over an eighth of its documents in one dense product, for all others an inverted list.
 
     df (documents of a term, by term) and mean (tokens a document) are those of the whole corpus of `total` documents; the
     shard's own stand in for them where they are not given."""
@@ -71,25 +71,39 @@ class Bm25:
         n = len(docs)
         size = np.array([len(d) for d in docs])
         width = int(max((int(d.max()) for d in docs if len(d)), default=0)) + 1
-        pairs, tf = np.unique(np.repeat(np.arange(n), size) * width + np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
-        which, term = pairs // width, pairs % width
-        self.terms = np.searchsorted(which, np.arange(n + 1))  # of each document in `place`
-        order = np.argsort(term, kind="stable")
-        names, at, own = np.unique(term[order], return_index=True, return_counts=True)
-        self.place = np.searchsorted(names, term)
-        self.at, self.docs, self.held = at, which[order], own
+        kind = np.uint32 if n * width < 1 << 32 else np.int64  # narrow numbers are sorted in half the time
+        pairs, tf = np.unique(np.repeat(np.arange(n, dtype=kind) * kind(width), size) + np.concatenate([*docs, np.zeros(0, kind)]).astype(kind), return_counts=True)
+        which, term = (pairs // kind(width)).astype(np.int64), (pairs % kind(width)).astype(np.int64)
+        held = np.bincount(term, minlength=width)
+        names = np.flatnonzero(held)
+        own = held[names]
         df, total, mean = (own, n, size.mean() if n else 0.0) if df is None else (df[names], total, mean)
-        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        idf = np.zeros(width)
+        idf[names] = np.log1p((total - df + 0.5) / (df + 0.5))
         norm = k1 * (1 - b + b * size / max(mean, 1e-9))
-        self.weight = np.repeat(idf, own) * tf[order] * (k1 + 1) / (tf[order] + norm[self.docs])
-        self.n = n
+        weight = idf[term] * tf * (k1 + 1) / (tf + norm[which])
+        common = held > n / 8  # so the dense side has at most eight numbers for each pair of a document and a term of it
+        dense = common[term]
+        column = np.cumsum(common) - 1
+        has, weighs = np.zeros((2, n, int(common.sum())))
+        has[which[dense], column[term[dense]]] = 1
+        weighs[which[dense], column[term[dense]]] = weight[dense]
+        self.base = has @ weighs.T
+        which, term, weight = which[~dense], term[~dense], weight[~dense]
+        self.terms, self.term = np.searchsorted(which, np.arange(n + 1)), term  # of each document in `term`
+        order = np.argsort(term.astype(np.uint16) if width <= 1 << 16 else term, kind="stable")
+        self.held = np.where(common, 0, held)
+        self.at = np.cumsum(self.held) - self.held
+        self.docs, self.weight, self.n = which[order], weight[order], n
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for all the seed's terms."""
-        t = self.place[self.terms[seed] : self.terms[seed + 1]]
+        t = self.term[self.terms[seed] : self.terms[seed + 1]]
+        if not len(t):
+            return self.base[seed]
         some = self.held[t]
-        post = np.repeat(self.at[t] - np.concatenate(([0], some.cumsum()[:-1])), some) + np.arange(some.sum()) if len(t) else t
-        return np.bincount(self.docs[post], self.weight[post], self.n)
+        post = np.repeat(self.at[t] - (some.cumsum() - some), some) + np.arange(some.sum())
+        return self.base[seed] + np.bincount(self.docs[post], self.weight[post], self.n)
 
 
 def fill_order(index: Bm25, sizes: list[int], at: int, length: int) -> list[int]:
@@ -119,10 +133,9 @@ def fill_order(index: Bm25, sizes: list[int], at: int, length: int) -> list[int]
             continue
         found = np.where(unused, index.scores(own), 0.0)
         seed = None
-        for d in np.lexsort((np.arange(n), -found)).tolist():
-            if found[d] <= 0 or at == 0 or seed is not None:
-                break
-            take(d)
+        while at and seed is None and found[best := int(found.argmax())] > 0:
+            found[best] = 0.0
+            take(best)
         while at and seed is None and len(order) < n:
             while not unused[first]:
                 first += 1
@@ -157,27 +170,26 @@ class Corpus:
     """Documents of each term and mean length over all encoded documents; as many numbers as the vocabulary has."""
 
     def __init__(self, coded: DataFrame, shape: str):
-        width = np.dtype(shape).itemsize
-
         def count(batches):
-            found = np.zeros(0, np.int64)
+            found, total, tokens = np.zeros(0, np.int64), 0, 0
             for batch in batches:
                 for ids in batch.column(0):
-                    own = np.unique(np.frombuffer(ids.as_buffer(), shape))
-                    if len(own) and own[-1] >= len(found):
-                        found = np.append(found, np.zeros(int(own[-1]) + 1 - len(found), np.int64))
-                    found[own] += 1
+                    own = np.frombuffer(ids.as_buffer(), shape)
+                    if len(own) and own.max() >= len(found):
+                        found = np.append(found, np.zeros(int(own.max()) + 1 - len(found), np.int64))
+                    found[own] += 1  # once, however often the document has the term
+                    total, tokens = total + 1, tokens + len(own)
             own = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found[own])], names=["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(own, [-1, -2])), pa.array(np.append(found[own], [total, tokens]))], names=["term", "n"])
 
         rows = coded.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
-        self.df = np.zeros(1 + max((r["term"] for r in rows), default=0), np.int64)
-        for r in rows:
-            self.df[r["term"]] = r["n"]
-        self.total, size = coded.agg(F.count("*"), F.sum(F.octet_length("ids").cast("bigint"))).first()
-        self.mean = (size or 0) / width / max(self.total, 1)
+        counts = {r["term"]: r["n"] for r in rows}
+        self.total, tokens = counts.pop(-1, 0), counts.pop(-2, 0)
+        self.mean = tokens / max(self.total, 1)
+        self.df = np.zeros(1 + max(counts, default=0), np.int64)
+        self.df[[*counts]] = [*counts.values()]
         shared = np.where(self.df > 1, self.df, np.iinfo(np.int64).max)
-        self.rank = np.empty(len(self.df), np.int64)
+        self.rank = np.empty(len(self.df), np.int32)
         self.rank[np.lexsort((np.arange(len(shared)), shared))] = np.arange(len(shared))  # the rarest shared term first
 
 
@@ -190,7 +202,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     coded, shape = durable(encode(base, tokenizer, end_id), "coded"), _shape(_vocabulary(tokenizer))
     corpus = Corpus(coded, shape)
-    return _fill(_by_content(coded, corpus, shape), ["key", "doc_id"], corpus, shape, length)
+    keyed = durable(_by_content(coded, corpus, shape), "keyed")  # else the keys are worked out twice: ranges are drawn from a sample of them
+    drop(coded)
+    return _fill(keyed, ["key", "doc_id"], corpus, shape, length)
 
 
 def pack_mixed(mixed: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -> DataFrame:
@@ -211,14 +225,17 @@ def _by_content(coded: DataFrame, corpus: Corpus, shape: str) -> DataFrame:
     """coded with `key`: the ranks of a document's four rarest shared terms (three, of a large vocabulary), the rarest first."""
     known = coded.sparkSession.sparkContext.broadcast(corpus.rank)  # a number for each term
     terms, bits = (4, 15) if len(corpus.rank) <= 1 << 15 else (3, 20)
+    most = (1 << bits) - 1
 
     def run(batches):
         for batch in batches:
             keys = np.zeros(batch.num_rows, np.int64)
             for i, ids in enumerate(batch.column(1)):
-                own = np.unique(known.value[np.frombuffer(ids.as_buffer(), shape)])[:terms]
-                own = np.minimum(np.append(own, np.full(terms - len(own), (1 << bits) - 1)), (1 << bits) - 1)
-                keys[i] = int(sum(int(x) << bits * (terms - 1 - j) for j, x in enumerate(own)))
+                ranks, key = known.value[np.frombuffer(ids.as_buffer(), shape)], 0
+                for _ in range(terms):
+                    least = min(int(ranks.min(initial=most)), most)
+                    key, ranks = key << bits | least, ranks[ranks > least]
+                keys[i] = key
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys)], names=["doc_id", "ids", "key"])
 
     kind = coded.schema["doc_id"].dataType.simpleString()

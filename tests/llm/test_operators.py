@@ -611,6 +611,29 @@ def test_packing_puts_neighbours_together(spark):
     assert np.mean([abs(place[i] - place[i + 1500]) <= 20 for i in range(1500)]) > 0.3
 
 
+def test_packing_does_each_step_once(spark, rows):
+    """No Python step lies below the exchange by ranges, which would run it twice; one pass gives all counts of the corpus."""
+    df = spark.createDataFrame([*rows, (7, "a a a b"), (8, "")], "doc_id long, text string").repartition(5)
+    plan = packing.pack(df, queries.tokenizer())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    coded = packing.encode(df, queries.tokenizer()).collect()
+    docs = [np.frombuffer(r["ids"], "<u2") for r in coded]
+    found = packing.Corpus(spark.createDataFrame(coded), "<u2")
+    assert (found.total, found.mean) == (len(docs), np.mean([len(d) for d in docs]))
+    assert (found.df == np.bincount([t for d in docs for t in set(d.tolist())])).all()
+    nothing = packing.Corpus(packing.encode(empty(spark), queries.tokenizer()), "<u2")
+    assert (nothing.total, nothing.mean, nothing.df.tolist()) == (0, 0, [0])
+
+
+def test_scores_walk_only_lists_of_rare_terms():
+    """A term that every document has costs no posting for each pair of documents; the scores are the same."""
+    docs = [np.array([0, 1, 2, 3 + i % 50, 3 + i % 50], "<u2") for i in range(100)]
+    index = packing.Bm25(docs)
+    assert len(index.docs) == 100 and index.held.max() == 2
+    df, mean = np.array([100] * 3 + [2] * 50), 5.0
+    assert all(np.allclose(index.scores(i), brute_bm25([d.tolist() for d in docs], i, df, 100, mean)) for i in range(0, 100, 9))
+
+
 # --- Jaccard
 
 
