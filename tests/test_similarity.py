@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from creditweave.config import Identification
 from creditweave.functions import similarity
+from creditweave.operators import identity
 
 SYLLABLES = ["ka", "ri", "mo", "tu", "ben", "sha", "dev", "lal", "gor", "nim", "pat", "sur"]
 
@@ -54,3 +56,13 @@ def test_odd_names_are_found(monkeypatch, scorer):
     payers = [names[0], "traders", "foods foods", "sud handler", "süd händler gmbh", "a", "b a", "stores", "x" * 66, "y" * 280, "kamo " * 68 + "stores nation", "unknown", "kamo stores", "é"]
     for floor in (0.0, 50.0, 57.0, 60.0, 81.0, 85.5, 90.0, 100.0):
         scored(monkeypatch, scorer, names, owners, payers, floor)
+
+
+def test_blocks_of_any_size_give_the_same(spark):
+    """A payer brings its fifth score from the first block to all others."""
+    names, owners = book(150)
+    rows = spark.createDataFrame(sorted(dict(zip(names, owners, strict=True)).items()), "normalized_name string, customer_id long")
+    none = spark.createDataFrame([], "normalized_alias string, customer_id long")
+    payers = spark.createDataFrame([(f"{n} br",) for n in names[:30]] + [("cash deposit 1",)], "payer string")
+    one, many = (identity.similar_names(payers, rows, none, Identification(), choice_rows=n).collect() for n in (1000, 40))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) == 31
